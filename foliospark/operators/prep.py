@@ -12,8 +12,12 @@ def truncate_context(blocks: DataFrame, keys: list[str], order: list[str], limit
 
     Blocks that start beyond the limit are dropped before the texts are joined: a running length finds them.
     """
-    joined = ordered_concat(blocks, keys, order, text, "\n", "_all", bucket=tiles(F.col(order[0]), 512))
-    return joined.select(*keys, F.length("_all").alias("whole"), F.substring("_all", 1, limit).alias("context"))
+    size = F.length(text) + 1
+    rows = running(blocks, keys, order, tiles(F.col(order[0]), 512), {"_end": ("sum", size)})
+    totals = blocks.groupBy(*keys).agg((F.sum(size) - 1).alias("whole"))
+    kept = rows.filter(F.col("_end") - size < limit)
+    joined = ordered_concat(kept, keys, order, text, "\n", "_all")
+    return totals.join(joined, keys, "left").select(*keys, "whole", F.substring("_all", 1, limit).alias("context"))
 
 
 def greedy_decode(probs: DataFrame, keys: list[str], eos: str) -> DataFrame:
@@ -41,7 +45,6 @@ def pick_ground_truth(inputs: DataFrame, sidecars: DataFrame, precedence: list[s
     return inputs.join(first, "stem", "left").select(*inputs.columns, *(F.col(f"_f.{c}").alias(c) for c in rest))
 
 
-def vocab_lookup(chars: DataFrame, vocab: DataFrame, unknown: int = 3, max_vocab: int = 1_114_112) -> DataFrame:
-    """Character ids. A vocabulary holds single characters, so it never has more rows than there are code points."""
-    small = vocab.limit(max_vocab)
-    return chars.join(F.broadcast(small), "ch", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+def vocab_lookup(chars: DataFrame, vocab: DataFrame, unknown: int = 3) -> DataFrame:
+    """Character ids; an unlisted character gets `unknown`."""
+    return chars.join(vocab, "ch", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
