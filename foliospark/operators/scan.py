@@ -20,8 +20,10 @@ def running(
     """Adds one column per spec: name -> (kind, column).
 
     Kinds: row_number, sum, min, max (all up to and with the current row), lag (previous row),
-    last (latest non-null value up to the current row), min_before (up to the previous row).
+    last (latest non-null value up to the current row), next (first non-null value from the current row on),
+    min_before (up to the previous row).
     """
+    columns = list(df.columns)
     df = df.withColumn("_bucket", bucket)
     position = F.struct(*(F.col(o) for o in order))
     totals = []
@@ -36,6 +38,8 @@ def running(
             total = F.max_by(c, position)
         elif kind == "last":
             total = F.max_by(c, F.when(c.isNotNull(), position))
+        elif kind == "next":
+            total = F.min_by(c, F.when(c.isNotNull(), position))
         else:
             raise ValueError(f"unknown running value {kind}")
         totals.append(total.alias(f"_t_{name}"))
@@ -54,12 +58,14 @@ def running(
             prefix = F.min(total).over(before)
         elif kind == "lag":
             prefix = F.lag(total).over(along)
+        elif kind == "next":
+            prefix = F.first(total, ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
         else:
             prefix = F.last(total, ignorenulls=True).over(before)
         prefixes.append(prefix.alias(f"_p_{name}"))
     bases = sums.select(*keys, "_bucket", *prefixes)
 
-    joined = df.join(bases, [*keys, "_bucket"]) if keys else df.join(bases, "_bucket")
+    joined = df.join(bases, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = []
@@ -78,10 +84,43 @@ def running(
             value = F.least(prefix, F.min(c).over(earlier))
         elif kind == "lag":
             value = F.when(F.row_number().over(inside) == 1, prefix).otherwise(F.lag(c).over(inside))
+        elif kind == "next":
+            rest = inside.rowsBetween(0, Window.unboundedFollowing)
+            value = F.coalesce(F.first(c, ignorenulls=True).over(rest), prefix)
         else:
             value = F.coalesce(F.last(c, ignorenulls=True).over(upto), prefix)
         out.append(value.alias(name))
-    return joined.select(*(c for c in df.columns if c != "_bucket"), *out)
+    return joined.select(*columns, *out)
+
+
+def islands(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, lo: Column, hi: Column, gap: Column, name: str
+) -> DataFrame:
+    """Adds the island of a row: the order values of its first row.
+
+    An island starts where `lo` lies more than `gap` beyond every `hi` before it. `lo` must not fall along the order;
+    `gap` is constant within a key.
+    """
+    columns = list(df.columns)
+    rows = df.withColumn("_bucket", bucket).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_gap", gap)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    seen = F.max("_hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    position = F.struct(*(F.col(o) for o in order))
+    opens = seen.isNull() | (F.col("_lo") - seen > F.col("_gap"))
+    rows = rows.withColumn("_open", F.when(opens, position))
+    # The last row of a bucket that could open an island does so when it also clears the buckets before.
+    last = F.max_by(F.struct("_open", "_lo"), F.when(F.col("_open").isNotNull(), position))
+    sums = rows.groupBy(*keys, "_bucket").agg(F.max("_hi").alias("_top"), last.alias("_last"), F.first("_gap").alias("_gap"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_reach", F.max("_top").over(before))
+    clears = F.col("_reach").isNull() | (F.col("_last._lo") - F.col("_reach") > F.col("_gap"))
+    sums = sums.withColumn("_start", F.when(clears, F.col("_last._open")))
+    bases = sums.select(*keys, "_bucket", "_reach", F.last("_start", ignorenulls=True).over(before).alias("_carry"))
+    joined = rows.join(bases, [*keys, "_bucket"])
+    own = F.when(F.col("_reach").isNull() | (F.col("_lo") - F.col("_reach") > F.col("_gap")), F.col("_open"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce(F.last(own, ignorenulls=True).over(upto), F.col("_carry"))
+    return joined.select(*columns, island.alias(name))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:

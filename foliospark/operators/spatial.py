@@ -1,145 +1,88 @@
 """Box joins on a tile grid.
 
 Boxes of one page are only compared when they share a grid tile, so a page with very many boxes is spread over its
-tiles instead of being compared pair by pair in one task. Boxes wider or higher than a level's reach go to the
-next coarser level, which bounds the tiles one box can cover.
+tiles instead of being compared pair by pair in one task. A box enters every tile it touches; page sides are pixel
+counts, which bounds the tiles of a box (the largest sheet at 600 dpi has about 2,000).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliospark.functions.geometry import SIDES, Box, box
+from foliospark.functions.geometry import Box, box, is_contained
 
-LEVELS = (256, 4096, 65536)
-REACH = 16  # a box stays on a level while its longer side is at most REACH tiles
+TILE = 512
+TILE_KEYS = ["_tx", "_ty"]
 
 
-def _level(b: Box) -> Column:
-    side = F.greatest(b.x2 - b.x1, b.y2 - b.y1)
-    level = F.lit(len(LEVELS) - 1)
-    for i in reversed(range(len(LEVELS) - 1)):
-        level = F.when(side <= LEVELS[i] * REACH, F.lit(i)).otherwise(level)
-    return level
+def _cell(c: Column) -> Column:
+    return F.floor(c / F.lit(float(TILE)))
 
 
-def _size(level: Column) -> Column:
-    size = F.lit(LEVELS[-1])
-    for i in range(len(LEVELS) - 1):
-        size = F.when(level == i, F.lit(LEVELS[i])).otherwise(size)
-    return size
+def _span(lo: Column, hi: Column) -> Column:
+    return F.sequence(lo, F.greatest(hi, lo))
 
 
-def _span(lo: Column, hi: Column, size: Column) -> Column:
-    return F.sequence(F.floor(lo / size), F.greatest(F.floor(hi / size), F.floor(lo / size)))
-
-
-def _box_tiles(b: Box, level: Column) -> Column:
-    """Array of (level, tx, ty) covered by the closed box, one pixel wider for truncated coordinates."""
-    size = _size(level)
-    return F.flatten(
-        F.transform(
-            _span(b.x1 - 1, b.x2 + 1, size),
-            lambda tx: F.transform(
-                _span(b.y1 - 1, b.y2 + 1, size),
-                lambda ty: F.struct(level.alias("level"), tx.alias("tx"), ty.alias("ty")),
-            ),
-        )
-    )
-
-
-def _spread(df: DataFrame, tile_array: Column) -> DataFrame:
-    df = df.withColumn("_tile", F.explode(tile_array))
-    for part in ("level", "tx", "ty"):
-        df = df.withColumn(f"_{part}", F.col(f"_tile.{part}"))
-    return df.drop("_tile")
-
-
-TILE_KEYS = ["_level", "_tx", "_ty"]
+def _in_tiles(df: DataFrame, b: Box, slack: int = 0) -> DataFrame:
+    """One row per tile that the closed box touches."""
+    df = df.withColumn("_tx", F.explode(_span(_cell(b.x1 - slack), _cell(b.x2 + slack))))
+    return df.withColumn("_ty", F.explode(_span(_cell(b.y1 - slack), _cell(b.y2 + slack))))
 
 
 def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keys))
 
 
-def points_in_boxes(
-    points: DataFrame, boxes: DataFrame, keys: list[str], x: Column, y: Column, how: str = "inner"
-) -> DataFrame:
-    """All (point row, box row) pairs with the point in the closed box; box columns get the prefix `o_`."""
-    levels = F.array(
-        *(
-            F.struct(F.lit(i).alias("level"), F.floor(x / size).alias("tx"), F.floor(y / size).alias("ty"))
-            for i, size in enumerate(LEVELS)
-        )
-    )
-    left = _spread(points.withColumn("_px", x).withColumn("_py", y), levels)
-    outer = box()
-    right = prefixed(_spread(boxes, _box_tiles(outer, _level(outer))), keys + TILE_KEYS, "o_")
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
+    """All (point row, box row) pairs with the point in the closed box, give or take a pixel; box columns get the
+    prefix `o_`. A point lies in one tile, so no pair comes twice."""
+    left = points.withColumn("_px", x).withColumn("_py", y)
+    left = left.withColumn("_tx", _cell(F.col("_px"))).withColumn("_ty", _cell(F.col("_py")))
+    right = prefixed(_in_tiles(boxes, box(), 1), keys + TILE_KEYS, "o_")
     o = box("o_")
-    inside = (F.col("_px") >= o.x1 - 1) & (F.col("_px") <= o.x2 + 1) & (F.col("_py") >= o.y1 - 1) & (F.col("_py") <= o.y2 + 1)
-    return left.join(right, keys + TILE_KEYS, how).filter(inside).drop(*TILE_KEYS)
+    inside = F.col("_px").between(o.x1 - 1, o.x2 + 1) & F.col("_py").between(o.y1 - 1, o.y2 + 1)
+    return left.join(right, keys + TILE_KEYS).filter(inside).drop(*TILE_KEYS)
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], thr: float) -> DataFrame:
-    """Pairs where more than `thr` (at least one half) of the inner box lies in the outer box.
+    """Pairs where more than `thr` of the inner box lies in the outer box; outer columns get the prefix `o_`.
 
-    Covering more than half of a box in area means covering more than half of each side, hence its centre:
-    an inner box is placed by its centre only.
+    Covering more than half of a box in area means covering more than half of each side, hence its centre: from a
+    threshold of one half on an inner box is placed by its centre only.
     """
+    hit = is_contained(box("o_"), box(), thr)
     if thr < 0.5:
-        return overlap_pairs(inner, outer, keys).filter(_contained(thr))
+        return overlap_pairs(inner, outer, keys).filter(hit)
     b = box()
     pairs = points_in_boxes(inner, outer, keys, (b.x1 + b.x2) / 2.0, (b.y1 + b.y2) / 2.0)
-    return pairs.filter(_contained(thr)).drop("_px", "_py")
-
-
-def _contained(thr: float) -> Column:
-    from foliospark.functions.geometry import is_contained
-
-    return is_contained(box("o_"), box(), thr)
+    return pairs.filter(hit).drop("_px", "_py")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """All pairs with a positive overlap; columns of `b` get the prefix `o_`. Each pair appears once.
+    """All pairs with a positive overlap; columns of `b` get the prefix `o_`.
 
-    A box is entered on its own level and on all coarser ones; a pair meets on the coarser of the two levels, in
-    the tile that holds the top-left corner of the overlap.
+    Each pair comes once: from the tile that holds the top-left corner of the overlap.
     """
-    me = box()
-
-    def entries(df: DataFrame) -> DataFrame:
-        own = _level(me)
-        arrays = [
-            F.when(own <= i, _box_tiles(me, F.lit(i))).otherwise(F.expr("array()"))
-            for i in range(len(LEVELS))
-        ]
-        return _spread(df.withColumn("_own", own), F.concat(*arrays))
-
-    left = entries(a)
-    right = prefixed(entries(b), keys + TILE_KEYS, "o_")
-    o = box("o_")
-    size = _size(F.col("_level"))
+    me, o = box(), box("o_")
+    right = prefixed(_in_tiles(b, me), keys + TILE_KEYS, "o_")
     left_x, top_y = F.greatest(me.x1, o.x1), F.greatest(me.y1, o.y1)
     here = (
-        (F.col("_level") == F.greatest(F.col("_own"), F.col("o__own")))
-        & (F.floor(left_x / size) == F.col("_tx"))
-        & (F.floor(top_y / size) == F.col("_ty"))
-        & (F.least(me.x2, o.x2) > left_x)
-        & (F.least(me.y2, o.y2) > top_y)
+        (F.least(me.x2, o.x2) > left_x) & (F.least(me.y2, o.y2) > top_y)
+        & (_cell(left_x) == F.col("_tx")) & (_cell(top_y) == F.col("_ty"))
     )
-    return left.join(right, keys + TILE_KEYS).filter(here).drop("_own", "o__own", *TILE_KEYS)
+    return _in_tiles(a, me).join(right, keys + TILE_KEYS).filter(here).drop(*TILE_KEYS)
 
 
 def points_in_bands(
-    points: DataFrame, bands: DataFrame, keys: list[str], at: Column, lo: str, hi: str, width: float, how: str = "inner"
+    points: DataFrame, bands: DataFrame, keys: list[str], at: Column, lo: str, hi: str, width: float
 ) -> DataFrame:
     """1-D version: pairs with lo <= at <= hi. Band columns get the prefix `o_`."""
     left = points.withColumn("_at", at).withColumn("_cell", F.floor(at / F.lit(float(width))))
-    spans = _span(F.col(lo), F.col(hi), F.lit(float(width)))
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    spans = _span(cell(lo), cell(hi))
     right = prefixed(bands.withColumn("_cell", F.explode(spans)), keys + ["_cell"], "o_")
     hit = (F.col("_at") >= F.col("o_" + lo)) & (F.col("_at") <= F.col("o_" + hi))
-    joined = left.join(right, keys + ["_cell"], how)
-    return joined.filter(hit).drop("_cell")
+    return left.join(right, keys + ["_cell"]).filter(hit).drop("_cell")
 
 
 def nearest(
@@ -160,9 +103,8 @@ def nearest(
         F.lit(0).alias("_side"),
     )
     both = line.unionByName(marked)
-    down = running(both, keys, ["_v", "_side"], tiles(F.col("_v"), width), {"_low": ("last", F.col("_mark"))})
-    down = down.withColumn("_neg", -F.col("_v"))
-    up = running(down, keys, ["_neg", "_side"], tiles(F.col("_neg"), width), {"_high": ("last", F.col("_mark"))})
+    up = running(both, keys, ["_v", "_side"], tiles(F.col("_v"), width), {
+        "_low": ("last", F.col("_mark")), "_high": ("next", F.col("_mark"))})
     dl, dh = F.col("_v") - F.col("_low.v"), F.col("_high.v") - F.col("_v")
     take_low = F.col("_high").isNull() | (dl < dh) | ((dl == dh) & (F.col("_low.i") <= F.col("_high.i")))
     best = F.when(F.col("_low").isNotNull() & take_low, F.col("_low")).otherwise(F.col("_high"))

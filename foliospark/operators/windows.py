@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.operators import groups, spatial
-from foliospark.operators.scan import ranked, running, tiles, value_at_ranks
+from foliospark.operators.scan import islands, ranked, running, tiles, value_at_ranks
 from foliospark.session import cut_lineage
 
 
@@ -69,9 +69,8 @@ def cluster_gap(df: DataFrame, keys: list[str], value: str, gap: float, mode: st
     """Merged line positions. `mean`: whole-number mean of values chained by steps up to `gap`; `first`: a value
     stays when it lies more than `gap` behind the last one that stayed."""
     values = df.select(*keys, F.col(value).alias("v")).distinct()
-    chained = running(values, keys, ["v"], tiles(F.col("v"), 256), {"_prev": ("lag", F.col("v"))})
-    new = F.when(F.col("_prev").isNull() | (F.col("v") - F.col("_prev") > gap), 1).otherwise(0)
-    chained = running(chained.withColumn("_new", new), keys, ["v"], tiles(F.col("v"), 256), {"_grp": ("sum", F.col("_new"))})
+    v = F.col("v")
+    chained = islands(values, keys, ["v"], tiles(v, 256), v, v, F.lit(gap), "_grp")
     if mode == "mean":
         return chained.groupBy(*keys, "_grp").agg(F.floor(F.avg("v")).alias("pos")).select(*keys, "pos")
     if mode != "first":
@@ -114,10 +113,7 @@ def merge_bars(bars: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     rows = bars.join(pages.select(*keys, "w", "h"), keys).withColumn("_ty", tol_y).withColumn("_tx", tol_x)
     rows = rows.withColumn("_cy", F.floor((F.col("y1") + F.col("y2")) / 2)).drop("w", "h")
     order = ["_cy", "x1", "y1", "x2", "y2"]
-    rows = running(rows, keys, order, tiles(F.col("_cy"), 256), {"_low": ("max", F.col("y2"))})
-    rows = running(rows, keys, order, tiles(F.col("_cy"), 256), {"_before": ("lag", F.col("_low"))})
-    fresh = (F.col("_before").isNull() | ((F.col("y1") + F.col("y2")) / 2 - F.col("_before") > F.col("_ty"))).cast("int")
-    rows = running(rows.withColumn("_new", fresh), keys, order, tiles(F.col("_cy"), 256), {"_band": ("sum", F.col("_new"))})
+    rows = islands(rows, keys, order, tiles(F.col("_cy"), 256), F.col("_cy"), F.col("y2"), F.col("_ty"), "_band")
     rows = rows.select(*keys, "_band", "_cy", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "_ty", "_tx")))
     band = [*keys, "_band"]
     small, large = groups.split_by_size(rows, band, groups.FOLD_LIMIT)
@@ -159,9 +155,7 @@ def merge_bars(bars: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
 def merge_active_cells(cells: DataFrame, keys: list[str], col: str = "col") -> DataFrame:
     """Runs of neighbouring active columns: keys, start_col, end_col."""
     rows = cells.select(*keys, col).distinct()
-    rows = running(rows, keys, [col], tiles(F.col(col), 1024), {"_prev": ("lag", F.col(col))})
-    new = F.when(F.col("_prev").isNull() | (F.col(col) - F.col("_prev") > 1), 1).otherwise(0)
-    rows = running(rows.withColumn("_new", new), keys, [col], tiles(F.col(col), 1024), {"_run": ("sum", F.col("_new"))})
+    rows = islands(rows, keys, [col], tiles(F.col(col), 1024), F.col(col), F.col(col), F.lit(1), "_run")
     return rows.groupBy(*keys, "_run").agg(F.min(col).alias("start_col"), F.max(col).alias("end_col")).drop("_run")
 
 
