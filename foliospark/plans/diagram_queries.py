@@ -1 +1,216 @@
-"""Queries."""
+"""Queries over flow charts and schedules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliospark.functions import geometry as g
+from foliospark.operators import diagrams as dg
+from foliospark.operators.windows import axis_scale
+from foliospark.plans.fixtures import Tables, sql
+from foliospark.plans.registry import query
+
+PAGE = ["page"]
+W, H = 1000, 1400
+
+ROWS = f"""
+    SELECT page, idx, txt AS label, (y1 + y2) / 2 AS y, y1, y2, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2, idx) - 1 AS rw
+    FROM gantt_blocks WHERE (x1 + x2) / 2 <= 0.25 * {W} AND length(txt) BETWEEN 1 AND 32"""
+
+
+def rows(tb: Tables):
+    return dg.gantt_rows(tb.gantt_blocks, PAGE, F.lit(W))
+
+
+@query("gantt_rows", sql('SELECT page, idx, label, y, rw AS "row" FROM q', "gantt_blocks", q=ROWS))
+def gantt_rows(tb: Tables):
+    return rows(tb).select("page", "idx", "label", "y", "row")
+
+
+@query("nearest_row", sql("""
+    SELECT b.page, b.idx, arg_min(r.idx, (abs(r.y - (b.y1 + b.y2) / 2), r.idx)) AS row_idx
+    FROM boxed b JOIN q r ON b.page = r.page GROUP BY b.page, b.idx""", "gantt_blocks", "boxes", q=ROWS,
+    boxed="SELECT page % 50 AS page, page * 100 + idx AS idx, y1 + page % 1300 AS y1, y2 + page % 1300 AS y2 FROM boxes WHERE label = 'A'"))
+def nearest_row(tb: Tables):
+    shift = F.col("page") % 1300
+    bars = tb.boxes.filter("label = 'A'").select(
+        (F.col("page") % 50).alias("page"), (F.col("page") * 100 + F.col("idx")).alias("idx"), "x1", (F.col("y1") + shift).alias("y1"),
+        "x2", (F.col("y2") + shift).alias("y2"))
+    return dg.nearest_row(bars, rows(tb).select("page", "idx", "y"), PAGE).select("page", "idx", "row_idx")
+
+
+COLS = """SELECT o_custkey AS page, o_orderkey AS idx, (o_orderkey * 37) % 1000 AS x, o_orderpriority AS label FROM orders"""
+
+
+def columns(tb: Tables):
+    return tb.read("orders").selectExpr("o_custkey as page", "o_orderkey as idx", "(o_orderkey * 37) % 1000 as x", "o_orderpriority as label")
+
+
+@query("nearest_column", sql("""
+    SELECT t.page, t.idx, arg_min({'i': c.idx, 'l': c.label, 'x': c.x}, (abs(c.x - s), c.idx)).i AS start_col_index,
+           arg_min(c.label, (abs(c.x - s), c.idx)) AS start_col_label, arg_min(c.x, (abs(c.x - s), c.idx)) AS start_px_snapped,
+           arg_min(c.idx, (abs(c.x - e), c.idx)) AS end_col_index, arg_min(c.label, (abs(c.x - e), c.idx)) AS end_col_label,
+           arg_min(c.x, (abs(c.x - e), c.idx)) AS end_px_snapped
+    FROM t JOIN c ON t.page = c.page GROUP BY t.page, t.idx""", c=COLS,
+    t="SELECT o_custkey AS page, o_orderkey AS idx, (o_orderkey * 53) % 900 AS s, (o_orderkey * 53) % 900 + 80 AS e FROM orders"))
+def nearest_column(tb: Tables):
+    tasks = tb.read("orders").selectExpr("o_custkey as page", "o_orderkey as idx", "(o_orderkey * 53) % 900 as start_px", "(o_orderkey * 53) % 900 + 80 as end_px")
+    return dg.nearest_column(tasks, columns(tb), PAGE).drop("start_px", "end_px")
+
+
+@query("label_columns", sql("""
+    SELECT c.page, c.idx, arg_min(l.label, (abs(l.x - c.x), l.idx)) FILTER (WHERE abs(l.x - c.x) < 40) AS label
+    FROM cols c LEFT JOIN cols l ON c.page = l.page AND l.x < 500 AND l.idx <> -1 GROUP BY c.page, c.idx""", cols=COLS))
+def label_columns(tb: Tables):
+    c = columns(tb)
+    labels = c.filter("x < 500").select("page", "idx", "x", F.col("label").alias("txt"))
+    return dg.label_columns(c.drop("label"), labels, PAGE).select("page", "idx", "label")
+
+
+@query("band_texts", sql(f"""
+    SELECT r.page, r.rw AS row, count(*) AS n, sum(b.idx) AS ids FROM q r JOIN gantt_blocks b ON r.page = b.page AND abs((b.y1 + b.y2) / 2 - r.y) <= 0.03 * {H}
+    GROUP BY r.page, r.rw""", "gantt_blocks", q=ROWS))
+def band_texts(tb: Tables):
+    out = dg.band_texts(rows(tb).select("page", "row", "y"), tb.gantt_blocks, PAGE, F.lit(H))
+    return out.groupBy("page", F.col("o_row").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("ids"))
+
+
+@query("assign_lane", sql("""
+    SELECT b.page, b.idx, min(l.idx) AS lane FROM gantt_blocks b LEFT JOIN (SELECT * FROM gantt_blocks WHERE txt = '1-URGENT') l
+      ON b.page = l.page AND (b.y1 + b.y2) / 2 BETWEEN l.y1 AND l.y2 GROUP BY b.page, b.idx""", "gantt_blocks"))
+def assign_lane(tb: Tables):
+    lanes = tb.gantt_blocks.filter("txt = '1-URGENT'").select("page", "idx", "y1", "y2")
+    return dg.assign_lane(tb.gantt_blocks, lanes, PAGE).select("page", "idx", "lane")
+
+
+NAMED = """SELECT page, idx, x1, y1, x2, y2, CASE WHEN idx % 3 = 1 THEN '第' || left(txt, 1) || CASE WHEN txt = '2-HIGH' THEN '部' ELSE '課' END ELSE txt END AS txt FROM gantt_blocks"""
+LANES = f"""SELECT *, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2, idx) AS no FROM named
+            WHERE (x1 + x2) / 2 <= 0.2 * {W} AND regexp_matches(txt, '部|課') AND length(txt) <= 20"""
+
+
+def named(tb: Tables):
+    name = F.concat(F.lit("第"), F.substring("txt", 1, 1), F.when(F.col("txt") == "2-HIGH", "部").otherwise("課"))
+    return tb.gantt_blocks.withColumn("txt", F.when(F.col("idx") % 3 == 1, name).otherwise(F.col("txt")))
+
+
+@query("swimlanes", sql("SELECT page, idx, txt AS label, 'L' || no AS lane_id FROM lanes", "gantt_blocks", named=NAMED, lanes=LANES))
+def swimlanes(tb: Tables):
+    return dg.swimlanes(named(tb), PAGE, F.lit(W)).select("page", "idx", "label", "lane_id")
+
+
+FLOW = {
+    "named": NAMED, "lanes": LANES,
+    "seq": "SELECT *, row_number() OVER (PARTITION BY page ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY page) AS n FROM named",
+}
+
+
+def flow(tb: Tables):
+    from foliospark.operators.scan import ranked, tiles
+
+    blocks = ranked(named(tb), PAGE, ["idx"], tiles(F.col("idx"), 1024), "pos").withColumn("pos", F.col("pos") - 1)
+    lanes = dg.swimlanes(named(tb), PAGE, F.lit(W))
+    layout = tb.boxes.withColumn("label", F.when(F.col("label") == "A", "Figure").otherwise("text")).filter("page < 50")
+    return dg.flow_graph(blocks, lanes, layout, PAGE)
+
+
+@query("flow_graph", sql("""
+    SELECT s.page, 'N' || (pos + 1) AS id, 'process' AS shape, any_value(s.txt) AS txt, 'L' || min(l.no) AS lane FROM seq s
+      LEFT JOIN lanes l ON s.page = l.page AND (s.y1 + s.y2) / 2 BETWEEN l.y1 AND l.y2 WHERE n >= 2 GROUP BY s.page, pos
+    UNION ALL SELECT f.page, 'F' || (n + k), 'figure', '', NULL FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY idx) AS k FROM boxes WHERE label = 'A') f
+      JOIN (SELECT DISTINCT page, n FROM seq WHERE n >= 2) s ON f.page = s.page""", "gantt_blocks", "boxes", **FLOW))
+def flow_graph(tb: Tables):
+    return flow(tb)[0].select("page", "id", "shape", "txt", "lane")
+
+
+@query("flow_edges", sql("SELECT page, 'E' || pos AS id, 'N' || pos AS source, 'N' || (pos + 1) AS target, 'arrow' AS kind FROM seq WHERE pos > 0",
+                         "gantt_blocks", **FLOW))
+def flow_edges(tb: Tables):
+    return flow(tb)[1]
+
+
+NODES = "SELECT page, idx AS id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM boxes"
+
+
+@query("orient_edges", sql("""
+    SELECT page, id, CASE WHEN turn THEN target ELSE source END AS source, CASE WHEN turn THEN source ELSE target END AS target,
+           CASE WHEN keep OR turn THEN 'arrow' ELSE 'connector' END AS kind, CASE WHEN keep OR turn THEN 1 ELSE 0 END AS corrected FROM (
+      SELECT *, db < 16 AND da >= db * 0.9 AS keep, NOT (db < 16 AND da >= db * 0.9) AND da < 16 AND db > da * 1.1 AS turn FROM (
+        SELECT e.page, e.dst AS id, e.src AS source, e.dst AS target, coalesce(a.d, 1e9) AS da, coalesce(b.d, 1e9) AS db
+        FROM e LEFT JOIN near a ON a.page = e.page AND a.id = e.src LEFT JOIN near b ON b.page = e.page AND b.id = e.dst))""", "boxes", "preds", nodes=NODES,
+    near="SELECT n.page, n.id, min(sqrt((cx - p.x1) * (cx - p.x1) + (cy - p.y1) * (cy - p.y1))) AS d FROM nodes n JOIN preds p ON n.page = p.page GROUP BY n.page, n.id",
+    e="SELECT page, lag(idx) OVER (PARTITION BY page ORDER BY idx) AS src, idx AS dst FROM boxes QUALIFY src IS NOT NULL"))
+def orient_edges(tb: Tables):
+    from foliospark.operators.windows import sequential_edges
+
+    e = sequential_edges(tb.boxes, PAGE, "idx", "idx").select("page", F.col("dst").alias("id"), F.col("src").alias("source"),
+                                                           F.col("dst").alias("target"), F.lit("connector").alias("kind"))
+    nodes = tb.boxes.select("page", F.col("idx").alias("id"), *g.SIDES)
+    tips = tb.preds.select("page", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return dg.orient_edges(e, nodes, tips, PAGE, F.lit(320))
+
+
+@query("connector_edges", sql("""
+    SELECT DISTINCT s.page, s.a AS source, t.b AS target FROM (
+      SELECT p.page, p.idx, arg_min(n.id, ((cx - p.x1) * (cx - p.x1) + (cy - p.y1) * (cy - p.y1), n.id)) AS a FROM preds p JOIN nodes n ON n.page = p.page GROUP BY p.page, p.idx) s
+    JOIN (SELECT p.page, p.idx, arg_min(n.id, ((cx - p.x2) * (cx - p.x2) + (cy - p.y2) * (cy - p.y2), n.id)) AS b FROM preds p JOIN nodes n ON n.page = p.page GROUP BY p.page, p.idx) t
+      ON s.page = t.page AND s.idx = t.idx
+    WHERE s.a <> t.b AND (s.page, s.a, t.b) NOT IN (SELECT page, src, dst FROM e)""", "boxes", "preds", nodes=NODES,
+    e="SELECT page, lag(idx) OVER (PARTITION BY page ORDER BY idx) AS src, idx AS dst FROM boxes QUALIFY src IS NOT NULL"))
+def connector_edges(tb: Tables):
+    from foliospark.operators.windows import sequential_edges
+
+    e = sequential_edges(tb.boxes, PAGE, "idx", "idx").withColumnRenamed("src", "source").withColumnRenamed("dst", "target")
+    nodes = tb.boxes.select("page", F.col("idx").alias("id"), *g.SIDES)
+    return dg.connector_edges(tb.preds.select("page", "idx", *g.SIDES), nodes, e, PAGE).select("page", "source", "target")
+
+
+TICKS = f"""
+    SELECT page, idx, (x1 + x2) / 2 AS x, CAST(strptime('2024/' || txt, '%Y/%-m/%-d') AS DATE) AS d FROM gantt_blocks
+    WHERE ((y1 + y2) / 2 <= 0.15 * {H} OR (y1 + y2) / 2 >= 0.85 * {H}) AND idx % 3 = 0
+    UNION ALL SELECT page, idx, (x1 + x2) / 2, CAST(strptime('2024/' || split_part(txt, '~', 1), '%Y/%-m/%-d') AS DATE) FROM gantt_blocks
+    WHERE ((y1 + y2) / 2 <= 0.15 * {H} OR (y1 + y2) / 2 >= 0.85 * {H}) AND idx % 3 = 2"""
+
+
+def ticks(tb: Tables):
+    return dg.gantt_ticks(tb.gantt_blocks, PAGE, F.lit(H), 2024)
+
+
+@query("gantt_ticks", sql("SELECT page, idx, x, CAST(d AS VARCHAR) AS date FROM q", "gantt_blocks", q=TICKS))
+def gantt_ticks(tb: Tables):
+    return ticks(tb).withColumn("date", F.col("date").cast("string"))
+
+
+@query("gantt_tasks", sql(f"""
+    SELECT r.page, 'T' || (r.rw + 1) AS id, r.label, CAST(f.s AS VARCHAR) AS start_date, CAST(f.e AS VARCHAR) AS end_date,
+           round(x0 + date_diff('day', d0, f.s) * ppd + 1e-9, 4) AS start_px, round(x0 + date_diff('day', d0, f.e) * ppd + 1e-9, 4) AS end_px
+    FROM rws r LEFT JOIN (SELECT r.page, r.rw, arg_min(m.s, m.idx) AS s, arg_min(m.e, m.idx) AS e FROM rws r
+      JOIN rng m ON r.page = m.page AND abs(m.cy - r.y) <= 0.03 * {H} GROUP BY r.page, r.rw) f ON f.page = r.page AND f.rw = r.rw
+    LEFT JOIN (SELECT page, CASE WHEN days <> 0 THEN (bx - ax) / days END AS ppd, CASE WHEN days <> 0 THEN ax END AS x0, d0 FROM (
+      SELECT page, min(x) AS ax, max(x) AS bx, arg_min(d, (x, idx)) AS d0, date_diff('day', arg_min(d, (x, idx)), arg_max(d, (x, idx))) AS days
+      FROM tk GROUP BY page HAVING count(*) >= 2)) s ON s.page = r.page""", "gantt_blocks", rws=ROWS, tk=TICKS,
+    rng="""SELECT page, idx, (y1 + y2) / 2 AS cy, CAST(strptime('2024/' || split_part(txt, '~', 1), '%Y/%-m/%-d') AS DATE) AS s,
+           CAST(strptime('2024/' || split_part(txt, '~', 2), '%Y/%-m/%-d') AS DATE) AS e FROM gantt_blocks WHERE idx % 3 = 2"""))
+def gantt_tasks(tb: Tables):
+    scale = axis_scale(ticks(tb), PAGE)
+    out = dg.gantt_tasks(rows(tb), tb.gantt_blocks, scale, PAGE, F.lit(H), 2024)
+    r4 = lambda c: F.round(F.col(c) + 1e-9, 4).alias(c)
+    return out.select("page", "id", "label", "start_date", "end_date", r4("start_px"), r4("end_px"))
+
+
+@query("gantt_grid_box", sql(f"""
+    SELECT p.page, greatest(0, coalesce(l, 0) - 1) AS x_left, least({W}, coalesce(r, {W}) + 1) AS x_right, greatest(0, coalesce(t, 0) - 2) AS y_top,
+           least({H}, coalesce(b, {H}) + 2) AS y_bottom
+    FROM (SELECT DISTINCT o_custkey AS page FROM orders) p LEFT JOIN (SELECT page, min(x) AS l, max(x) AS r FROM cols GROUP BY page) c ON c.page = p.page
+    LEFT JOIN (SELECT page, min(y1) AS t, max(y2) AS b FROM q GROUP BY page) q2 ON q2.page = p.page""", "gantt_blocks", cols=COLS, q=ROWS))
+def gantt_grid_box(tb: Tables):
+    pages = columns(tb).select("page").distinct().withColumn("w", F.lit(W)).withColumn("h", F.lit(H))
+    return dg.gantt_grid_box(columns(tb), rows(tb), pages, PAGE)
+
+
+@query("legend_labels", sql("""
+    SELECT p.page, p.idx, coalesce(arg_min(b.txt, b.idx), 'series') AS label FROM patches p
+    LEFT JOIN gantt_blocks b ON b.page = p.page AND abs((b.y1 + b.y2) / 2 - (p.y1 + p.y2) / 2) < 20 AND abs(b.x1 - p.x2) < 120
+    GROUP BY p.page, p.idx""", "gantt_blocks", patches="SELECT page, idx, x1, y1, x1 + 12 AS x2, y1 + 12 AS y2 FROM gantt_blocks WHERE x1 > 500"))
+def legend_labels(tb: Tables):
+    patches = tb.gantt_blocks.filter("x1 > 500").selectExpr("page", "idx", "x1", "y1", "x1 + 12 as x2", "y1 + 12 as y2")
+    return dg.legend_labels(patches, tb.gantt_blocks, PAGE).select("page", "idx", "label")
