@@ -13,9 +13,10 @@ from foliospark.operators import boxes, groups, spatial
 from foliospark.operators.metrics import page_direction
 from foliospark.operators.scan import ordered_concat, ranked, running, tiles
 from foliospark.operators.windows import cluster_x
+from foliospark.session import cut_lineage
 
 GRAPH_LIMIT = 250  # fixed value: pages with more blocks are never ordered by a graph
-WALK_LIMIT = 2000
+WALK_LIMIT = 1000
 
 
 # ---- simple order ---------------------------------------------------------------------------------------------
@@ -230,7 +231,7 @@ def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], list[
 
 
 def _walk(box: np.ndarray, direction: str) -> list[int]:
-    """Depth-first order in which a box waits until all its parents are read.
+    """Depth-first order in which a box waits until all its parents are read; `parents` keeps the unread ones.
 
     Waiting boxes are looked at again after every box that is read; when nothing can move, the longest waiting box
     is read as it is. On leaving a box its children further down the stack are brought to the top; this pass looks
@@ -241,14 +242,17 @@ def _walk(box: np.ndarray, direction: str) -> list[int]:
     side = box[:, 0] if direction == "top2bottom" else box[:, 1]
     queue = sorted(range(n), key=lambda i: distance[i])
     read, order, waiting = [False] * n, [], []
+    after = [set(c) for c in children]
     stack = [queue.pop(0)]
     while len(order) < n:
         while stack:
             here = stack.pop()
             if not read[here]:
-                if all(read[p] for p in parents[here]):
+                if not parents[here]:
                     read[here] = True
                     order.append(here)
+                    for child in after[here]:
+                        parents[child].discard(here)
                     stack.extend(reversed(waiting))
                     waiting = []
                 elif here not in waiting:
@@ -257,9 +261,11 @@ def _walk(box: np.ndarray, direction: str) -> list[int]:
                 stack.append(here)
                 stack.append(children[here].pop(0))
                 continue
+            if after[here].isdisjoint(stack):
+                continue
             moved, i = [], 0
             while i < len(stack):
-                if here in parents[stack[i]]:
+                if stack[i] in after[here]:
                     moved.append(stack[i])
                     stack.remove(stack[i])
                 i += 1
@@ -272,6 +278,8 @@ def _walk(box: np.ndarray, direction: str) -> list[int]:
             forced = waiting.pop(0)
             read[forced] = True
             order.append(forced)
+            for child in after[forced]:
+                parents[child].discard(forced)
     return order
 
 
@@ -387,9 +395,11 @@ def assemble_page(
 
     words: page, n, box, content, direction. paragraphs: page, idx, box, role. cells: page, tbl, idx, box.
     tables, figures: page, idx, box. Order: page headers, then body with tables and figures, then page footers.
+    The word matches and the page elements are used several times, so they are stored once.
     """
     keys = [page]
     cell_pairs = boxes.words_in_elements(words, cells.select(page, F.col("idx").alias("cell"), "tbl", *g.SIDES), keys)
+    cell_pairs = cut_lineage(cell_pairs.select(page, "n", *g.SIDES, "content", "direction", "o_tbl", "o_cell"))
     in_cells = assemble_text(cell_pairs.select(page, "n", *g.SIDES, "content", "direction",
                                                F.struct("o_tbl", "o_cell").alias("_cell")).withColumn(
         "o_idx", F.col("_cell.o_tbl") * 1_000_000 + F.col("_cell.o_cell")).drop("_cell"), keys)
@@ -397,17 +407,18 @@ def assemble_page(
     cell_rows = cell_rows.withColumn("text", F.coalesce("text", F.lit(""))).drop("o_idx", "direction")
 
     pairs = boxes.words_in_elements(words, paragraphs.select(page, "idx", *g.SIDES), keys)
+    pairs = cut_lineage(pairs.select(page, "n", *g.SIDES, "content", "direction", "o_idx"))
     text = assemble_text(pairs, keys).withColumnRenamed("o_idx", "idx")
     sides = [F.col(s).cast("double").alias(s) for s in g.SIDES]
     found = paragraphs.join(text, [page, "idx"]).select(page, F.lit(0).alias("src"), "idx", *sides, "text", "direction", "role")
     left = boxes.unassigned_words(words, [cell_pairs, pairs], keys)
     single = left.select(page, F.lit(1).alias("src"), F.col("n").alias("idx"), *sides, F.col("content").alias("text"),
                          "direction", F.lit(None).cast("string").alias("role"))
-    all_paragraphs = found.unionByName(single)
+    all_paragraphs = cut_lineage(found.unionByName(single))
 
     boxed = figures.select(page, "idx", *g.SIDES)
     inside = spatial.contained_pairs(all_paragraphs, boxed, keys, 0.7)
-    inside = inside.select(page, F.col("o_idx").alias("figure"), "src", "idx", *g.SIDES, "text", "direction", "role")
+    inside = cut_lineage(inside.select(page, F.col("o_idx").alias("figure"), "src", "idx", *g.SIDES, "text", "direction", "role"))
     flow = all_paragraphs.join(inside.select(page, "src", "idx").distinct(), [page, "src", "idx"], "left_anti")
     part = [page, "figure"]
     numbered = inside.withColumn("seq", F.col("idx") * 2 + F.col("src"))
@@ -429,7 +440,7 @@ def assemble_page(
         one = frame.select(page, F.lit(src).alias("src"), "idx", *sides, null_text.alias("text"), null_text.alias("direction"),
                            null_text.alias("role"), F.lit("body").alias("section"), F.lit(kind).alias("kind"))
         extra = one if extra is None else extra.unionByName(one)
-    elements = kept.unionByName(extra).withColumn("seq", F.col("src") * 100_000_000 + F.col("idx"))
+    elements = cut_lineage(kept.unionByName(extra).withColumn("seq", F.col("src") * 100_000_000 + F.col("idx")))
     page_way = page_direction(flow, keys)
     elements = elements.join(page_way, keys, "left")
     body_way = (F.when(F.col("page_direction") == "vertical", "right2left").otherwise("top2bottom")

@@ -9,10 +9,13 @@ from foliospark.operators import boxes as ob, prep
 from foliospark.plans.fixtures import Tables, sql
 from foliospark.plans.registry import query
 
-A, B = g.box("a"), g.box("b")
 PAIR_KEYS = ["page", "i", "j"]
 
 
+def sides():
+    return g.box("a"), g.box("b")
+
+
 def flag(c):
     return c.cast("int")
 
@@ -33,40 +36,40 @@ INTER_SQL = """
     SELECT page, i, j, CASE WHEN w > 0 AND h > 0 THEN w * h / (sa + sb - w * h) ELSE 0 END AS iou FROM m""",
     "box_pairs", m=INTER_SQL))
 def box_iou(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, g.box_iou(A, B).alias("iou"))
+    return tb.box_pairs.select(*PAIR_KEYS, g.box_iou(*sides()).alias("iou"))
 
 
 @query("box_overlap_ratio", sql("""
     SELECT page, i, j, CASE WHEN w > 0 AND h > 0 THEN w * h / sb ELSE 0 END AS ratio FROM m""",
     "box_pairs", m=INTER_SQL))
 def box_overlap_ratio(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, g.box_overlap_ratio(A, B).alias("ratio"))
+    return tb.box_pairs.select(*PAIR_KEYS, g.box_overlap_ratio(*sides()).alias("ratio"))
 
 
 @query("box_overlap_first", sql("""
     SELECT page, i, j, CASE WHEN w >= 0 AND h >= 0 THEN w * h / sa ELSE 0 END AS ratio FROM m""",
     "box_pairs", m=INTER_SQL))
 def box_overlap_first(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, g.box_overlap_first(A, B).alias("ratio"))
+    return tb.box_pairs.select(*PAIR_KEYS, g.box_overlap_first(*sides()).alias("ratio"))
 
 
 @query("is_contained", sql("""
     SELECT page, i, j, CAST(w > 0 AND h > 0 AND w * h / sb > 0.8 AS INTEGER) AS inside FROM m""",
     "box_pairs", m=INTER_SQL))
 def is_contained(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, flag(g.is_contained(A, B)).alias("inside"))
+    return tb.box_pairs.select(*PAIR_KEYS, flag(g.is_contained(*sides())).alias("inside"))
 
 
 @query("intersects_h", sql("""
     SELECT page, i, j, CAST(greatest(0, h) / least(ay2 - ay1, by2 - by1) >= 0.5 AS INTEGER) AS hit FROM m""",
     "box_pairs", m=INTER_SQL))
 def intersects_h(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, flag(g.intersects_h(A, B)).alias("hit"))
+    return tb.box_pairs.select(*PAIR_KEYS, flag(g.intersects_h(*sides())).alias("hit"))
 
 
 @query("intersects_v", sql("SELECT page, i, j, CAST(w > 0 AS INTEGER) AS hit FROM m", "box_pairs", m=INTER_SQL))
 def intersects_v(tb: Tables):
-    return tb.box_pairs.select(*PAIR_KEYS, flag(g.intersects_v(A, B)).alias("hit"))
+    return tb.box_pairs.select(*PAIR_KEYS, flag(g.intersects_v(*sides())).alias("hit"))
 
 
 def quads(tb: Tables):
