@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from foliospark.functions.sequences import text_distance
+
 # White space as Python's str.split() sees it.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -232,13 +234,27 @@ def pick_metric(variant: Column, aliases: list[str], depth: int = 2) -> Column:
     return F.coalesce(*tries)
 
 
+LONG_TEXT = 128
+
+
 def edit_distance(a: Column, b: Column, threshold: int | None = None) -> Column:
-    return F.levenshtein(a, b, threshold) if threshold is not None else F.levenshtein(a, b)
+    """Exact edit distance. With a threshold, -1 beyond it.
+
+    Up to LONG_TEXT characters it stays in the JVM, where small thresholds are tried first: only a band of that width
+    is computed then. Two longer texts go through Arrow to a bit-parallel form, which takes seconds off a single row.
+    """
+    if threshold is not None:
+        return F.levenshtein(a, b, threshold)
+    shorter = F.least(F.length(a), F.length(b))
+    tries = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in (32, 256)]
+    inside = F.when(shorter > 64, F.coalesce(*tries, F.levenshtein(a, b))).otherwise(F.levenshtein(a, b))
+    is_long = shorter > LONG_TEXT
+    return F.when(is_long, text_distance(F.when(is_long, a), F.when(is_long, b))).otherwise(inside)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - edit_distance(a, b) / longest)
 
 
 def clean_list_block(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions.sequences import lcs_length, token_distance
-from foliospark.operators.scan import ranked, tiles, value_at_ranks
+from foliospark.operators.scan import ranked, spread, tiles, value_at_ranks
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -22,12 +22,12 @@ def f_score(p: Column, r: Column) -> Column:
 
 def cer_of(ref: Column, hyp: Column) -> Column:
     size = F.length(ref)
-    return F.when(size == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / size)
+    return F.when(size == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(t.edit_distance(ref, hyp) / size)
 
 
 def cer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean character error rate over pairs, and the same weighted by length."""
-    scored = pairs.withColumn("_d", F.levenshtein("ref", "hyp")).withColumn("_n", F.length("ref"))
+    scored = spread(pairs).withColumn("_d", t.edit_distance(F.col("ref"), F.col("hyp"))).withColumn("_n", F.length("ref"))
     empty = F.when(F.length("hyp") == 0, 0.0).otherwise(1.0)
     one = F.when(F.col("_n") == 0, empty).otherwise(F.col("_d") / F.col("_n"))
     return scored.groupBy(*(by or [])).agg(
@@ -40,7 +40,7 @@ def wer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     def tokens(c: str) -> Column:
         return t.words(F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", ""))
 
-    scored = pairs.withColumn("_r", tokens("ref")).withColumn("_h", tokens("hyp"))
+    scored = spread(pairs).withColumn("_r", tokens("ref")).withColumn("_h", tokens("hyp"))
     scored = scored.withColumn("_d", token_distance("_r", "_h")).withColumn("_n", F.size("_r"))
     empty = F.when(F.size("_h") == 0, 0.0).otherwise(1.0)
     one = F.when(F.col("_n") == 0, empty).otherwise(F.col("_d") / F.col("_n"))
@@ -48,7 +48,7 @@ def wer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def prediction_stats(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return pairs.groupBy(*(by or [])).agg(
+    return spread(pairs).groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.length("hyp")).alias("avg_len"),
         F.avg((F.length("hyp") == 0).cast("int")).alias("empty_ratio"),
         F.avg(cer_of(F.col("ref"), F.col("hyp"))).alias("cer"),
@@ -113,16 +113,20 @@ def table_shape_score(pred: DataFrame, gt: DataFrame, key: str, pos: str) -> Dat
 
 def char_f1(pred: Column, ref: Column) -> Column:
     """F1 over character multisets of normalised answers; characters are counted inside the row."""
-    p, r = t.normalize_answer(pred), t.normalize_answer(ref)
-
     def count(s: Column, ch: Column) -> Column:
         return F.length(s) - F.length(F.replace(s, ch, F.lit("")))
 
-    common = F.aggregate(
-        F.array_distinct(t.chars(p)), F.lit(0), lambda acc, ch: acc + F.least(count(p, ch), count(r, ch))
-    )
-    precision, recall = common / F.length(p), common / F.length(r)
-    return F.when((F.length(p) == 0) | (F.length(r) == 0) | (common == 0), 0.0).otherwise(f_score(precision, recall))
+    def score(pair: Column) -> Column:
+        p, r = pair["p"], pair["r"]
+        common = F.aggregate(
+            F.array_distinct(t.chars(p)), F.lit(0), lambda acc, ch: acc + F.least(count(p, ch), count(r, ch))
+        )
+        none = (F.length(p) == 0) | (F.length(r) == 0)
+        return F.when(none, 0.0).otherwise(2 * common / (F.length(p) + F.length(r)))
+
+    # A one-element array binds the normalised texts, which the inner steps would compute anew for every character.
+    pair = F.struct(t.normalize_answer(pred).alias("p"), t.normalize_answer(ref).alias("r"))
+    return F.get(F.transform(F.array(pair), score), F.lit(0))
 
 
 def exact_match(pred: Column, ref: Column) -> Column:
@@ -162,7 +166,7 @@ def token_f1(pairs: DataFrame, ids: list[str]) -> DataFrame:
 
 def anls_of(pred: Column, ref: Column) -> Column:
     p, r = t.normalize_qa(pred), t.normalize_qa(ref)
-    score = 1.0 - F.least(F.levenshtein(p, r) / F.greatest(F.length(p), F.length(r)), F.lit(1.0))
+    score = 1.0 - F.least(t.edit_distance(p, r) / F.greatest(F.length(p), F.length(r)), F.lit(1.0))
     none_p, none_r = F.length(p) == 0, F.length(r) == 0
     return F.when(none_p & none_r, 1.0).when(none_p | none_r, 0.0).otherwise(score)
 
@@ -285,7 +289,7 @@ def rouge_n(pairs: DataFrame, ids: list[str], n: int, tokenizer: str = "ascii")
 
 def rouge_l(pairs: DataFrame, tokenizer: str = "ascii") -> DataFrame:
     """ROUGE-L F per row as column f1."""
-    rows = pairs.withColumn("_p", summary_tokens(F.col("pred"), tokenizer)).withColumn(
+    rows = spread(pairs).withColumn("_p", summary_tokens(F.col("pred"), tokenizer)).withColumn(
         "_r", summary_tokens(F.col("ref"), tokenizer)
     )
     rows = rows.withColumn("_lcs", lcs_length("_r", "_p"))

@@ -128,6 +128,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, nam
     return running(df, keys, order, bucket, {name: ("row_number", None)})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly. For work that costs far more than moving a row, such as edit distances of long texts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def tiles(c: Column, width: float) -> Column:
     """Bucket of a numeric column."""
     return F.floor(c / F.lit(float(width)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as g, text as t
 from foliospark.operators import boxes as ob, prep
+from foliospark.operators.scan import spread
 from foliospark.plans.fixtures import Tables, sql
 from foliospark.plans.registry import query
 
@@ -403,7 +404,7 @@ def truncate_context(tb: Tables):
 @query("edit_distance", sql("""
     SELECT doc_id, line_no, levenshtein(ref, hyp) AS dist FROM text_pairs""", "text_pairs"))
 def edit_distance(tb: Tables):
-    return tb.text_pairs.select("doc_id", "line_no", t.edit_distance(F.col("ref"), F.col("hyp")).alias("dist"))
+    return spread(tb.text_pairs).select("doc_id", "line_no", t.edit_distance(F.col("ref"), F.col("hyp")).alias("dist"))
 
 
 @query("edit_similarity", sql("""
@@ -411,7 +412,7 @@ def edit_distance(tb: Tables):
     "text_pairs"))
 def edit_similarity(tb: Tables):
     sim = t.edit_similarity(F.col("ref"), F.col("hyp"))
-    return tb.text_pairs.select("doc_id", "line_no", sim.alias("sim"))
+    return spread(tb.text_pairs).select("doc_id", "line_no", sim.alias("sim"))
 
 
 CHARSET = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZéèêçäöüñ.,"

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "foliospark", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """Session with adaptive execution and skew-join splitting on.
 
+    Estimates do not see how much a table grows when its arrays are exploded, so no join is broadcast on an estimate:
+    a side is broadcast only after it was shuffled and measured.
     `partitions` is left to the cluster when not given: AQE coalesces from the configured number.
     """
     builder = (
@@ -19,11 +21,13 @@ def build_session(app: str = "foliospark", master: str | None = None, partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
