@@ -58,15 +58,13 @@ def prediction_stats(pairs: DataFrame, by: list[str] | None = None) -> DataFrame
 def charset(labels: DataFrame, max_chars: int = 8000, text: str = "text") -> DataFrame:
     """Characters by frequency (ties by code point), cut at `max_chars`, then white space seen but cut off.
 
-    Characters are counted within a row first; the ranked table is the alphabet, at most the Unicode code points.
+    Counts are combined within each input partition before the shuffle; the ranked table is the alphabet, at most the
+    Unicode code points.
     """
     from pyspark.sql import Window
 
-    def count_in(ch: Column) -> Column:
-        return F.struct(ch.alias("ch"), (F.length(text) - F.length(F.replace(F.col(text), ch, F.lit("")))).alias("n"))
-
-    per_row = F.transform(F.array_distinct(t.chars(F.col(text))), count_in)
-    counts = labels.select(F.explode(per_row).alias("e")).groupBy("e.ch").agg(F.sum("e.n").alias("n"))
+    each = labels.select(F.explode(F.split(F.col(text), "")).alias("ch")).filter("ch <> ''")
+    counts = each.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.ascii("ch")))
     placed = counts.withColumn("rank", rank)
     space = F.col("ch").isin(" ", "​", "　")
@@ -144,11 +142,11 @@ def squad_scores(pairs: DataFrame, ids: list[str], by: list[str] | None = None)
 
 def multiset_f1(pairs: DataFrame, ids: list[str], pred: Column, ref: Column, both_empty: float = 1.0) -> DataFrame:
     """F1 over two token arrays per row. Tokens are counted per (row, token) with map-side combining."""
-    sides = []
-    for side, tokens in (("_p", pred), ("_r", ref)):
-        one = pairs.select(*ids, F.explode(tokens).alias("_tok"))
-        sides.append(one.select(*ids, "_tok", F.lit(int(side == "_p")).alias("_p"), F.lit(int(side == "_r")).alias("_r")))
-    counts = sides[0].unionByName(sides[1]).groupBy(*ids, "_tok").agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
+    def counted(tokens: Column, p: int, r: int) -> Column:
+        return F.transform(tokens, lambda x: F.struct(x.alias("_tok"), F.lit(p).alias("_p"), F.lit(r).alias("_r")))
+
+    tokens = spread(pairs).select(*ids, F.explode(F.concat(counted(pred, 1, 0), counted(ref, 0, 1))).alias("_x")).select(*ids, "_x.*")
+    counts = tokens.groupBy(*ids, "_tok").agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
     sums = counts.groupBy(*ids).agg(
         F.sum(F.least("_p", "_r")).alias("_c"), F.sum("_p").alias("_np"), F.sum("_r").alias("_nr")
     )
