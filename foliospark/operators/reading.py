@@ -402,8 +402,8 @@ def assemble_page(
     cell_pairs = cut_lineage(cell_pairs.select(page, "n", *g.SIDES, "content", "direction", "o_tbl", "o_cell"))
     in_cells = assemble_text(cell_pairs.select(page, "n", *g.SIDES, "content", "direction",
                                                F.struct("o_tbl", "o_cell").alias("_cell")).withColumn(
-        "o_idx", F.col("_cell.o_tbl") * 1_000_000 + F.col("_cell.o_cell")).drop("_cell"), keys)
-    cell_rows = cells.withColumn("o_idx", F.col("tbl") * 1_000_000 + F.col("idx")).join(in_cells, [page, "o_idx"], "left")
+        "o_idx", F.col("_cell.o_tbl") * 2**32 + F.col("_cell.o_cell")).drop("_cell"), keys)
+    cell_rows = cells.withColumn("o_idx", F.col("tbl") * 2**32 + F.col("idx")).join(in_cells, [page, "o_idx"], "left")
     cell_rows = cell_rows.withColumn("text", F.coalesce("text", F.lit(""))).drop("o_idx", "direction")
 
     pairs = boxes.words_in_elements(words, paragraphs.select(page, "idx", *g.SIDES), keys)
@@ -440,7 +440,7 @@ def assemble_page(
         one = frame.select(page, F.lit(src).alias("src"), "idx", *sides, null_text.alias("text"), null_text.alias("direction"),
                            null_text.alias("role"), F.lit("body").alias("section"), F.lit(kind).alias("kind"))
         extra = one if extra is None else extra.unionByName(one)
-    elements = cut_lineage(kept.unionByName(extra).withColumn("seq", F.col("src") * 100_000_000 + F.col("idx")))
+    elements = cut_lineage(kept.unionByName(extra).withColumn("seq", F.col("src") * 2**40 + F.col("idx")))
     page_way = page_direction(flow, keys)
     elements = elements.join(page_way, keys, "left")
     body_way = (F.when(F.col("page_direction") == "vertical", "right2left").otherwise("top2bottom")
