@@ -173,30 +173,82 @@ def precedence_edges(elements: DataFrame, keys: list[str], direction: str) -> Da
 
     Two boxes are linked when they share a column (top2bottom) or a line (right2left, left2right) and no third box
     of that column or line stands wholly between them. Seen from a box, what lies beyond the nearest end of a box
-    ahead is hidden, so one bound per side replaces the search for blockers.
+    ahead is hidden, so one bound per side replaces the search for blockers. On pages above WALK_LIMIT boxes the bound
+    is searched in zones that widen until it is certain, and only boxes within both bounds are paired.
     """
+    if direction not in ("top2bottom", "right2left", "left2right"):
+        raise ValueError(f"unknown direction {direction}")
     slim = elements.select(*keys, "idx", *g.SIDES)
-    if direction == "top2bottom":
-        flat = slim.select("*").withColumn("_a", F.col("y1")).withColumn("_b", F.col("y2"))
-        flat = flat.withColumn("y1", F.lit(0)).withColumn("y2", F.lit(1))
-        pairs = spatial.overlap_pairs(flat, flat, keys)
-    elif direction in ("right2left", "left2right"):
-        flat = slim.withColumn("_a", F.col("x1")).withColumn("_b", F.col("x2"))
-        flat = flat.withColumn("x1", F.lit(0)).withColumn("x2", F.lit(1))
-        pairs = spatial.overlap_pairs(flat, flat, keys).filter(g.intersects_h(g.box(), g.box("o_")))
+    small, large = groups.split_by_size(slim, keys, WALK_LIMIT)
+    pairs = _sharing(small, small, keys, direction, whole=True)
+    bounds = pairs.groupBy(*keys, "idx").agg(
+        F.min(F.when(F.col("oa") > F.col("b"), F.col("ob"))).alias("_ahead"),
+        F.max(F.when(F.col("ob") < F.col("a"), F.col("oa"))).alias("_behind"))
+    out = _linked(pairs.join(bounds, [*keys, "idx"]), keys, direction)
+    if large is not None:
+        out = out.unionByName(_large_edges(cut_lineage(large), keys, direction))
+    return out
+
+
+def _sharing(zones: DataFrame, boxes_: DataFrame, keys: list[str], direction: str, whole: bool = False) -> DataFrame:
+    """Pairs of different boxes of one column or line: idx, o_idx and their extents a..b and oa..ob along the reading axis.
+
+    A zone is a box with the extent to look at in za..zb; `whole` looks at all of the page.
+    """
+    down = direction == "top2bottom"
+    lo, hi = ("y1", "y2") if down else ("x1", "x2")
+    rows = zones.withColumn("a", F.col(lo)).withColumn("b", F.col(hi))
+    others = boxes_.withColumn("a", F.col(lo)).withColumn("b", F.col(hi))
+    cross = ["y1", "y2"] if not down else ["x1", "x2"]
+    for side in cross:  # the cross extent as it is, for the overlap rule
+        rows, others = rows.withColumn("_" + side, F.col(side)), others.withColumn("_" + side, F.col(side))
+    if whole:
+        rows, others = (d.withColumn(lo, F.lit(0)).withColumn(hi, F.lit(1)) for d in (rows, others))
     else:
-        raise ValueError(f"unknown direction {direction}")
-    pairs = pairs.filter(F.col("idx") != F.col("o_idx"))
-    a, b, oa, ob = (F.col(c) for c in ("_a", "_b", "o__a", "o__b"))
-    reach = pairs.groupBy(*keys, "idx").agg(
-        F.min(F.when(oa > b, ob)).alias("_ahead"), F.max(F.when(ob < a, oa)).alias("_behind"))
-    seen = pairs.join(reach, [*keys, "idx"])
+        rows = rows.withColumn(lo, F.col("za") - 1).withColumn(hi, F.col("zb") + 1)
+    pairs = spatial.overlap_pairs(rows, others, keys).filter(F.col("idx") != F.col("o_idx"))
+    if not down:
+        zero, one_ = F.lit(0), F.lit(1)
+        mine, other = (g.Box(zero, F.col(p + "_y1"), one_, F.col(p + "_y2")) for p in ("", "o_"))
+        pairs = pairs.filter(g.intersects_h(mine, other))
+    return pairs.select(*keys, "idx", "o_idx", "a", "b", F.col("o_a").alias("oa"), F.col("o_b").alias("ob"))
+
+
+def _linked(seen: DataFrame, keys: list[str], direction: str) -> DataFrame:
+    a, b, oa, ob = (F.col(c) for c in ("a", "b", "oa", "ob"))
     seen = seen.filter((F.col("_ahead").isNull() | (oa <= F.col("_ahead"))) & (F.col("_behind").isNull() | (ob >= F.col("_behind"))))
     first = {"top2bottom": a < oa, "right2left": ~(b < ob), "left2right": ~(ob < b)}[direction]
     src, dst = F.when(first, F.col("idx")).otherwise(F.col("o_idx")), F.when(first, F.col("o_idx")).otherwise(F.col("idx"))
     return seen.select(*keys, src.alias("src"), dst.alias("dst")).distinct()
 
 
+def _large_edges(rows: DataFrame, keys: list[str], direction: str) -> DataFrame:
+    lo, hi = ("y1", "y2") if direction == "top2bottom" else ("x1", "x2")
+    extent = rows.groupBy(*keys).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
+    found = rows
+    for name, forward in (("_ahead", True), ("_behind", False)):
+        left, done, width = rows.join(extent, keys), None, spatial.TILE
+        while True:
+            za, zb = (F.col(lo), F.col(hi) + width) if forward else (F.col(lo) - width, F.col(hi))
+            pairs = _sharing(left.withColumn("za", za).withColumn("zb", zb).drop("_lo", "_hi"), rows, keys, direction)
+            bound = (F.min(F.when(F.col("oa") > F.col("b"), F.col("ob"))) if forward
+                     else F.max(F.when(F.col("ob") < F.col("a"), F.col("oa"))))
+            best = left.join(pairs.groupBy(*keys, "idx").agg(bound.alias(name)), [*keys, "idx"], "left")
+            certain = F.col(name) <= F.col(hi) + width if forward else F.col(name) >= F.col(lo) - width
+            at_end = F.col(hi) + width >= F.col("_hi") if forward else F.col(lo) - width <= F.col("_lo")
+            best = cut_lineage(best.withColumn("_sure", F.coalesce(certain, F.lit(False)) | at_end))
+            settled = best.filter("_sure").select(*keys, "idx", name)
+            done = settled if done is None else done.unionByName(settled)
+            left = best.filter("not _sure").drop(name, "_sure")
+            if left.isEmpty():
+                break
+            width *= 8
+        found = found.join(done, [*keys, "idx"])
+    zones = found.withColumn("za", F.least(F.col(lo), F.coalesce("_behind", lo))).withColumn("zb", F.greatest(F.col(hi), F.coalesce("_ahead", hi)))
+    pairs = _sharing(zones.drop("_ahead", "_behind"), rows, keys, direction)
+    return _linked(pairs.join(found.select(*keys, "idx", "_ahead", "_behind"), [*keys, "idx"]), keys, direction)
+
+
 def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], list[set[int]], np.ndarray]:
     """Children (nearest side first), parents and start distance of the boxes of one page."""
     x1, y1, x2, y2 = box.T
