@@ -53,9 +53,9 @@ def candidates(pred: DataFrame, gt: DataFrame, keys: list[str], thr: float, idx:
 def match_candidates(cand: DataFrame, order: DataFrame, keys: list[str], limit: int = groups.FOLD_LIMIT) -> DataFrame:
     """One-to-one pairs (keys, p, g, iou): predictions, by their `ord`, take the best free box.
 
-    `order` holds (keys, p, ord). Keys with up to `limit` candidates fold in one task, larger ones settle in rounds.
+    `order` holds (keys, p, ord); a key it lacks does not bear on the order. Keys with up to `limit` candidates fold in one task, larger ones settle in rounds.
     """
-    cand = cand.join(order, [*keys, "p"])
+    cand = cand.join(order, [*(k for k in keys if k in order.columns), "p"])
     small, large = groups.split_by_size(cand, keys, limit)
     choices = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "g")))
     per_pred = small.groupBy(*keys, "p", "ord").agg(choices.alias("choices"))
@@ -143,17 +143,21 @@ def eleven_points(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float], page: str = "page", label: str = "label") -> DataFrame:
-    """AP per page, class and threshold. A class without predictions on its page scores 0."""
+    """AP per page, class and threshold. A class without predictions on its page scores 0.
+
+    Precision is highest where a hit is counted, so the curve is built from the hits and their ranks; predictions are
+    ranked once for all thresholds.
+    """
     keys, full = [page, label], [page, label, "thr"]
-    cand = candidates(pred, gt, keys, min(thresholds))
     steps = F.array(*map(F.lit, thresholds))
+    rows = pred.select(*keys, F.col("idx").cast("bigint").alias("p"), (-F.col("score")).alias("_neg"))
+    ranks = running(rows, keys, ["_neg", "p"], tiles(F.col("_neg"), 0.05), {"ord": ("row_number", None)}).drop("_neg")
+    cand = candidates(pred, gt, keys, min(thresholds))
     cand = cand.withColumn("thr", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
-    all_pred = pred.withColumn("thr", F.explode(steps))
-    order = all_pred.select(*full, F.col("idx").cast("bigint").alias("p"), (-F.col("score")).alias("ord"))
-    matches = match_candidates(cand, order, full)
+    hits = match_candidates(cand, ranks, full).join(ranks, [*keys, "p"])
     n_gt = gt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"))
-    n_gt = n_gt.withColumn("thr", F.explode(steps))
-    curve = cumulative_pr(match_flags(all_pred, matches, full), n_gt, full)
+    curve = running(hits.select(*full, "ord"), full, ["ord"], tiles(F.col("ord"), 1024), {"cum_tp": ("row_number", None)}).join(n_gt, keys)
+    curve = curve.withColumn("precision", F.col("cum_tp") / F.col("ord")).withColumn("recall", F.col("cum_tp") / F.col("n_gt"))
     classes = class_union(pred, gt, keys).withColumn("thr", F.explode(steps))
     return classes.join(eleven_points(curve, full), full, "left").na.fill(0.0, ["ap"])
 
