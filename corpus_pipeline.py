@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact, mixing, simhash
-from foliospark.llm.common import stored
+from foliospark.llm import contamination, exact, language, mixing, simhash
+from foliospark.llm.common import id_remainder, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects go: texts without letters, or too unlike all languages it knows."""
+    model = language.train(docs, id_remainder("doc_id", 4) != 2)
+    return language.identify(docs, model).where("NOT rejected").select(docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact.drop_duplicates(docs)
@@ -25,12 +31,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    found = contamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where(contamination.contaminated()).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sizes, targets and the words taken of each document, as the mix of sources has them."""
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_sources),
+]
 
 #: No SQL: language, fingerprints and permutations can't be expressed there. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
