@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 from foliospark.llm import contamination, exact, language, mixing, simhash
 from foliospark.llm.common import id_remainder, stored
 
+#: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id isn't among those of `gone`. Up to BROADCAST_IDS ids are sent to where the texts are."""
+    gone = stored(gone.distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: texts without letters, or too unlike all languages it knows."""
     model = language.train(docs, id_remainder("doc_id", 4) != 2)
@@ -28,14 +38,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked fingerprints the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth of the words or more go."""
     found = contamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.where(contamination.contaminated()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,13 +68,25 @@ def lower_table() -> np.ndarray:
     return table
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def space_table() -> np.ndarray:
+    """Bytes between the words of WORD."""
+    table = np.zeros(256, bool)
+    table[[32, *range(9, 14)]] = True
+    return table
+
+
+def symbol_table() -> np.ndarray:
+    """All ASCII bytes but letters and digits."""
+    return np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in the rows' bytes (from offsets[0] on), and each row's first word (one more entry at the end)."""
     b, o = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     n = len(b)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(o), np.int64)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
+    space = (space_table() if separators is None else separators)[b]
     edge = np.zeros(n + 1, bool)
     edge[o] = True
     before, after = edge[:n].copy(), edge[1:].copy()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import contamination, exact, language, mixing, secret_scan, simhash
+from foliospark.llm import contamination, exact, language, mixing, secret_scan, simhash, toxicity
 from foliospark.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 4) == 2
     model = language.train(docs, ~held_out)
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 4) == 2
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, models).select("doc_id", held_out.alias("held_out"), "score", "predicted")
