@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WordHash, mix, slices, sums_by_row, symbol_table, utf8, word_spans
+from foliospark.llm.common import WordHash, mix, slices, stored, sums_by_row, symbol_table, utf8, word_spans
 
 #: Labelled documents of each class that the models are fitted on at most; further ones are left out by a hash of the id.
 SAMPLE_DOCS = 3000
@@ -18,8 +18,9 @@ SAMPLE_DOCS = 3000
 CALIBRATION_STEP = 4
 #: Code points of a word's stem, the level between a word and the counts that both classes share.
 STEM = 4
-#: Absolute discount. What was seen in so few contexts goes to the backoff as a whole.
-DISCOUNT = 2.0
+#: Discount of a class's count: an absolute part, and so many times what the class would have if both classes were alike. Only what
+#: a class has clearly more of stays its own; all else, such as a topic or language a little more common in it, is backoff.
+DISCOUNT, TIMES = 1.0, 3.0
 THRESHOLD = 0.3
 
 
@@ -75,8 +76,12 @@ class Models:
         return log[1] - log[0]
 
 
-def _part(n: str) -> Column:
-    return F.col(n) - F.least(F.col(n), F.lit(DISCOUNT))
+def _with_parts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts n of both classes by `keys`, with what the discount leaves."""
+    sums = {r["toxic"]: r["n"] for r in counts.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, F.lit(sums.get(1, 0))).otherwise(F.lit(sums.get(0, 0))) / max(sum(sums.values()), 1)
+    both = counts.groupBy(*keys).agg(F.sum("n").alias("pool"))
+    return counts.join(both, keys).withColumn("part", F.greatest(F.lit(0.0), F.col("n") - DISCOUNT - TIMES * share * F.col("pool")))
 
 
 def _fit(rows: DataFrame) -> Models:
@@ -85,12 +90,13 @@ def _fit(rows: DataFrame) -> Models:
     As in Kneser-Ney a pair counts once for each word in front of it, and a word once for each word in front of it:
     what copies repeat in the same place counts once.
     """
-    pairs = rows.distinct().groupBy("toxic", "before", "word", "stem").agg(F.count("*").alias("n")).withColumn("part", _part("n"))
+    pairs = stored(rows.distinct().groupBy("toxic", "before", "word", "stem").agg(F.count("*").alias("n")), "counts")
+    pairs = stored(_with_parts(pairs, ["before", "word", "stem"]), "pairs")
     of = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("total"), F.sum("part").alias("kept")).where("kept > 0")
     kept = pairs.where("part > 0").select("toxic", "before", "word", "part").toPandas()
     contexts = of.toPandas()
-    words = pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n")).withColumn("part", _part("n"))
-    stems = words.groupBy("toxic", "stem").agg(F.sum("n").alias("n")).withColumn("part", _part("n"))
+    words = stored(_with_parts(pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n")), ["word", "stem"]), "words").drop("pool")
+    stems = _with_parts(words.groupBy("toxic", "stem").agg(F.sum("n").alias("n")), ["stem"])
 
     def wide(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         sums = {r["toxic"]: (r["n"], r["kept"]) for r in df.groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("part").alias("kept")).collect()}
@@ -147,9 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, trusted: Column, doc_id: str = "do
     marks = labels.where(trusted & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
     h = F.pmod(F.xxhash64("_id"), F.lit(1_000_003))
-    # as many of either class: with unlike counts the models would differ in how much they leave to their backoff
-    each = min([sample, *counts.values()])
-    share = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(each / n)) for c, n in counts.items()], F.lit(0.0))
+    share = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, sample / n))) for c, n in counts.items()], F.lit(0.0))
     chosen = marks.where(h < share * 1_000_003).withColumn("held", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(CALIBRATION_STEP)) == 0)
     # about 2 * sample rows
     own = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"]).select("toxic", "held", F.col(text).cast("string").alias("text"))
