@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import contamination, exact, language, mixing, secret_scan, simhash, toxicity
-from foliospark.llm.common import id_remainder
+from foliospark.llm import contamination, exact, language, lm, mixing, secret_scan, simhash, toxicity
+from foliospark.llm.common import id_remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 4) == 2
     models = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, models).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2
+    vocab = lm.vocabulary(docs, ~held_out)
+    totals = lm.sample(vocab)
+    scored = lm.score(docs, stored(lm.model(vocab, totals), "model"), totals)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
