@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import contamination, exact, language, lm, mixing, secret_scan, simhash, toxicity
+from foliospark.llm import contamination, exact, language, licenses, lm, mixing, secret_scan, simhash, token_counts, toxicity
 from foliospark.llm.common import id_remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,17 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = lm.sample(vocab)
     scored = lm.score(docs, stored(lm.model(vocab, totals), "model"), totals)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.load_pieces())
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+ORACLES["op5_licenses"] = licenses.ORACLE_SQL
