@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, trusted: Column, doc_id: str = "do
     share = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, sample / n))) for c, n in counts.items()], F.lit(0.0))
     chosen = marks.where(h < share * 1_000_003).withColumn("held", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(CALIBRATION_STEP)) == 0)
     # about 2 * sample rows
-    own = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"]).select("toxic", "held", F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
+    own = texts.join(F.broadcast(chosen), "_id").select("toxic", "held", "text")
     own = own.groupBy(F.sha2("text", 256)).agg(F.max("toxic").alias("toxic"), F.max("held").alias("held"), F.first("text").alias("text"))  # copies count once
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
