@@ -29,7 +29,9 @@ def nms(det: DataFrame, keys: list[str], iou: float = 0.45, score: str = "score"
     slim = small.select(*keys, idx, score, *g.SIDES)
     kept = groups.fold(slim, keys, [-F.col(score), F.col(idx)], F.array().cast(sides), step)
     kept = kept.select(*keys, F.explode("folded").alias("k")).select(*keys, F.col("k.id").alias(idx))
-    out = det.join(kept, [*keys, idx], "left_semi") if large is None else small.join(kept, [*keys, idx], "left_semi")
+    # null-safe: boxes without a class are a group as well
+    same = [F.col("d." + c).eqNullSafe(F.col("k." + c)) for c in [*keys, idx]]
+    out = (det if large is None else small).alias("d").join(kept.alias("k"), same, "left_semi")
     if large is None:
         return out
     pairs = spatial.overlap_pairs(large.select(*keys, idx, score, *g.SIDES), large.select(*keys, idx, score, *g.SIDES), keys)
@@ -37,7 +39,8 @@ def nms(det: DataFrame, keys: list[str], iou: float = 0.45, score: str = "score"
     pairs = pairs.filter(ahead & (g.box_iou(g.box(), g.box("o_")) > iou))
     edges = pairs.select(F.struct(*keys, idx).alias("winner"), F.struct(*keys, F.col("o_" + idx).alias(idx)).alias("loser"))
     gone = groups.settle_conflicts(edges, "winner", "loser").select("loser.*")
-    return out.unionByName(large.join(gone, [*keys, idx], "left_anti"))
+    lost = [F.col("d." + c).eqNullSafe(F.col("k." + c)) for c in [*keys, idx]]
+    return out.unionByName(large.alias("d").join(gone.alias("k"), lost, "left_anti"))
 
 
 def candidates(pred: DataFrame, gt: DataFrame, keys: list[str], thr: float, idx: str = "idx") -> DataFrame:

@@ -21,7 +21,8 @@ def split_by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame
     if large.isEmpty():
         return df, None
     large = cut_lineage(large)
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+    same = [F.col("d." + k).eqNullSafe(F.col("k." + k)) for k in keys]
+    return df.alias("d").join(large.alias("k"), same, "left_anti"), df.alias("d").join(large.alias("k"), same, "left_semi")
 
 
 def fold(

@@ -15,8 +15,10 @@ from foliospark.operators.scan import ordered_concat, ranked, running, tiles
 from foliospark.operators.windows import cluster_x
 from foliospark.session import cut_lineage
 
-GRAPH_LIMIT = 250  # fixed value: pages with more blocks are never ordered by a graph
-WALK_LIMIT = 1000
+#: Groups above this size search their nearest boxes in zones instead of pairing all that share a line; the edges are the same.
+EDGE_LIMIT = 1000
+#: Distances or overlaps of so many boxes with all others of their page are held at once.
+CHUNK = 256
 
 
 # ---- simple order ---------------------------------------------------------------------------------------------
@@ -46,40 +48,65 @@ def order_by_region(blocks: DataFrame, keys: list[str], region: str, vertical: b
 # ---- regions as a graph ---------------------------------------------------------------------------------------
 
 def region_components(blocks: DataFrame, keys: list[str], width: str, height: str) -> DataFrame:
-    """Adds `region`: blocks linked by centre distances up to 1.5 times the median distance of all pairs.
+    """Adds `region`: blocks linked by centre distances up to 1.5 times the median distance of all pairs of their page.
 
-    Distances of all pairs are formed for pages of up to GRAPH_LIMIT blocks only; larger pages, which the graph
-    order never takes, get their columns instead.
+    Distances are formed for CHUNK blocks at a time, so a page takes memory in proportion to its blocks.
     """
     b = g.box()
     rows = blocks.withColumn("_px", g.center_x(b) / F.col(width)).withColumn("_py", g.center_y(b) / F.col(height))
-    small, large = groups.split_by_size(rows, keys, GRAPH_LIMIT)
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idx bigint, region bigint"
 
     def label(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
         x, y = page["_px"].to_numpy(), page["_py"].to_numpy()
-        dist = np.sqrt((x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2)
-        upper = dist[np.triu_indices(len(x), 1)]
-        eps = np.median(upper) * 1.5 if len(upper) else 0.1
-        near, region = dist <= eps, np.full(len(x), -1)
+        eps = median_distance(x, y) * 1.5 if len(x) > 1 else 0.1
+        region, count = np.full(len(x), -1), 0
         for i in range(len(x)):
             if region[i] >= 0:
                 continue
-            region[i], todo = region.max() + 1, [i]
+            region[i], todo = count, [i]
             while todo:
-                for j in np.flatnonzero(near[todo.pop()] & (region < 0)):
-                    region[j] = region[i]
-                    todo.append(j)
+                at = todo.pop()
+                near = np.flatnonzero((region < 0) & (_distances(x, y, at, at + 1)[0] <= eps))
+                region[near] = count
+                todo.extend(near.tolist())
+            count += 1
         return pd.DataFrame({**dict(zip(keys, key)), "idx": page["idx"].to_numpy(), "region": region})
 
-    found = groups.map_groups(small.select(*keys, "idx", "_px", "_py"), keys, ["idx"], label, schema)
-    if large is not None:
-        columns = cluster_x(large, keys, F.col("_px")).select(*keys, "idx", F.col("cluster").alias("region"))
-        found = found.unionByName(columns)
+    found = groups.map_groups(rows.select(*keys, "idx", "_px", "_py"), keys, ["idx"], label, schema)
     return blocks.join(found, [*keys, "idx"])
 
 
+def _distances(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    return np.sqrt((x[lo:hi, None] - x[None, :]) ** 2 + (y[lo:hi, None] - y[None, :]) ** 2)
+
+
+def median_distance(x: np.ndarray, y: np.ndarray) -> float:
+    """Exact median of the distances of all pairs, found 16 bits at a time: as bit patterns, distances sort like numbers."""
+    n = len(x)
+    total = n * (n - 1) // 2
+
+    def patterns():
+        for lo in range(0, n, CHUNK):
+            hi = min(n, lo + CHUNK)
+            yield _distances(x, y, lo, hi)[np.arange(n)[None, :] > np.arange(lo, hi)[:, None]].view(np.int64)
+
+    def at_rank(rank: int) -> float:
+        known = 0
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for d in patterns():
+                same = d if shift == 48 else d[(d >> (shift + 16)) == known]
+                counts += np.bincount((same >> shift) & 0xFFFF, minlength=1 << 16)
+            upto = np.cumsum(counts)
+            digit = int(np.searchsorted(upto, rank, "right"))
+            rank -= int(upto[digit] - counts[digit])
+            known = (known << 16) | digit
+        return float(np.array([known], np.int64).view(np.float64)[0])
+
+    return (at_rank((total - 1) // 2) + at_rank(total // 2)) / 2
+
+
 def region_edges(blocks: DataFrame, keys: list[str], region: str = "region", vertical: bool = False) -> DataFrame:
     """(keys, src, dst, kind): a chain inside each region, and a link from the lowest block of a region to the highest
     of the next. Regions go by x when any two stand side by side, else by y; vertical text right to left."""
@@ -111,14 +138,11 @@ def region_edges(blocks: DataFrame, keys: list[str], region: str = "region", ver
 
 def reading_path(blocks: DataFrame, edges: DataFrame, keys: list[str], width: str, vertical: bool = False) -> DataFrame:
     """Position per block along one topological order that begins at the top-left (top-right) block where one can;
-    a cyclic page is walked depth first. Pages above GRAPH_LIMIT blocks take the simple order."""
+    a cyclic page is walked depth first."""
     b = g.box()
     nodes = blocks.withColumn("_cx", g.center_x(b)).withColumn("_cy", g.center_y(b))
-    small, large = groups.split_by_size(nodes, keys, GRAPH_LIMIT)
-    if large is not None:
-        edges = edges.join(small.select(*keys).distinct(), keys, "left_semi")
     none = F.lit(None)
-    both = small.select(*keys, F.lit(0).alias("_kind"), "idx", F.col("_cx"), F.col("_cy"), none.cast("bigint").alias("dst"))
+    both = nodes.select(*keys, F.lit(0).alias("_kind"), "idx", F.col("_cx"), F.col("_cy"), none.cast("bigint").alias("dst"))
     both = both.unionByName(edges.select(
         *keys, F.lit(1).alias("_kind"), F.col("src").alias("idx"), none.cast("double").alias("_cx"),
         none.cast("double").alias("_cy"), "dst"))
@@ -131,11 +155,11 @@ def reading_path(blocks: DataFrame, edges: DataFrame, keys: list[str], width: st
         cx, cy = rows["_cx"].to_numpy()[is_node], rows["_cy"].to_numpy()[is_node]
         place = {i: (-x, y) if vertical else (y, x) for i, x, y in zip(ids, cx, cy)}
         below = {i: (y, x) for i, x, y in zip(ids, cx, cy)}
-        outs: dict = {i: [] for i in ids}
+        outs: dict = {i: {} for i in ids}
         waits = dict.fromkeys(ids, 0)
         for s, d in zip(rows["idx"].to_numpy()[~is_node].tolist(), rows["dst"].to_numpy()[~is_node].tolist()):
             if int(d) not in outs[s]:
-                outs[s].append(int(d))
+                outs[s][int(d)] = True
                 waits[int(d)] += 1
         start, left = min(ids, key=lambda i: place[i]), dict(waits)
         ready = [(i != start, below[i], i) for i in ids if left[i] == 0]
@@ -159,11 +183,7 @@ def reading_path(blocks: DataFrame, edges: DataFrame, keys: list[str], width: st
             found.extend(i for i in ids if i not in seen)
         return pd.DataFrame({**dict(zip(keys, key)), "idx": found, "pos": range(len(found))})
 
-    out = groups.map_groups(both, keys, ["_kind", "idx", "dst"], order, schema)
-    if large is not None:
-        rest = reading_order_simple(blocks.join(large.select(*keys).distinct(), keys, "left_semi"), keys, width, vertical)
-        out = out.unionByName(rest.select(*keys, "idx", "pos"))
-    return out
+    return groups.map_groups(both, keys, ["_kind", "idx", "dst"], order, schema)
 
 
 # ---- precedence graph -----------------------------------------------------------------------------------------
@@ -173,13 +193,13 @@ def precedence_edges(elements: DataFrame, keys: list[str], direction: str) -> Da
 
     Two boxes are linked when they share a column (top2bottom) or a line (right2left, left2right) and no third box
     of that column or line stands wholly between them. Seen from a box, what lies beyond the nearest end of a box
-    ahead is hidden, so one bound per side replaces the search for blockers. On pages above WALK_LIMIT boxes the bound
+    ahead is hidden, so one bound per side replaces the search for blockers. On pages above EDGE_LIMIT boxes the bound
     is searched in zones that widen until it is certain, and only boxes within both bounds are paired.
     """
     if direction not in ("top2bottom", "right2left", "left2right"):
         raise ValueError(f"unknown direction {direction}")
     slim = elements.select(*keys, "idx", *g.SIDES)
-    small, large = groups.split_by_size(slim, keys, WALK_LIMIT)
+    small, large = groups.split_by_size(slim, keys, EDGE_LIMIT)
     pairs = _sharing(small, small, keys, direction, whole=True)
     bounds = pairs.groupBy(*keys, "idx").agg(
         F.min(F.when(F.col("oa") > F.col("b"), F.col("ob"))).alias("_ahead"),
@@ -249,117 +269,110 @@ def _large_edges(rows: DataFrame, keys: list[str], direction: str) -> DataFrame:
     return _linked(pairs.join(found.select(*keys, "idx", "_ahead", "_behind"), [*keys, "idx"]), keys, direction)
 
 
-def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], list[set[int]], np.ndarray]:
-    """Children (nearest side first), parents and start distance of the boxes of one page."""
+def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], np.ndarray]:
+    """Children (nearest side first) and start distance of the boxes of one page.
+
+    Only the edges are kept; overlaps are formed for CHUNK boxes at a time.
+    """
     x1, y1, x2, y2 = box.T
-    if direction == "top2bottom":
-        lo, hi, key = y1, y2, x1
-        share = np.minimum(x2[:, None], x2) > np.maximum(x1[:, None], x1)
-        ahead = y1[:, None] < y1
-        distance = x1 + y1
-    else:
-        lo, hi, key = x1, x2, y1
-        tall = np.minimum((y2 - y1)[:, None], y2 - y1)
-        over = np.maximum(0, np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1))
-        share = over >= 0.5 * tall
-        if direction == "right2left":
-            ahead, distance = ~(x2[:, None] < x2), (x2.max() - x2) + y1
+    down = direction == "top2bottom"
+    lo, hi, key = (y1, y2, x1) if down else (x1, x2, y1)
+    distance = {"top2bottom": x1 + y1, "right2left": (x2.max(initial=0) - x2) + y1, "left2right": x1 + 5 * y1}[direction]
+    n, pairs = len(box), []
+    for begin in range(0, n, CHUNK):
+        part = np.arange(begin, min(n, begin + CHUNK))
+        if down:
+            share = np.minimum(x2[part, None], x2) > np.maximum(x1[part, None], x1)
+            ahead = y1[part, None] < y1
         else:
-            ahead, distance = ~(x2 < x2[:, None]), x1 + 5 * y1
-    np.fill_diagonal(share, False)
-    far = np.inf
-    limit = np.where(share & (lo > hi[:, None]), hi, far).min(axis=1)
-    floor = np.where(share & (hi < lo[:, None]), lo, -far).max(axis=1)
-    seen = share & (lo <= limit[:, None]) & (hi >= floor[:, None])
-    n = len(box)
+            tall = np.minimum((y2 - y1)[part, None], y2 - y1)
+            share = np.maximum(0, np.minimum(y2[part, None], y2) - np.maximum(y1[part, None], y1)) >= 0.5 * tall
+            ahead = ~(x2[part, None] < x2) if direction == "right2left" else ~(x2 < x2[part, None])
+        share[np.arange(len(part)), part] = False
+        limit = np.where(share & (lo > hi[part, None]), hi, np.inf).min(axis=1)
+        floor = np.where(share & (hi < lo[part, None]), lo, -np.inf).max(axis=1)
+        i, j = np.nonzero(share & (lo <= limit[:, None]) & (hi >= floor[:, None]))
+        first = ahead[i, j]
+        pairs.append(np.where(first, part[i], j) * n + np.where(first, j, part[i]))
+    edges = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     children: list[list[int]] = [[] for _ in range(n)]
-    parents: list[set[int]] = [set() for _ in range(n)]
-    for i, j in zip(*np.nonzero(seen)):
-        s, d = (int(i), int(j)) if ahead[i, j] else (int(j), int(i))
-        if d not in children[s]:
-            children[s].append(d)
-            parents[d].add(s)
-    return [sorted(c, key=lambda k: key[k]) for c in children], parents, distance
+    for s, d in zip((edges // n).tolist(), (edges % n).tolist()):
+        children[s].append(d)
+    return [sorted(c, key=lambda k: key[k]) for c in children], distance
 
 
-def _walk(box: np.ndarray, direction: str) -> list[int]:
-    """Depth-first order in which a box waits until all its parents are read; `parents` keeps the unread ones.
+def walk(children: list[list[int]], distance: list[float]) -> list[int]:
+    """Depth-first order in which every box comes after all its parents, where no cycle stands against it.
 
-    Waiting boxes are looked at again after every box that is read; when nothing can move, the longest waiting box
-    is read as it is. On leaving a box its children further down the stack are brought to the top; this pass looks
-    at every other one of neighbouring children only, which results depend on.
+    The rule, for pages of any size: a box met before its last parent is read waits. A waiting box is read as soon as its last
+    parent is, the longest waiting one first; else the next child of the box read last that has any left is met; else the box
+    nearest to the start. If all that is left waits (a cycle), the longest waiting box is read. Takes time by boxes and edges.
     """
-    n = len(box)
-    children, parents, distance = _page_graph(box, direction)
-    side = box[:, 0] if direction == "top2bottom" else box[:, 1]
-    queue = sorted(range(n), key=lambda i: distance[i])
-    read, order, waiting = [False] * n, [], []
-    after = [set(c) for c in children]
-    stack = [queue.pop(0)]
-    while len(order) < n:
-        while stack:
-            here = stack.pop()
-            if not read[here]:
-                if not parents[here]:
-                    read[here] = True
-                    order.append(here)
-                    for child in after[here]:
-                        parents[child].discard(here)
-                    stack.extend(reversed(waiting))
-                    waiting = []
-                elif here not in waiting:
-                    waiting.append(here)
-            if children[here]:
-                stack.append(here)
-                stack.append(children[here].pop(0))
-                continue
-            if after[here].isdisjoint(stack):
-                continue
-            moved, i = [], 0
-            while i < len(stack):
-                if stack[i] in after[here]:
-                    moved.append(stack[i])
-                    stack.remove(stack[i])
-                i += 1
-            stack.extend(sorted(moved, key=lambda k: side[k], reverse=True))
-        fresh = next((i for i in queue if i not in waiting), None)
-        if fresh is not None:
-            queue.remove(fresh)
-            stack.append(fresh)
-        elif waiting and len(order) < n:
-            forced = waiting.pop(0)
-            read[forced] = True
-            order.append(forced)
-            for child in after[forced]:
-                parents[child].discard(forced)
+    need = [0] * len(children)
+    for c in children:
+        for d in c:
+            need[d] += 1
+    turn: dict[int, int] = {}  # waiting boxes and when they began to wait
+    free: list[tuple[int, int]] = []  # waiting boxes whose last parent is read
+    met, order = [False] * len(children), []
+    path: list[tuple[int, int]] = []  # boxes read, with the place of their next child
+    starts = sorted(range(len(children)), key=lambda i: distance[i])
+    at_start, oldest = 0, 0
+    waiting: list[int] = []  # in order of waiting, also such as are read already
+
+    def read(i: int) -> None:
+        met[i] = True
+        turn.pop(i, None)
+        order.append(i)
+        for d in children[i]:
+            need[d] -= 1
+            if need[d] == 0 and d in turn:
+                heapq.heappush(free, (turn[d], d))
+        path.append((i, 0))
+
+    def meet(i: int) -> None:
+        met[i] = True
+        if need[i]:
+            turn[i] = len(waiting)
+            waiting.append(i)
+        else:
+            read(i)
+
+    while len(order) < len(children):
+        if free:
+            _, i = heapq.heappop(free)
+            if i in turn:
+                read(i)
+        elif path:
+            i, place = path.pop()
+            if place < len(children[i]):
+                path.append((i, place + 1))
+                if not met[children[i][place]]:
+                    meet(children[i][place])
+        elif at_start < len(starts):
+            if not met[starts[at_start]]:
+                meet(starts[at_start])
+            at_start += 1
+        else:
+            while waiting[oldest] not in turn:
+                oldest += 1
+            read(waiting[oldest])
     return order
 
 
 def _ordered(box: np.ndarray, direction: str) -> list[int]:
-    return _walk(box, direction) if len(box) > 1 else list(range(len(box)))
-
-
-def _plain_order(direction: Column, keys: list[str], rows: DataFrame, name: str) -> DataFrame:
-    """Positions by the start rule alone, for groups too large to walk."""
-    top = rows.groupBy(*keys).agg(F.max("x2").alias("_max"))
-    rows = rows.join(top, keys)
-    at = (
-        F.when(direction == "top2bottom", F.col("x1") + F.col("y1"))
-        .when(direction == "right2left", F.col("_max") - F.col("x2") + F.col("y1"))
-        .otherwise(F.col("x1") + 5 * F.col("y1"))
-    )
-    rows = rows.withColumn("_at", at)
-    out = ranked(rows, keys, ["_at", "idx"], tiles(F.col("_at"), 256), name)
-    return out.withColumn(name, F.col(name) - 1).drop("_at", "_max")
+    if len(box) < 2:
+        return list(range(len(box)))
+    children, distance = _page_graph(box, direction)
+    return walk(children, distance.tolist())
 
 
 def priority_order(elements: DataFrame, keys: list[str], direction: Column) -> DataFrame:
     """Position (0-based `pos`) per (keys, idx) by the waiting walk; `direction` must be one value per key.
 
-    Groups above WALK_LIMIT boxes, where a walk would hold a whole group in one task, go by the start rule.
+    The order of a page is sequential by nature, so a page is walked in one task, whatever its size; it holds boxes and edges.
     """
     rows = elements.select(*keys, "idx", *(F.col(s).cast("double").alias(s) for s in g.SIDES), direction.alias("_dir"))
-    small, large = groups.split_by_size(rows, keys, WALK_LIMIT)
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idx bigint, pos bigint"
 
@@ -367,10 +380,7 @@ def priority_order(elements: DataFrame, keys: list[str], direction: Column) -> D
         order = _ordered(page[list(g.SIDES)].to_numpy(), page["_dir"].iloc[0])
         return pd.DataFrame({**dict(zip(keys, key)), "idx": page["idx"].to_numpy()[order], "pos": range(len(order))})
 
-    out = groups.map_groups(small, keys, ["idx"], place, schema)
-    if large is not None:
-        out = out.unionByName(_plain_order(F.col("_dir"), keys, large, "pos").select(*keys, "idx", "pos"))
-    return out
+    return groups.map_groups(rows, keys, ["idx"], place, schema)
 
 
 def assemble_text(matches: DataFrame, keys: list[str], element: str = "o_idx") -> DataFrame:
@@ -380,7 +390,6 @@ def assemble_text(matches: DataFrame, keys: list[str], element: str = "o_idx") -
     """
     part = [*keys, element]
     rows = matches.select(*part, F.col("n").alias("idx"), *(F.col(s).cast("double").alias(s) for s in g.SIDES), "content", "direction")
-    small, large = groups.split_by_size(rows, part, WALK_LIMIT)
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in part) + ", text string, direction string"
 
@@ -392,16 +401,7 @@ def assemble_text(matches: DataFrame, keys: list[str], element: str = "o_idx") -
         return pd.DataFrame([(*key, "\n".join(content[i] for i in order), "horizontal" if flat else "vertical")],
                             columns=[*part, "text", "direction"])
 
-    out = groups.map_groups(small, part, ["idx"], join, schema)
-    if large is not None:
-        way = large.groupBy(*part).agg(
-            F.when(F.count_if(F.col("direction") == "horizontal") > F.count_if(F.col("direction") == "vertical"), "horizontal")
-            .otherwise("vertical").alias("_way"))
-        placed = _plain_order(F.when(F.col("_way") == "horizontal", "left2right").otherwise("right2left"), part,
-                              large.join(way, part), "pos")
-        text = ordered_concat(placed, part, ["pos"], "content", "\n", "text", bucket=tiles(F.col("pos"), 512))
-        out = out.unionByName(text.join(way.withColumnRenamed("_way", "direction"), part))
-    return out
+    return groups.map_groups(rows, part, ["idx"], join, schema)
 
 
 def cell_texts(cells: DataFrame, words: DataFrame, keys: list[str], cell: str = "idx") -> DataFrame:

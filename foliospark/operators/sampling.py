@@ -56,7 +56,7 @@ def train_val_split(df: DataFrame, ratio: float, seed: int, id_col: str) -> Data
 
 def split_complement(df: DataFrame, sampled: DataFrame, id_col: str) -> DataFrame:
     """Rows whose id was not sampled."""
-    return df.join(sampled.select(id_col).distinct(), id_col, "left_anti")
+    return df.alias("d").join(sampled.select(id_col).distinct().alias("s"), F.col("d." + id_col).eqNullSafe(F.col("s." + id_col)), "left_anti")
 
 
 def line_fragments(lines: DataFrame, total: int, max_len: int, seed: int, id_col: str, text: str = "text") -> DataFrame:

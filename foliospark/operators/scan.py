@@ -24,7 +24,9 @@ def running(
     min_before (up to the previous row).
     """
     columns = list(df.columns)
-    df = df.withColumn("_bucket", bucket)
+    # one struct of keys and bucket: equal structs join also where a key or the bucket is null
+    df = df.withColumn("_bucket", _place(keys, bucket))
+    own = [F.col(f"_bucket.k{i}") for i in range(len(keys))]
     position = F.struct(*(F.col(o) for o in order))
     totals = []
     for name, (kind, c) in specs.items():
@@ -43,9 +45,9 @@ def running(
         else:
             raise ValueError(f"unknown running value {kind}")
         totals.append(total.alias(f"_t_{name}"))
-    sums = df.groupBy(*keys, "_bucket").agg(*totals)
+    sums = df.groupBy("_bucket").agg(*totals)
 
-    along = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.orderBy("_bucket")
+    along = Window.partitionBy(*own).orderBy("_bucket.at") if keys else Window.orderBy("_bucket.at")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     prefixes = []
     for name, (kind, _) in specs.items():
@@ -63,10 +65,10 @@ def running(
         else:
             prefix = F.last(total, ignorenulls=True).over(before)
         prefixes.append(prefix.alias(f"_p_{name}"))
-    bases = sums.select(*keys, "_bucket", *prefixes)
+    bases = sums.select("_bucket", *prefixes)
 
-    joined = df.join(bases, [*keys, "_bucket"])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    joined = df.join(bases, "_bucket")
+    inside = Window.partitionBy("_bucket").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for name, (kind, c) in specs.items():
@@ -93,6 +95,10 @@ def running(
     return joined.select(*columns, *out)
 
 
+def _place(keys: list[str], bucket: Column) -> Column:
+    return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), bucket.alias("at"))
+
+
 def islands(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, lo: Column, hi: Column, gap: Column, name: str
 ) -> DataFrame:
@@ -102,24 +108,25 @@ def islands(
     `gap` is constant within a key.
     """
     columns = list(df.columns)
-    rows = df.withColumn("_bucket", bucket).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_gap", gap)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    rows = df.withColumn("_bucket", _place(keys, bucket)).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_gap", gap)
+    inside = Window.partitionBy("_bucket").orderBy(*order)
     seen = F.max("_hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     position = F.struct(*(F.col(o) for o in order))
     opens = seen.isNull() | (F.col("_lo") - seen > F.col("_gap"))
     rows = rows.withColumn("_open", F.when(opens, position))
     # The last row of a bucket that could open an island does so when it also clears the buckets before.
     last = F.max_by(F.struct("_open", "_lo"), F.when(F.col("_open").isNotNull(), position))
-    sums = rows.groupBy(*keys, "_bucket").agg(F.max("_hi").alias("_top"), last.alias("_last"), F.first("_gap").alias("_gap"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_bucket").agg(F.max("_hi").alias("_top"), last.alias("_last"), F.first("_gap").alias("_gap"))
+    own = [F.col(f"_bucket.k{i}") for i in range(len(keys))]
+    before = Window.partitionBy(*own).orderBy("_bucket.at").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_reach", F.max("_top").over(before))
     clears = F.col("_reach").isNull() | (F.col("_last._lo") - F.col("_reach") > F.col("_gap"))
     sums = sums.withColumn("_start", F.when(clears, F.col("_last._open")))
-    bases = sums.select(*keys, "_bucket", "_reach", F.last("_start", ignorenulls=True).over(before).alias("_carry"))
-    joined = rows.join(bases, [*keys, "_bucket"])
-    own = F.when(F.col("_reach").isNull() | (F.col("_lo") - F.col("_reach") > F.col("_gap")), F.col("_open"))
+    bases = sums.select("_bucket", "_reach", F.last("_start", ignorenulls=True).over(before).alias("_carry"))
+    joined = rows.join(bases, "_bucket")
+    opened = F.when(F.col("_reach").isNull() | (F.col("_lo") - F.col("_reach") > F.col("_gap")), F.col("_open"))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    island = F.coalesce(F.last(own, ignorenulls=True).over(upto), F.col("_carry"))
+    island = F.coalesce(F.last(opened, ignorenulls=True).over(upto), F.col("_carry"))
     return joined.select(*columns, island.alias(name))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -69,28 +71,42 @@ def stream_running_best(evals: DataFrame, by: str = "trial") -> DataFrame:
     return evals.groupBy(by).agg(best.alias("b")).select(by, "b.step", "b.cer")
 
 
+def run_name(checkpoint: str) -> str:
+    """Name of all runs from one checkpoint; batch numbers begin again with another one."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Runs a stream over what is there now into a parquet folder. Batches are replaced by number, so a repeated batch
-    leaves no second copy."""
+    """Runs a stream over what is there now into a parquet folder. Batches are replaced by run and number, so a repeated batch
+    leaves no second copy and another run from a new checkpoint adds to what is there."""
+    run = run_name(checkpoint)
+
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(save).start())
 
 
-def incremental_ground_truth(stream: DataFrame, target: str, checkpoint: str, doc: str = "doc_id") -> StreamingQuery:
-    """Adds tables of documents that the target folder does not hold yet; a repeated run adds nothing."""
+def incremental_ground_truth(stream: DataFrame, target: str, checkpoint: str, doc: str = "doc_id", table: str = "table_idx") -> StreamingQuery:
+    """Adds tables of documents that no earlier run has added; in this run a document may come in several batches.
+
+    A repeated batch or run adds nothing. Runs are told apart by their checkpoint.
+    """
+    run = run_name(checkpoint)
+
     def add(batch: DataFrame, number: int) -> None:
         from foliospark.operators.render import silver_tables
         from foliospark.sources.readers import path_exists
 
         spark = batch.sparkSession
         if path_exists(spark, target):
-            old = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") != number)
+            old = spark.read.option("basePath", target).parquet(target).filter((F.col("run") != run) | (F.col("batch") != number))
+            before, now = old.filter(F.col("run") != run), old.filter(F.col("run") == run)
+            batch = batch.join(now.select(doc, table).distinct(), [doc, table], "left_anti")
         else:
-            old = spark.createDataFrame([], batch.schema)
-        fresh = silver_tables(batch, old.select(doc), doc=doc)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            before = spark.createDataFrame([], batch.schema)
+        fresh = silver_tables(batch, before.select(doc), doc=doc)
+        fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()

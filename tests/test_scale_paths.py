@@ -131,23 +131,90 @@ def test_nearest_point_far_away(spark):
 def test_edges_equal_page_graph(spark, boxes, direction, limit, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(reading, "WALK_LIMIT", limit)
+    monkeypatch.setattr(reading, "EDGE_LIMIT", limit)
     got = set(rows_of(reading.precedence_edges(boxes, ["page"], direction)))
     want = set()
     for page in (1, 2):
         rows = sorted((r for r in boxes.collect() if r["page"] == page), key=lambda r: r["idx"])
-        children, _, _ = reading._page_graph(np.array([[r[s] for s in g.SIDES] for r in rows], float), direction)
+        children, _ = reading._page_graph(np.array([[r[s] for s in g.SIDES] for r in rows], float), direction)
         want |= {(page, rows[i]["idx"], rows[j]["idx"]) for i, c in enumerate(children) for j in c}
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [1000, 20])
-def test_priority_order_is_a_permutation(spark, boxes, limit, monkeypatch):
-    monkeypatch.setattr(reading, "WALK_LIMIT", limit)
-    out = reading.priority_order(boxes, ["page"], F.lit("top2bottom")).collect()
-    for page, n in ((1, 150), (2, 12)):
-        rows = [r for r in out if r["page"] == page]
-        assert sorted(r["pos"] for r in rows) == list(range(n)) == sorted(r["idx"] for r in rows)
+def plain_walk(children, distance):
+    """The rule of reading.walk, with no other state than lists."""
+    n = len(children)
+    parents = [{i for i in range(n) if j in children[i]} for j in range(n)]
+    order, waiting, path, places, met = [], [], [], [0] * n, set()
+
+    def meet(i):
+        met.add(i)
+        if parents[i] <= set(order):
+            order.append(i)
+            path.append(i)
+        else:
+            waiting.append(i)
+
+    while len(order) < n:
+        ready = [i for i in waiting if parents[i] <= set(order)]
+        if ready:
+            waiting.remove(ready[0])
+            meet(ready[0])
+            continue
+        while path and places[path[-1]] == len(children[path[-1]]):
+            path.pop()
+        if path:
+            i = path[-1]
+            child = children[i][places[i]]
+            places[i] += 1
+            if child not in met:
+                meet(child)
+            continue
+        fresh = [i for i in sorted(range(n), key=lambda k: distance[k]) if i not in met]
+        if fresh:
+            meet(fresh[0])
+        else:
+            order.append(waiting[0])
+            path.append(waiting.pop(0))
+    return order
+
+
+def test_walk_follows_its_rule():
+    rnd = random.Random(6)
+    for _ in range(300):
+        n = rnd.randrange(1, 14)
+        children = [sorted({j for j in range(n) if j != i and rnd.random() < 0.25}) for i in range(n)]
+        distance = [rnd.random() for _ in range(n)]
+        assert reading.walk(children, distance) == plain_walk(children, distance)
+    chain = [[i + 1] for i in range(50_000)] + [[]]
+    assert reading.walk(chain, list(range(50_001))) == list(range(50_001))
+
+
+@pytest.mark.parametrize("chunk", [7, 256])
+@pytest.mark.parametrize("direction", ["top2bottom", "left2right", "right2left"])
+def test_one_order_for_large_pages(spark, monkeypatch, direction, chunk):
+    """3,000 boxes on one page are ordered by the rule for small ones, however they are cut."""
+    import numpy as np
+
+    rnd = random.Random(7)
+    rows = [(1, i, *(lambda x, y: (x, y, x + rnd.randrange(20, 90), y + rnd.randrange(8, 30)))(rnd.randrange(3000), rnd.randrange(3000))) for i in range(3000 if chunk > 100 else 200)]
+    df = spark.createDataFrame(rows, "page bigint, idx bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    monkeypatch.setattr(reading, "CHUNK", chunk)
+    got = [r["idx"] for r in sorted(reading.priority_order(df, ["page"], F.lit(direction)).collect(), key=lambda r: r["pos"])]
+    monkeypatch.setattr(reading, "CHUNK", 1 << 20)
+    children, distance = reading._page_graph(np.array([r[2:] for r in rows], float), direction)
+    assert got == (plain_walk(children, distance.tolist()) if len(rows) < 1000 else reading.walk(children, distance.tolist()))
+
+
+def test_median_distance(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(reading, "CHUNK", 2)
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 10, 57, 300):
+        for x, y in ((rng.random(n), rng.random(n)), (rng.integers(0, 3, n) * 1.0, np.zeros(n)), (np.ones(n), np.ones(n))):
+            d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)[np.triu_indices(n, 1)]
+            assert reading.median_distance(x, y) == np.median(d)
 
 
 def test_groups_across_batches(spark):
