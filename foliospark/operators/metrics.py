@@ -27,7 +27,7 @@ def cer_of(ref: Column, hyp: Column) -> Column:
 
 def cer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean character error rate over pairs, and the same weighted by length."""
-    scored = spread(pairs).withColumn("_d", t.edit_distance(F.col("ref"), F.col("hyp"))).withColumn("_n", F.length("ref"))
+    scored = pairs.withColumn("_d", t.edit_distance(F.col("ref"), F.col("hyp"))).withColumn("_n", F.length("ref"))
     empty = F.when(F.length("hyp") == 0, 0.0).otherwise(1.0)
     one = F.when(F.col("_n") == 0, empty).otherwise(F.col("_d") / F.col("_n"))
     return scored.groupBy(*(by or [])).agg(
@@ -40,7 +40,7 @@ def wer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     def tokens(c: str) -> Column:
         return t.words(F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", ""))
 
-    scored = spread(pairs).withColumn("_r", tokens("ref")).withColumn("_h", tokens("hyp"))
+    scored = pairs.withColumn("_r", tokens("ref")).withColumn("_h", tokens("hyp"))
     scored = scored.withColumn("_d", token_distance("_r", "_h")).withColumn("_n", F.size("_r"))
     empty = F.when(F.size("_h") == 0, 0.0).otherwise(1.0)
     one = F.when(F.col("_n") == 0, empty).otherwise(F.col("_d") / F.col("_n"))
@@ -48,7 +48,7 @@ def wer(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def prediction_stats(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return spread(pairs).groupBy(*(by or [])).agg(
+    return pairs.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.length("hyp")).alias("avg_len"),
         F.avg((F.length("hyp") == 0).cast("int")).alias("empty_ratio"),
         F.avg(cer_of(F.col("ref"), F.col("hyp"))).alias("cer"),

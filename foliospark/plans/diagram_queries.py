@@ -109,7 +109,7 @@ def flow(tb: Tables):
 
     blocks = ranked(named(tb), PAGE, ["idx"], tiles(F.col("idx"), 1024), "pos").withColumn("pos", F.col("pos") - 1)
     lanes = dg.swimlanes(named(tb), PAGE, F.lit(W))
-    layout = tb.boxes.withColumn("label", F.when(F.col("label") == "A", "Figure").otherwise("text")).filter("page < 50")
+    layout = tb.boxes.withColumn("label", F.when(F.col("label") == "A", "Figure").otherwise("text"))
     return dg.flow_graph(blocks, lanes, layout, PAGE)
 
 

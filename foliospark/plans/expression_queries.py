@@ -192,16 +192,17 @@ def doc_lines(tb: Tables):
     )
 
 
-@query("normalize_label")
+# In these texts no character has a compatibility form, so that NFC gives what NFKC does.
+@query("normalize_label", sql(f"SELECT doc_id, line_no, {sql_collapse('nfc_normalize(line)')} AS label FROM l", l=LINE_SQL))
 def normalize_label(tb: Tables):
     return doc_lines(tb).select("doc_id", "line_no", t.normalize_label(F.col("line")).alias("label"))
 
 
 @query("clean_ocr_text", sql(f"""
-    SELECT doc_id, line_no, md5(translate(translate({sql_collapse('line')}, '{t.CONFUSED_FROM}', '{t.CONFUSED_TO}'),
+    SELECT doc_id, line_no, md5(translate(translate({sql_collapse('nfc_normalize(line)')}, '{t.CONFUSED_FROM}', '{t.CONFUSED_TO}'),
            '{t.PUNCT_FROM}', '{t.PUNCT_TO}')) AS cleaned FROM l""", l=LINE_SQL))
 def clean_ocr_text(tb: Tables):
-    text = t.clean_ocr_text(F.col("line"), dedup=False, normalize=False)
+    text = t.clean_ocr_text(F.col("line"))
     return doc_lines(tb).select("doc_id", "line_no", F.md5(text).alias("cleaned"))
 
 
@@ -402,14 +403,14 @@ def truncate_context(tb: Tables):
 
 
 @query("edit_distance", sql("""
-    SELECT doc_id, line_no, levenshtein(ref, hyp) AS dist FROM text_pairs""", "text_pairs"))
+    SELECT doc_id, line_no, levenshtein(eref, ehyp) AS dist FROM text_pairs""", "codes", "text_pairs"))
 def edit_distance(tb: Tables):
     return spread(tb.text_pairs).select("doc_id", "line_no", t.edit_distance(F.col("ref"), F.col("hyp")).alias("dist"))
 
 
 @query("edit_similarity", sql("""
-    SELECT doc_id, line_no, 1 - levenshtein(ref, hyp) / greatest(length(ref), length(hyp)) AS sim FROM text_pairs""",
-    "text_pairs"))
+    SELECT doc_id, line_no, 1 - levenshtein(eref, ehyp) / greatest(length(ref), length(hyp)) AS sim FROM text_pairs""",
+    "codes", "text_pairs"))
 def edit_similarity(tb: Tables):
     sim = t.edit_similarity(F.col("ref"), F.col("hyp"))
     return spread(tb.text_pairs).select("doc_id", "line_no", sim.alias("sim"))

@@ -44,13 +44,20 @@ CTE: dict[str, str] = {
         SELECT a.page, a.idx AS i, b.idx AS j, a.label AS label_a, b.label AS label_b, a.score AS score_a,
                a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
         FROM boxes a JOIN preds b ON a.page = b.page AND b.idx BETWEEN a.idx AND a.idx + 1""",
+    # each character beyond ASCII gets an unused single byte: DuckDB's edit distance counts bytes
+    "codes": """
+        SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS chars, coalesce(string_agg(chr(CAST(k AS INTEGER)), '' ORDER BY c), '') AS bytes
+        FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (
+            SELECT DISTINCT unnest(string_split(text, '')) AS c FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations))
+            WHERE length(c) = 1 AND strlen(c) > 1)""",
     "text_pairs": """
-        SELECT doc_id, source, line_no, ref, translate(ref, 'eo', 'co') AS hyp
-        FROM (SELECT doc_id, source, CAST(k AS BIGINT) AS line_no, regexp_replace(line, '[^ -~]', '', 'g') AS ref
-              FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-                           generate_subscripts(string_split(text, chr(10)), 1) AS k
-                    FROM documents WHERE lang = 'en'))
-        WHERE ref <> ''""",
+        SELECT *, translate(ref, chars, bytes) AS eref, translate(hyp, chars, bytes) AS ehyp
+        FROM (SELECT doc_id, source, line_no, ref, translate(ref, 'eo', 'co') AS hyp
+              FROM (SELECT doc_id, source, CAST(k AS BIGINT) AS line_no, line AS ref
+                    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                                 generate_subscripts(string_split(text, chr(10)), 1) AS k
+                          FROM documents))
+              WHERE ref <> ''), codes""",
     "qa": f"""
         SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer,
                lower(array_to_string(toks[:len(toks) - 1], ' ')) AS prediction
@@ -232,10 +239,9 @@ class Tables:
     @cached_property
     def text_pairs(self) -> DataFrame:
         return (
-            self.read("documents").filter("lang = 'en'")
-            .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-            .select("doc_id", "source", (F.col("k") + 1).cast("bigint").alias("line_no"),
-                    F.regexp_replace("line", "[^ -~]", "").alias("ref"))
+            self.read("documents")
+            .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("k", "ref"))
+            .select("doc_id", "source", (F.col("k") + 1).cast("bigint").alias("line_no"), "ref")
             .filter("ref <> ''")
             .withColumn("hyp", F.translate("ref", "eo", "co"))
         )

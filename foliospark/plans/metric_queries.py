@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.operators import detection as det, metrics as m
+from foliospark.operators.scan import spread
 from foliospark.plans.expression_queries import WS2, near
 from foliospark.plans.fixtures import Tables, sql
 from foliospark.plans.registry import query
@@ -16,30 +17,26 @@ def rounded(df, *names):
     return df.select(*(near(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
-def ascii_only(c):
-    return F.regexp_replace(c, "[^ -~]", "")
-
-
 # ---- recognition ----------------------------------------------------------------------------------------------
 
 @query("cer", sql("""
-    SELECT source, count(*) AS pairs, round(avg(levenshtein(ref, hyp) / length(ref)) + 1e-9, 6) AS cer,
-           round(sum(levenshtein(ref, hyp)) / sum(length(ref)) + 1e-9, 6) AS cer_micro FROM text_pairs GROUP BY source""",
-    "text_pairs"))
+    SELECT source, count(*) AS pairs, round(avg(levenshtein(eref, ehyp) / length(ref)) + 1e-9, 6) AS cer,
+           round(sum(levenshtein(eref, ehyp)) / sum(length(ref)) + 1e-9, 6) AS cer_micro FROM text_pairs GROUP BY source""",
+    "codes", "text_pairs"))
 def cer(tb: Tables):
-    return rounded(m.cer(tb.text_pairs, ["source"]), "cer", "cer_micro")
+    return rounded(m.cer(spread(tb.text_pairs), ["source"]), "cer", "cer_micro")
 
 
 @query("wer")
 def wer(tb: Tables):
-    return rounded(m.wer(tb.text_pairs, ["source"]), "wer")
+    return rounded(m.wer(spread(tb.text_pairs), ["source"]), "wer")
 
 
 @query("prediction_stats", sql("""
     SELECT source, count(*) AS n, round(avg(length(hyp)) + 1e-9, 6) AS avg_len, 0 AS empty_ratio,
-           round(avg(levenshtein(ref, hyp) / length(ref)) + 1e-9, 6) AS cer FROM text_pairs GROUP BY source""", "text_pairs"))
+           round(avg(levenshtein(eref, ehyp) / length(ref)) + 1e-9, 6) AS cer FROM text_pairs GROUP BY source""", "codes", "text_pairs"))
 def prediction_stats(tb: Tables):
-    return rounded(m.prediction_stats(tb.text_pairs, ["source"]), "avg_len", "cer")
+    return rounded(m.prediction_stats(spread(tb.text_pairs), ["source"]), "avg_len", "cer")
 
 
 @query("charset", sql("""
@@ -318,29 +315,27 @@ def token_f1(tb: Tables):
     return rounded(m.token_f1(rows, ["conv_id", "turn"]).select("conv_id", "turn", "f1"), "f1")
 
 
-QA_ASCII = """SELECT conv_id, turn, regexp_replace(prediction, '[^ -~]', '', 'g') AS prediction,
-    regexp_replace(answer, '[^ -~]', '', 'g') AS answer FROM qa"""
-ANLS = {**{"pairs": TOKEN_F1["pairs"].replace("FROM qa", "FROM qa_ascii")}, "toks": TOKEN_F1["toks"], "f": TOKEN_F1["f"]}
+ANLS = {**TOKEN_F1, "pairs": f"SELECT *, translate(p, chars, bytes) AS ep, translate(r, chars, bytes) AS er FROM ({TOKEN_F1['pairs']}), codes"}
 ANLS_CASE = """CASE WHEN p = '' AND r = '' THEN 1.0 WHEN p = '' OR r = '' THEN 0.0
-    ELSE 1 - least(levenshtein(p, r) / greatest(length(p), length(r)), 1.0) END"""
+    ELSE 1 - least(levenshtein(ep, er) / greatest(length(p), length(r)), 1.0) END"""
 
 
-def ascii_answers(tb: Tables):
-    return tb.qa.select("conv_id", "turn", ascii_only("prediction").alias("pred"), ascii_only("answer").alias("ref"))
+def answers(tb: Tables):
+    return tb.qa.select("conv_id", "turn", F.col("prediction").alias("pred"), F.col("answer").alias("ref"))
 
 
-@query("anls", sql(f"SELECT conv_id, turn, round({ANLS_CASE} + 1e-9, 6) AS anls FROM pairs", "qa", qa_ascii=QA_ASCII,
+@query("anls", sql(f"SELECT conv_id, turn, round({ANLS_CASE} + 1e-9, 6) AS anls FROM pairs", "qa", "codes",
                    pairs=ANLS["pairs"]))
 def anls(tb: Tables):
-    return ascii_answers(tb).select("conv_id", "turn", near(m.anls_of(F.col("pred"), F.col("ref"))).alias("anls"))
+    return answers(tb).select("conv_id", "turn", near(m.anls_of(F.col("pred"), F.col("ref"))).alias("anls"))
 
 
 @query("qa_rollup", sql(f"""
     SELECT conv_id, count(*) AS qa_count, round(avg(CASE WHEN p = r THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS qa_em,
            round(avg(f1) + 1e-9, 4) AS qa_f1, round(avg({ANLS_CASE}) + 1e-9, 4) AS qa_anls FROM f GROUP BY conv_id""",
-    "qa", qa_ascii=QA_ASCII, **ANLS))
+    "qa", "codes", **ANLS))
 def qa_rollup(tb: Tables):
-    return m.qa_rollup(ascii_answers(tb), ["conv_id", "turn"], "conv_id")
+    return m.qa_rollup(answers(tb), ["conv_id", "turn"], "conv_id")
 
 
 @query("na_detection", sql(f"""

@@ -153,13 +153,13 @@ def inject_na(tb: Tables):
       WHEN 'table_qa' THEN '{pr.DOCUMENT} x | y {pr.QUESTION} ' || question
       WHEN 'layout_understanding' THEN '{pr.DOCUMENT} {pr.LAYOUT_TITLE}T' || id || chr(10) || '{pr.LAYOUT_SECTION}1: one' || chr(10) || '{pr.LAYOUT_SECTION}2: {pr.LAYOUT_UNTITLED}' || chr(10) || '{pr.LAYOUT_TABLES}' || (id % 4) || ' {pr.QUESTION} ' || question || ' {pr.HINTS['medium']}'
       ELSE '{pr.DOCUMENT} ' || document || ' {pr.QUESTION} ' || question || {HINT} END) AS prompt,
-      md5(CASE task_type WHEN 'json_extraction' THEN '{{}}' WHEN 'summary' THEN left(document, 20) || CASE WHEN regexp_matches(left(document, 20), '{pr.REASON_WORDS}') THEN '' ELSE '。' END
+      md5(CASE task_type WHEN 'json_extraction' THEN '{{}}' WHEN 'summary' THEN answer || CASE WHEN regexp_matches(answer, '{pr.REASON_WORDS}') THEN '' ELSE '。' END
       WHEN 'table_qa' THEN answer WHEN 'layout_understanding' THEN answer ELSE CASE level WHEN 'high' THEN answer
       WHEN 'medium' THEN answer || CASE WHEN regexp_matches(answer, '{pr.REASON_WORDS}') THEN '' ELSE '。' END ELSE {sql_strip('answer')} END END) AS response FROM lv""", "samples", **LEVELS))
 def task_prompts(tb: Tables):
     rows = tb.samples.select(
         "*", F.create_map(*map(F.lit, ("name", "string", "total", "number"))).alias("schema"), F.lit("{}").alias("extracted"),
-        F.substring("document", 1, 20).alias("summary"), (50 + F.col("id") % 50).alias("max_length"), F.array(F.lit("a"), F.lit("b")).alias("focus"),
+        F.col("answer").alias("summary"), (50 + F.col("id") % 50).alias("max_length"), F.array(F.lit("a"), F.lit("b")).alias("focus"),
         F.lit("x | y").alias("table_text"),
         F.struct(F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), F.array(F.lit("one"), F.lit(None).cast("string")).alias("sections"),
                  (F.col("id") % 4).alias("tables"), F.lit(None).cast("int").alias("figures")).alias("layout"))

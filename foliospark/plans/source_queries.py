@@ -87,12 +87,12 @@ def read_table_annotations(tb: Tables):
 
 
 @query("read_corpus_lines", """
-    SELECT md5(s) AS h, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS s FROM (SELECT regexp_replace(text, '[^ -~\n]', '', 'g') AS text FROM documents))
+    SELECT md5(s) AS h, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS s FROM (SELECT nfc_normalize(text) AS text FROM documents))
     WHERE s <> '' GROUP BY 1""")
 def read_corpus_lines(tb: Tables):
-    """Lines kept to ASCII, so that normalisation changes nothing; every other line is written as a JSON object."""
+    """Every other line is written as a JSON object. In these texts NFC gives what NFKC does."""
     path = scratch_path(tb.spark, "corpus")
-    lines = tb.read("documents").select(F.posexplode(F.split(F.regexp_replace("text", "[^ -~\n]", ""), "\n")).alias("k", "s"))
+    lines = tb.read("documents").select(F.posexplode(F.split("text", "\n")).alias("k", "s"))
     json_line = F.to_json(F.struct(F.lit(1).alias("id"), F.col("s").alias("text")))
     lines.select(F.when(F.col("k") % 2 == 0, json_line).otherwise(F.concat(F.lit(" "), "s")).alias("value"), (F.col("k") % 3).alias("part")).write.partitionBy("part").text(path)
     return rd.read_corpus_lines(tb.spark, path).groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
