@@ -140,7 +140,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
 
 
 def sql(body: str, *names: str, **extra: str) -> str:
-    """`body` with the named fixtures, what they need, and extra CTEs in front."""
+    """`body` with the named fixtures, what they need, and extra CTEs in front; those with the comment `stored` run once."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -151,7 +151,7 @@ def sql(body: str, *names: str, **extra: str) -> str:
 
     for name in names:
         add(name)
-    parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
+    parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS {'MATERIALIZED ' * ('/* stored */' in q)}({q})" for n, q in extra.items()]
     recursive = "RECURSIVE " if any("-- recursive" in q for q in extra.values()) else ""
     return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
 
