@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "foliospark", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "foliospark", master: str | None = None, partitions: int | None = None, scratch: str | None = None) -> SparkSession:
     """Session with adaptive execution and skew-join splitting on.
 
     Estimates do not see how much a table grows when its arrays are exploded, so no join is broadcast on an estimate:
     a side is broadcast only after it was shuffled and measured.
-    `partitions` is left to the cluster when not given: AQE coalesces from the configured number.
+    `partitions` is left to the cluster when not given: AQE coalesces from the configured number. `scratch` is for sessions of
+    one machine; on a cluster `spark.checkpoint.dir` names the folder.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -28,24 +28,22 @@ def build_session(app: str = "foliospark", master: str | None = None, partitions
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder all executors can read: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """Folder all executors can read: `spark.checkpoint.dir`, or the checkpoint folder set on the context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     named = spark.sparkContext.getCheckpointDir()
     if named:
         return os.path.dirname(named.rstrip("/"))
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="foliospark-")
-    spark.sparkContext.setCheckpointDir(named)
-    return named
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

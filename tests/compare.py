@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -70,7 +71,7 @@ def main():
 
     sf, names = sys.argv[1], sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session(master="local[8]", partitions=8)
+    spark = build_session(master="local[8]", partitions=8, scratch=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

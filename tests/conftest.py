@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from foliospark.session import build_session
 
-    session = build_session("tests", "local[8]", 4)
+    session = build_session("tests", "local[8]", 4, tempfile.mkdtemp(prefix="tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
