@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.session import scratch_path
@@ -20,6 +20,18 @@ SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
+#: Most bytes of an Arrow batch between Spark and Python, unless one row alone has more.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES, so that rows of long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

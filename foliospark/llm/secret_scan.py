@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices, utf8
+from foliospark.llm.common import bound_batches, slices, utf8
 
 #: Ends a text in the scanned buffer; it never occurs in UTF-8, so no rule goes across it.
 STOP = 255
@@ -277,6 +277,7 @@ def find_secrets(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, doc_id: str =
     Matches of one kind are leftmost, as long as possible and don't overlap. A null text is an empty one and has no spans.
     One row for each input row; repeated rows and null ids are kept; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     scanner = Scanner(kinds)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import partitions, stored, utf8
+from foliospark.llm.common import bound_batches, partitions, stored, utf8
 from foliospark.llm.components import components
 
 #: Words of a shingle, and differing bits up to which two fingerprints link.
@@ -46,6 +46,7 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row. A null text counts as empty."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

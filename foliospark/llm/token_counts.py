@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WordHash, slices, sums_by_row, utf8, word_spans
+from foliospark.llm.common import WordHash, bound_batches, slices, sums_by_row, utf8, word_spans
 
 #: Folder of public tokenizer files, and the file whose pieces are used.
 TOKENIZERS, PIECE_FILE = "/opt/tokenizers", "piece_bpe_32k.model"
@@ -71,6 +71,7 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], doc_id: str = "doc_i
 
     Words end at ASCII white space. Each task counts the tokens of its distinct words once; nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # as many as the vocabulary has
 

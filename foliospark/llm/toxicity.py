@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WordHash, mix, slices, stored, sums_by_row, symbol_table, utf8, word_spans
+from foliospark.llm.common import WordHash, bound_batches, mix, slices, stored, sums_by_row, symbol_table, utf8, word_spans
 
 #: Labelled documents of each class that the models are fitted on at most; further ones are left out by a hash of the id.
 SAMPLE_DOCS = 3000
@@ -150,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, trusted: Column, doc_id: str = "do
 
     Null ids or labels are left out; a document labelled twice is toxic if one label says so. Without labels every text scores alike.
     """
+    bound_batches(docs.sparkSession)
     marks = labels.where(trusted & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
     h = F.pmod(F.xxhash64("_id"), F.lit(1_000_003))
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, trusted: Column, doc_id: str = "do
 def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score (0 to 1) and predicted (1 from `threshold` on). A null text is an empty one; repeated
     rows and null ids stay; other columns are not read."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(dict(vars(models)))
 
