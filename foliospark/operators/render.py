@@ -23,32 +23,44 @@ def table_summaries(tables: DataFrame, cells: DataFrame, keys: list[str]) -> Dat
     return tables.join(sizes, [*keys, "table_idx"], "left").na.fill(0, ["num_cells"])
 
 
+def _optional(df: DataFrame, *names: str) -> list[Column]:
+    """Those of the columns (JSON texts such as metadata) that the table has, as JSON values; null ones are left out."""
+    return [F.try_parse_json(F.col(n)).alias(n) for n in names if n in df.columns]
+
+
+def _table_json(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Tables with `_table`: cells, num_cells, bbox and, where there are cells, dimensions, as the inside of a JSON object."""
+    cell = F.to_json(F.struct("row", "col", F.col("txt").alias("text")))
+    cell_list = ordered_concat(cells.withColumn("_j", cell), [*keys, "table_idx"], ["row", "col"], "_j", ",", "_cells", tiles(F.col("row"), CHUNK))
+    full = table_summaries(tables, cells, keys).join(cell_list, [*keys, "table_idx"], "left")
+    box = F.to_json(F.array(*g.SIDES))
+    return full.withColumn("_table", F.concat(
+        _lit('"cells":['), F.coalesce("_cells", _lit("")), _lit('],"num_cells":'), F.col("num_cells").cast("string"), _lit(',"bbox":'), box,
+        F.coalesce(F.concat(_lit(',"dimensions":{"rows":'), F.col("rows").cast("string"), _lit(',"cols":'), F.col("cols").cast("string"), _lit("}")), _lit(""))))
+
+
 def export_nested(docs: DataFrame, pages: DataFrame, blocks: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
     """JSON lines: per document a header line, then a line per page with its blocks, tables and reading order.
 
-    Keys are doc_id and page_num. A line holds one page; the elements of a page are joined in two steps.
+    Keys are doc_id and page_num. A line holds one page; the elements of a page are joined in two steps. Optional JSON columns:
+    metadata of docs and blocks, graphs and charts of pages.
     """
     keys = ["doc_id", "page_num"]
     n_pages = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_pages"))
     head = docs.join(n_pages, "doc_id", "left").select(
         "doc_id", F.lit(-1).cast("bigint").alias("page_num"),
-        F.to_json(F.struct(_lit("document").alias("type"), "filename", F.coalesce("num_pages", F.lit(0)).alias("num_pages"))).alias("line"))
-    block = F.to_json(F.struct("text", "block_type", F.array(*g.SIDES).alias("bbox"), "confidence"))
+        F.to_json(F.struct(_lit("document").alias("type"), "filename", F.coalesce("num_pages", F.lit(0)).alias("num_pages"), *_optional(docs, "metadata"))).alias("line"))
+    block = F.to_json(F.struct("text", "block_type", F.array(*g.SIDES).alias("bbox"), "confidence", *_optional(blocks, "metadata")))
     block_list = ordered_concat(blocks.withColumn("_j", block), keys, ["block_idx"], "_j", ",", "_blocks", tiles(F.col("block_idx"), CHUNK))
     order = ordered_concat(blocks.withColumn("_j", F.col("block_idx").cast("string")), keys, ["pos"], "_j", ",", "_order", tiles(F.col("pos"), CHUNK))
-    cell = F.to_json(F.struct("row", "col", F.col("txt").alias("text")))
-    cell_list = ordered_concat(cells.withColumn("_j", cell), [*keys, "table_idx"], ["row", "col"], "_j", ",", "_cells", tiles(F.col("row"), CHUNK))
-    full = table_summaries(tables, cells, keys).join(cell_list, [*keys, "table_idx"], "left")
-    table = F.concat(
-        _lit('{"cells":['), F.coalesce("_cells", _lit("")), _lit('],"num_cells":'), F.col("num_cells").cast("string"),
-        F.coalesce(F.concat(_lit(',"dimensions":{"rows":'), F.col("rows").cast("string"), _lit(',"cols":'), F.col("cols").cast("string"), _lit("}")), _lit("")),
-        _lit("}"))
-    table_list = ordered_concat(full.withColumn("_j", table), keys, ["table_idx"], "_j", ",", "_tables", tiles(F.col("table_idx"), CHUNK))
+    full = _table_json(tables, cells, keys)
+    table_list = ordered_concat(full.withColumn("_j", F.concat(_lit("{"), "_table", _lit("}"))), keys, ["table_idx"], "_j", ",", "_tables", tiles(F.col("table_idx"), CHUNK))
     rows = pages.join(block_list, keys, "left").join(order, keys, "left").join(table_list, keys, "left")
     part = lambda name, c: F.concat(_lit(f',"{name}":['), F.coalesce(c, _lit("")), _lit("]"))
     base = F.to_json(F.struct(_lit("page").alias("type"), "page_num", "width", "height"))
+    more = [F.concat(_lit(f',"{n}":'), F.coalesce(F.col(n), _lit("[]"))) for n in ("graphs", "charts") if n in pages.columns]
     line = F.concat(F.expr("substring(_base, 1, length(_base) - 1)"), part("text_blocks", F.col("_blocks")), part("tables", F.col("_tables")),
-                    part("reading_order", F.col("_order")), _lit("}"))
+                    part("reading_order", F.col("_order")), *more, _lit("}"))
     body = rows.withColumn("_base", base).select(*keys, line.alias("line"))
     return head.unionByName(body)
 
@@ -60,10 +72,10 @@ def export_flat(pages: DataFrame, blocks: DataFrame, tables: DataFrame, cells: D
     page = pages.select(*keys, F.lit(0).alias("kind"), zero.alias("idx"), F.to_json(
         F.struct(_lit("page").alias("type"), "page_num", "width", "height")).alias("line"))
     block = blocks.select(*keys, F.lit(1).alias("kind"), F.col("block_idx").alias("idx"), F.to_json(F.struct(
-        _lit("text_block").alias("type"), "page_num", "block_idx", "text", "block_type", F.array(*g.SIDES).alias("bbox"), "confidence")).alias("line"))
-    table = table_summaries(tables, cells, keys).select(*keys, F.lit(2).alias("kind"), F.col("table_idx").alias("idx"), F.to_json(F.struct(
-        _lit("table").alias("type"), "page_num", "table_idx", "num_cells",
-        F.when(F.col("rows").isNotNull(), F.struct("rows", "cols")).alias("dimensions"))).alias("line"))
+        _lit("text_block").alias("type"), "page_num", "block_idx", "text", "block_type", F.array(*g.SIDES).alias("bbox"), "confidence",
+        *_optional(blocks, "metadata"))).alias("line"))
+    table = _table_json(tables, cells, keys).select(*keys, F.lit(2).alias("kind"), F.col("table_idx").alias("idx"), F.concat(
+        _lit('{"type":"table","page_num":'), F.col("page_num").cast("string"), _lit(',"table_idx":'), F.col("table_idx").cast("string"), _lit(","), "_table", _lit("}")).alias("line"))
     return page.unionByName(block).unionByName(table)
 
 
@@ -241,38 +253,95 @@ def csv_field(c: Column) -> Column:
 
 
 def _page_join(paragraphs: DataFrame, tables: DataFrame, table_text: DataFrame, piece: Column, sep: str, name: str,
-               wrap=lambda c: c) -> DataFrame:
-    keys = ["page"]
-    rows = paragraphs.select(*keys, "order", piece.alias("_x"))
-    made = tables.join(table_text, ["page", "idx"]).select(*keys, "order", wrap(F.col("out")).alias("_x"))
-    return ordered_concat(rows.unionByName(made), keys, ["order"], "_x", sep, name, tiles(F.col("order"), CHUNK))
-
-
-def page_markdown(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False) -> DataFrame:
-    """(page, md): elements in order. paragraphs: page, order, text, role. tables: page, idx, order, n_row, n_col."""
+               wrap=lambda c: c, figures: DataFrame | None = None, link: Column | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """Pieces of a page in order. figures: page, idx, order; `link` is their piece, if any. inside: page, figure, order, text, role of the
+    paragraphs in figures, which follow their figure's link; `piece` is made of text and role."""
+    keys, first = ["page"], F.lit(0).cast("bigint").alias("_sub")
+    rows = paragraphs.select(*keys, "order", first, piece.alias("_x"))
+    made = tables.join(table_text, ["page", "idx"]).select(*keys, "order", first, wrap(F.col("out")).alias("_x"))
+    rows = rows.unionByName(made)
+    if figures is not None and link is not None:
+        rows = rows.unionByName(figures.select(*keys, "order", first, link.alias("_x")))
+    if figures is not None and inside is not None:
+        own = inside.select(*keys, "figure", (F.col("order") + 1).cast("bigint").alias("_sub"), piece.alias("_x"))
+        rows = rows.unionByName(own.join(figures.select(*keys, F.col("idx").alias("figure"), "order"), [*keys, "figure"]).drop("figure"))
+    return ordered_concat(rows, keys, ["order", "_sub"], "_x", sep, name, tiles(F.col("order"), CHUNK))
+
+
+def figure_link(width: str, folder: str = "figures") -> Column:
+    """Image element of a figure whose file is named after its page and number."""
+    name = F.concat(F.col("page").cast("string"), _lit("_figure_"), F.col("idx").cast("string"), _lit(".png"))
+    return F.concat(_lit(f'<img src="{folder}/'), name, _lit(f'" width="{width}"><br>'))
+
+
+def page_markdown(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False, figures: DataFrame | None = None,
+                  figure_paragraphs: DataFrame | None = None, width: int = 200, folder: str = "figures") -> DataFrame:
+    """(page, md): elements in order. paragraphs: page, order, text, role. tables: page, idx, order, n_row, n_col.
+
+    figures: page, idx, order. figure_paragraphs: page, figure, order, text, role; given, they follow their figure.
+    """
     made = page_tables(cells, tables, ["page", "idx"], "md", drop_breaks)
-    return _page_join(paragraphs, tables, made, paragraph_markdown(F.col("text"), F.col("role"), drop_breaks), "\n", "md")
+    return _page_join(paragraphs, tables, made, paragraph_markdown(F.col("text"), F.col("role"), drop_breaks), "\n", "md",
+                      figures=figures, link=figure_link(f"{width}px", folder), inside=figure_paragraphs)
 
 
-def page_html(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False) -> DataFrame:
+def page_html(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False, figures: DataFrame | None = None,
+              figure_paragraphs: DataFrame | None = None, width: int = 200, folder: str = "figures") -> DataFrame:
     made = page_tables(cells, tables, ["page", "idx"], "html", drop_breaks)
     body = _breaks(t.escape_html(F.col("text")), drop_breaks, "<br>")
     body = F.when(F.col("role") == "section_headings", F.concat(_lit("<h1>"), body, _lit("</h1>"))).otherwise(body)
-    return _page_join(paragraphs, tables, made, F.concat(_lit("<p>"), body, _lit("</p>")), "", "html")
+    return _page_join(paragraphs, tables, made, F.concat(_lit("<p>"), body, _lit("</p>")), "", "html",
+                      figures=figures, link=figure_link(str(width), folder), inside=figure_paragraphs)
 
 
-def page_csv(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False) -> DataFrame:
-    """(page, csv): paragraphs as one field, tables as rows, a row with one empty field after each element."""
+def page_csv(paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, drop_breaks: bool = False, figures: DataFrame | None = None,
+             figure_paragraphs: DataFrame | None = None) -> DataFrame:
+    """(page, csv): paragraphs as one field, tables as rows, a row with one empty field after each element. Figures have no row of
+    their own, their paragraphs have."""
     made = page_tables(cells, tables, ["page", "idx"], "csv", drop_breaks)
     end = lambda c: F.concat(c, _lit('\r\n""\r\n'))
-    return _page_join(paragraphs, tables, made, end(csv_field(_breaks(F.col("text"), drop_breaks, "\n"))), "", "csv", end)
+    return _page_join(paragraphs, tables, made, end(csv_field(_breaks(F.col("text"), drop_breaks, "\n"))), "", "csv", end,
+                      figures=figures, inside=figure_paragraphs)
+
+
+def _json_of(*columns: Column | str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def page_json(elements: DataFrame, drop_breaks: bool = False) -> DataFrame:
     """(page, order, json): one object per element with its keys in alphabetical order."""
     text = _breaks(F.col("text"), drop_breaks, "\n")
-    row = F.struct(F.array(*g.SIDES).alias("box"), text.alias("contents"), "direction", "order", "role")
-    return elements.select("page", "order", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+    return elements.select("page", "order", _json_of(F.array(*g.SIDES).alias("box"), text.alias("contents"), "direction", "order", "role").alias("json"))
+
+
+def page_document(pages: DataFrame, paragraphs: DataFrame, tables: DataFrame, cells: DataFrame, words: DataFrame, figures: DataFrame,
+                  figure_paragraphs: DataFrame, drop_breaks: bool = False) -> DataFrame:
+    """(page, json): a whole page as one object, keys in alphabetical order: figures with their paragraphs, paragraphs, tables with
+    their cells, words. With `drop_breaks` line breaks go from paragraphs and cells.
+
+    paragraphs: page, order, box, text, direction, role. figures: page, idx, order, box, direction. figure_paragraphs: as
+    paragraphs, with figure. tables: page, idx, order, box, n_row, n_col. cells: page, idx, box, row, col, row_span, col_span, txt.
+    words: page, n, points, content, direction, rec_score, det_score.
+    """
+    box = F.array(*g.SIDES).alias("box")
+    text = _breaks(F.col("text"), drop_breaks, "\n").alias("contents")
+    put = lambda df, keys, order, json, name: ordered_concat(df.withColumn("_j", json), keys, order, "_j", ",", name, tiles(F.col(order[0]), CHUNK))
+    listed = lambda name: F.concat(_lit("["), F.coalesce(name, _lit("")), _lit("]"))
+    paragraph = _json_of(box, text, "direction", "order", "role")
+    inside = put(figure_paragraphs, ["page", "figure"], ["order"], paragraph, "_p").withColumnRenamed("figure", "idx")
+    whole = figures.join(inside, ["page", "idx"], "left")
+    head = F.to_json(F.struct(box, "direction", "order"), {"ignoreNullFields": "false"})
+    figure = F.concat(F.substring(head, 1, F.length(head) - 1), _lit(',"paragraphs":'), listed(F.col("_p")), _lit("}"))
+    cell = _json_of(box, "col", "col_span", _breaks(F.col("txt"), drop_breaks, "\n").alias("contents"), "row", "row_span")
+    full = tables.join(put(cells, ["page", "idx"], ["row", "col"], cell, "_c"), ["page", "idx"], "left")
+    table = F.concat(_lit('{"box":'), F.to_json(box), _lit(',"cells":'), listed(F.col("_c")), _lit(","), F.substring(_json_of("n_col", "n_row", "order"), 2, 1 << 30))
+    word = _json_of("content", "det_score", "direction", "points", "rec_score")
+    out = pages.select("page").distinct()
+    for df, order, json, name in ((whole, ["order"], figure, "figures"), (paragraphs, ["order"], paragraph, "paragraphs"),
+                                  (full, ["order"], table, "tables"), (words, ["n"], word, "words")):
+        out = out.join(put(df, ["page"], order, json, name), "page", "left")
+    parts = [F.concat(_lit(f'"{n}":'), listed(F.col(n))) for n in ("figures", "paragraphs", "tables", "words")]
+    return out.select("page", F.concat(_lit("{"), F.concat_ws(",", *parts), _lit("}")).alias("json"))
 
 
 # --- fixed values: font sizes of a text layer

@@ -37,6 +37,10 @@ def blocks(tb: Tables):
         (10 + F.length("text")).alias("x2"), (30 * (k % 10) + 25).alias("y2"), (9 - k % 10).alias("pos"))
 
 
+def blocks_with_metadata(tb: Tables):
+    return blocks(tb).withColumn("metadata", F.concat(F.lit('{"n":'), F.col("block_idx").cast("string"), F.lit("}")))
+
+
 def pages(tb: Tables):
     k = F.size(F.split("text", "\n"))
     last = F.expr("(n - 1) div 10 + 1")
@@ -60,33 +64,46 @@ def tables(tb: Tables):
         "*", F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.lit(300).alias("x2"), F.lit(100).alias("y2"))
 
 
-@query("export_nested", sql("""
-    SELECT p.doc_id, p.page_num, coalesce(b.n, 0) AS n_blocks, coalesce(t.num_cells, 0) AS num_cells, coalesce(t.rows, 0) AS rows, b.ids AS reading_order
-    FROM pg p LEFT JOIN (SELECT doc_id, page_num, count(*) AS n, string_agg(CAST(block_idx AS VARCHAR), ',' ORDER BY pos) AS ids FROM blk GROUP BY doc_id, page_num) b
-      ON p.doc_id = b.doc_id AND p.page_num = b.page_num LEFT JOIN tb t ON t.doc_id = p.doc_id AND t.page_num = p.page_num
-    UNION ALL SELECT doc_id, -1, count(*), 0, 0, NULL FROM pg GROUP BY doc_id""", "cells", **DOC))
+BLOCK_JSON = """'"text":' || CAST(to_json(txt) AS VARCHAR) || ',"block_type":"' || block_type || '","bbox":[' || x1 || ',' || y1 || ',' || x2 || ',' || y2
+    || '],"confidence":' || CAST(confidence AS DOUBLE) || ',"metadata":{"n":' || block_idx || '}'"""
+TABLE_JSON = """
+      SELECT t.*, '"cells":[' || js || '],"num_cells":' || num_cells || ',"bbox":[0,0,300,100],"dimensions":{"rows":' || rows || ',"cols":' || cols || '}' AS js
+      FROM tb t JOIN (SELECT doc_id, string_agg('{"row":' || "row" || ',"col":' || col || ',"text":"' || txt || '"}', ',' ORDER BY "row", col) AS js FROM cel GROUP BY doc_id) c
+        ON t.doc_id = c.doc_id"""
+
+
+@query("export_nested", sql(f"""
+    SELECT p.doc_id, p.page_num, coalesce(b.n, 0) AS n_blocks, coalesce(t.num_cells, 0) AS num_cells, coalesce(t.rows, 0) AS rows, b.ids AS reading_order,
+           md5('{{"type":"page","page_num":' || p.page_num || ',"width":1000,"height":1400,"text_blocks":[' || coalesce(b.js, '') || '],"tables":['
+               || coalesce('{{' || t.js || '}}', '') || '],"reading_order":[' || coalesce(b.ids, '') || '],"graphs":[' || p.page_num || '],"charts":[]}}') AS h
+    FROM pg p LEFT JOIN (SELECT doc_id, page_num, count(*) AS n, string_agg(CAST(block_idx AS VARCHAR), ',' ORDER BY pos) AS ids,
+                                string_agg('{{' || {BLOCK_JSON} || '}}', ',' ORDER BY block_idx) AS js FROM blk GROUP BY doc_id, page_num) b
+      ON p.doc_id = b.doc_id AND p.page_num = b.page_num LEFT JOIN tj t ON t.doc_id = p.doc_id AND t.page_num = p.page_num
+    UNION ALL SELECT doc_id, -1, count(*), 0, 0, NULL, md5('{{"type":"document","filename":"in/doc' || doc_id || '.v1.pdf","num_pages":' || count(*) || ',"metadata":{{"id":' || doc_id || '}}}}')
+      FROM pg GROUP BY doc_id""", "cells", **DOC, tj=TABLE_JSON))
 def export_nested(tb: Tables):
-    """Read back from the written lines: block and cell numbers per page, page numbers per document."""
-    lines = rn.export_nested(docs(tb), pages(tb), blocks(tb), tables(tb), cells(tb))
+    """The lines, and what is read back from them: block and cell numbers per page, page numbers per document."""
+    heads = docs(tb).withColumn("metadata", F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit("}")))
+    graphs = pages(tb).withColumn("graphs", F.concat(F.lit("["), F.col("page_num").cast("string"), F.lit("]"))).withColumn("charts", F.lit(None).cast("string"))
+    lines = rn.export_nested(heads, graphs, blocks_with_metadata(tb), tables(tb), cells(tb))
     schema = ("type string, num_pages bigint, text_blocks array<struct<text:string>>, reading_order array<bigint>, "
               "tables array<struct<num_cells:bigint,dimensions:struct<rows:bigint,cols:bigint>>>")
-    j = lines.select("doc_id", "page_num", F.from_json("line", schema).alias("j"))
+    j = lines.select("doc_id", "page_num", F.md5("line").alias("h"), F.from_json("line", schema).alias("j"))
     head = F.col("j.type") == "document"
     total = lambda f: F.coalesce(F.aggregate(F.col("j.tables"), F.lit(0).cast("bigint"), f), F.lit(0))
     return j.select(
         "doc_id", "page_num", F.when(head, F.col("j.num_pages")).otherwise(F.size("j.text_blocks")).alias("n_blocks"),
         total(lambda acc, x: acc + x["num_cells"]).alias("num_cells"), total(lambda acc, x: acc + x["dimensions"]["rows"]).alias("rows"),
-        F.when(~head, F.array_join(F.col("j.reading_order").cast("array<string>"), ",")).alias("reading_order"))
+        F.when(~head, F.array_join(F.col("j.reading_order").cast("array<string>"), ",")).alias("reading_order"), "h")
 
 
-@query("export_flat", sql("""
-    SELECT doc_id, page_num, 0 AS kind, 0 AS idx, md5('{"type":"page","page_num":' || page_num || ',"width":1000,"height":1400}') AS h FROM pg
-    UNION ALL SELECT doc_id, page_num, 1, block_idx, NULL FROM blk
-    UNION ALL SELECT doc_id, page_num, 2, table_idx, md5('{"type":"table","page_num":1,"table_idx":0,"num_cells":' || num_cells || ',"dimensions":{"rows":' || rows
-                     || ',"cols":' || cols || '}}') FROM tb""", "cells", **DOC))
+@query("export_flat", sql(f"""
+    SELECT doc_id, page_num, 0 AS kind, 0 AS idx, md5('{{"type":"page","page_num":' || page_num || ',"width":1000,"height":1400}}') AS h FROM pg
+    UNION ALL SELECT doc_id, page_num, 1, block_idx, md5('{{"type":"text_block","page_num":' || page_num || ',"block_idx":' || block_idx || ',' || {BLOCK_JSON} || '}}') FROM blk
+    UNION ALL SELECT doc_id, page_num, 2, table_idx, md5('{{"type":"table","page_num":1,"table_idx":0,' || js || '}}') FROM tj""", "cells", **DOC, tj=TABLE_JSON))
 def export_flat(tb: Tables):
-    out = rn.export_flat(pages(tb), blocks(tb), tables(tb), cells(tb))
-    return out.select("doc_id", "page_num", "kind", "idx", F.when(F.col("kind") != 1, F.md5("line")).alias("h"))
+    out = rn.export_flat(pages(tb), blocks_with_metadata(tb), tables(tb), cells(tb))
+    return out.select("doc_id", "page_num", "kind", "idx", F.md5("line").alias("h"))
 
 
 @query("export_elements_csv", sql("""
@@ -163,6 +180,18 @@ PAGES = {
                LEFT JOIN cel x ON x.page = t.page AND x."row" = t.r AND x.col = k.c""",
 }
 
+#: One figure on each page, with the assistant's turns inside.
+INSIDE = "SELECT conv_id AS page, 3 AS \"order\", turn + 1 AS sub, text AS txt FROM conversations WHERE role = 'assistant'"
+
+
+def page_figures(tb: Tables):
+    return tb.read("conversations").select(F.col("conv_id").alias("page")).distinct().select("page", F.lit(0).alias("idx"), F.lit(3).cast("bigint").alias("order"))
+
+
+def figure_paragraphs(tb: Tables):
+    return tb.read("conversations").filter("role = 'assistant'").select(
+        F.col("conv_id").alias("page"), F.lit(0).alias("figure"), F.col("turn").alias("order"), "text", F.lit(None).cast("string").alias("role"))
+
 
 def page_paragraphs(tb: Tables):
     return tb.read("conversations").select(
@@ -182,38 +211,46 @@ def page_table_heads(tb: Tables):
 
 
 @query("page_markdown", sql(f"""
-    SELECT page, md5(string_agg(piece, chr(10) ORDER BY "order")) AS h FROM (
-      SELECT page, "order", CASE WHEN role IS NOT NULL THEN '# ' ELSE '' END || replace({ESC_MD_SQL.format(c='txt')}, chr(10), '<br>') || chr(10) AS piece FROM par
-      UNION ALL SELECT page, "order", string_agg('|' || line || '|' || chr(10) || CASE WHEN r = 1 THEN '|-|-|-|' || chr(10) ELSE '' END, '' ORDER BY r) FROM (
+    SELECT page, md5(string_agg(piece, chr(10) ORDER BY "order", sub)) AS h FROM (
+      SELECT page, "order", 0 AS sub, CASE WHEN role IS NOT NULL THEN '# ' ELSE '' END || replace({ESC_MD_SQL.format(c='txt')}, chr(10), '<br>') || chr(10) AS piece FROM par
+      UNION ALL SELECT DISTINCT conv_id, 3, 0, '<img src="figures/' || conv_id || '_figure_0.png" width="200px"><br>' FROM conversations
+      UNION ALL SELECT page, "order", sub, replace({ESC_MD_SQL.format(c='txt')}, chr(10), '<br>') || chr(10) FROM ins
+      UNION ALL SELECT page, "order", 0, string_agg('|' || line || '|' || chr(10) || CASE WHEN r = 1 THEN '|-|-|-|' || chr(10) ELSE '' END, '' ORDER BY r) FROM (
         SELECT page, "order", r, string_agg(replace({ESC_MD_SQL.format(c='txt')}, chr(10), '<br>'), '|' ORDER BY c) AS line FROM grid GROUP BY page, "order", r) GROUP BY page, "order")
-    GROUP BY page""", "cells", **PAGES))
+    GROUP BY page""", "cells", **PAGES, ins=INSIDE))
 def page_markdown(tb: Tables):
-    return rn.page_markdown(page_paragraphs(tb), page_table_heads(tb), page_cells(tb)).select("page", F.md5("md").alias("h"))
+    out = rn.page_markdown(page_paragraphs(tb), page_table_heads(tb), page_cells(tb), figures=page_figures(tb), figure_paragraphs=figure_paragraphs(tb))
+    return out.select("page", F.md5("md").alias("h"))
 
 
 @query("page_html", sql(f"""
-    SELECT page, md5(string_agg(piece, '' ORDER BY "order")) AS h FROM (
-      SELECT page, "order", '<p>' || CASE WHEN role IS NOT NULL THEN '<h1>' ELSE '' END || replace({sql_escape_html('txt')}, chr(10), '<br>')
+    SELECT page, md5(string_agg(piece, '' ORDER BY "order", sub)) AS h FROM (
+      SELECT page, "order", 0 AS sub, '<p>' || CASE WHEN role IS NOT NULL THEN '<h1>' ELSE '' END || replace({sql_escape_html('txt')}, chr(10), '<br>')
              || CASE WHEN role IS NOT NULL THEN '</h1>' ELSE '' END || '</p>' AS piece FROM par
-      UNION ALL SELECT page, 1, '<table border="1" style="border-collapse: collapse">' || string_agg('<tr>' || line || '</tr>', '' ORDER BY "row") || '</table>' FROM (
+      UNION ALL SELECT DISTINCT conv_id, 3, 0, '<img src="figures/' || conv_id || '_figure_0.png" width="200"><br>' FROM conversations
+      UNION ALL SELECT page, "order", sub, '<p>' || replace({sql_escape_html('txt')}, chr(10), '<br>') || '</p>' FROM ins
+      UNION ALL SELECT page, 1, 0, '<table border="1" style="border-collapse: collapse">' || string_agg('<tr>' || line || '</tr>', '' ORDER BY "row") || '</table>' FROM (
         SELECT page, "row", string_agg('<td rowspan="' || row_span || '" colspan="1">' || replace({sql_escape_html('txt')}, chr(10), '<br>') || '</td>', '' ORDER BY col) AS line
         FROM cel GROUP BY page, "row") GROUP BY page)
-    GROUP BY page""", "cells", **PAGES))
+    GROUP BY page""", "cells", **PAGES, ins=INSIDE))
 def page_html(tb: Tables):
-    return rn.page_html(page_paragraphs(tb), page_table_heads(tb), page_cells(tb)).select("page", F.md5("html").alias("h"))
+    out = rn.page_html(page_paragraphs(tb), page_table_heads(tb), page_cells(tb), figures=page_figures(tb), figure_paragraphs=figure_paragraphs(tb))
+    return out.select("page", F.md5("html").alias("h"))
 
 
 CSV_SQL = "CASE WHEN regexp_matches({c}, '[,\"\r\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
 @query("page_csv", sql(f"""
-    SELECT page, md5(string_agg(piece || chr(13) || chr(10) || '""' || chr(13) || chr(10), '' ORDER BY "order")) AS h FROM (
-      SELECT page, "order", {CSV_SQL.format(c='txt')} AS piece FROM par
-      UNION ALL SELECT page, "order", string_agg(line, chr(13) || chr(10) ORDER BY r) FROM (
+    SELECT page, md5(string_agg(piece || chr(13) || chr(10) || '""' || chr(13) || chr(10), '' ORDER BY "order", sub)) AS h FROM (
+      SELECT page, "order", 0 AS sub, {CSV_SQL.format(c='txt')} AS piece FROM par
+      UNION ALL SELECT page, "order", sub, {CSV_SQL.format(c='txt')} FROM ins
+      UNION ALL SELECT page, "order", 0, string_agg(line, chr(13) || chr(10) ORDER BY r) FROM (
         SELECT page, "order", r, string_agg({CSV_SQL.format(c='txt')}, ',' ORDER BY c) AS line FROM grid GROUP BY page, "order", r) GROUP BY page, "order")
-    GROUP BY page""", "cells", **PAGES))
+    GROUP BY page""", "cells", **PAGES, ins=INSIDE))
 def page_csv(tb: Tables):
-    return rn.page_csv(page_paragraphs(tb), page_table_heads(tb), page_cells(tb)).select("page", F.md5("csv").alias("h"))
+    out = rn.page_csv(page_paragraphs(tb), page_table_heads(tb), page_cells(tb), figures=page_figures(tb), figure_paragraphs=figure_paragraphs(tb))
+    return out.select("page", F.md5("csv").alias("h"))
 
 
 @query("page_json", """
@@ -224,6 +261,30 @@ def page_json(tb: Tables):
     return out.select("page", "order", F.array_join(F.json_object_keys("json"), ",").alias("keys"), F.md5(F.get_json_object("json", "$.contents")).alias("h"))
 
 
+BOX0 = '"box":[0,1,2,3]'
+
+
+@query("page_document", sql(f"""
+    SELECT c.page, md5('{{"figures":[{{{BOX0},"direction":"horizontal","order":3,"paragraphs":[' || coalesce(i.js, '') || ']}}],"paragraphs":[' || c.js || '],"tables":['
+      || coalesce('{{{BOX0},"cells":[' || t.js || '],"n_col":3,"n_row":' || t.n || ',"order":1}}', '') || '],"words":[' || c.wjs || ']}}') AS h
+    FROM (SELECT conv_id AS page, string_agg('{{{BOX0},"contents":' || CAST(to_json(replace(text, chr(10), '')) AS VARCHAR) || ',"direction":"horizontal","order":' || turn * 2 || ',"role":'
+            || CASE WHEN role = 'user' THEN '"section_headings"' ELSE 'null' END || '}}', ',' ORDER BY turn) AS js,
+            string_agg('{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"det_score":0.25,"direction":"horizontal","points":[[0,0],[1,0],[1,1],[0,1]],"rec_score":0.5}}', ',' ORDER BY turn) AS wjs
+          FROM conversations GROUP BY conv_id) c
+    LEFT JOIN (SELECT page, string_agg('{{{BOX0},"contents":' || CAST(to_json(replace(txt, chr(10), '')) AS VARCHAR) || ',"direction":"horizontal","order":' || (sub - 1) || ',"role":null}}', ',' ORDER BY sub) AS js
+               FROM ins GROUP BY page) i ON i.page = c.page
+    LEFT JOIN (SELECT page, max("row") AS n, string_agg('{{{BOX0},"col":' || col || ',"col_span":1,"contents":' || CAST(to_json(replace(txt, chr(10), '')) AS VARCHAR) || ',"row":' || "row"
+               || ',"row_span":' || row_span || '}}', ',' ORDER BY "row", col) AS js FROM cel GROUP BY page) t ON t.page = c.page""", "cells", **PAGES, ins=INSIDE))
+def page_document(tb: Tables):
+    boxed = lambda df: df.select("*", F.lit("horizontal").alias("direction"), *(F.lit(i).alias(s) for i, s in enumerate(g.SIDES)))
+    points = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    words = tb.read("conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("n"), F.col("text").alias("content"), F.lit("horizontal").alias("direction"),
+                                            F.lit(0.5).alias("rec_score"), F.lit(0.25).alias("det_score"), points.alias("points"))
+    out = rn.page_document(page_figures(tb), boxed(page_paragraphs(tb)), boxed(page_table_heads(tb)), boxed(page_cells(tb)), words, boxed(page_figures(tb)),
+                           boxed(figure_paragraphs(tb)), drop_breaks=True)
+    return out.select("page", F.md5("json").alias("h"))
+
+
 @query("text_layer", sql("""
     SELECT doc_id, page_num, 'block' AS kind, pos AS idx, 0 AS line, 10 AS x, round(1400 - y2 + 25 - size * 1.1 + 1e-9, 4) AS y, round(size + 1e-9, 4) AS size, md5(txt) AS h FROM (
       SELECT *, CASE WHEN x2 - x1 <= 0 OR needed <= lines THEN base ELSE greatest(6, base * lines / needed) END AS size FROM (
