@@ -8,6 +8,7 @@ from foliospark.functions import geometry as g
 from foliospark.operators import groups, spatial
 from foliospark.operators.metrics import f_score, ratio
 from foliospark.operators.scan import running, tiles
+from foliospark.session import stored
 
 
 def nms(det: DataFrame, keys: list[str], iou: float = 0.45, score: str = "score", idx: str = "idx",
@@ -58,7 +59,7 @@ def match_candidates(cand: DataFrame, order: DataFrame, keys: list[str], limit:
 
     `order` holds (keys, p, ord); a key it lacks does not bear on the order. Keys with up to `limit` candidates fold in one task, larger ones settle in rounds.
     """
-    cand = cand.join(order, [*(k for k in keys if k in order.columns), "p"])
+    cand = stored(cand.join(order, [*(k for k in keys if k in order.columns), "p"]), "candidates")  # counted, then folded
     small, large = groups.split_by_size(cand, keys, limit)
     choices = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "g")))
     per_pred = small.groupBy(*keys, "p", "ord").agg(choices.alias("choices"))

@@ -124,6 +124,18 @@ def model_section_markdown(summary: Column, question: Column, answer: Column, ex
     return F.when((F.coalesce(summary, _lit("")) != "") | question.isNotNull() | extraction.isNotNull(), F.concat(_lit("## LLM Results\n"), parts))
 
 
+def model_section_html(summary: Column, question: Column, answer: Column, extraction: Column) -> Column:
+    """Model results of a document as an HTML section; null without any. The markup is fixed."""
+    safe = t.escape_html
+    parts = F.concat_ws(
+        "\n",
+        F.when(summary != "", F.concat(_lit('<div class="llm-summary">\n<h3>Summary</h3>\n<p>'), safe(summary), _lit("</p>\n</div>"))),
+        F.when(question.isNotNull(), F.concat(_lit('<div class="llm-qa">\n<h3>Q&A</h3>\n<p><strong>Q:</strong> '), safe(question), _lit("</p>\n<p><strong>A:</strong> "),
+                                              safe(F.coalesce(answer, _lit(""))), _lit("</p>\n</div>"))),
+        F.when(extraction.isNotNull(), F.concat(_lit('<div class="llm-json">\n<h3>JSON Extraction</h3>\n<pre><code>\n'), safe(extraction), _lit("\n</code></pre>\n</div>"))))
+    return F.when(parts != "", F.concat(_lit('<section class="llm-results">\n<h2>LLM Results</h2>\n'), parts, _lit("\n</section>")))
+
+
 def _joined_pieces(pieces: DataFrame, sep: str, name: str) -> DataFrame:
     """Pieces (doc_id, page_num, section, pos, piece) of a document in order, joined in two steps."""
     order = ["page_num", "section", "pos"]
@@ -138,7 +150,7 @@ def render_markdown(docs: DataFrame, pages: DataFrame, blocks: DataFrame, tables
     put = lambda df, page, section, pos, text: df.select("doc_id", page.alias("page_num"), F.lit(section).alias("section"), pos.alias("pos"), text.alias("piece"))
     first = F.lit(-1).cast("bigint")
     out = put(docs, first, 0, zero, F.concat(_lit("# "), F.element_at(F.split("filename", "/"), -1), _lit("\n")))
-    n_pages = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    n_pages = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("page_num").alias("_last"))
     if "model_md" in docs.columns:
         out = out.unionByName(put(docs, first, 1, zero, F.regexp_replace("model_md", "\n$", "")))
     if show_metadata:
@@ -152,7 +164,7 @@ def render_markdown(docs: DataFrame, pages: DataFrame, blocks: DataFrame, tables
     md = block_markdown(F.col("text"), F.col("block_type"), F.col("confidence"), show_confidence)
     out = out.unionByName(put(blocks, page, 1, F.col("pos"), F.concat(md, _lit("\n"))))
     out = out.unionByName(put(tables.filter("markdown <> ''"), page, 2, F.col("table_idx"), F.concat("markdown", _lit("\n"))))
-    out = out.unionByName(put(numbered.filter(page < F.col("_n")), page, 3, zero, _lit("---\n")))
+    out = out.unionByName(put(numbered.filter(page < F.col("_last")), page, 3, zero, _lit("---\n")))
     return _joined_pieces(out, "\n", "md")
 
 
@@ -180,7 +192,7 @@ def cells_html(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def render_html(docs: DataFrame, pages: DataFrame, blocks: DataFrame, tables: DataFrame, css: str = "") -> DataFrame:
-    """(doc_id, html). As render_markdown, with tables: doc_id, page_num, table_idx, html."""
+    """(doc_id, html). As render_markdown, with tables: doc_id, page_num, table_idx, html, and model_html of docs where used."""
     zero = F.lit(0).cast("bigint")
     put = lambda df, page, section, pos, text: df.select("doc_id", page.alias("page_num"), F.lit(section).alias("section"), pos.alias("pos"), text.alias("piece"))
     page, first, last = F.col("page_num"), F.lit(-1).cast("bigint"), F.lit(2**62)
@@ -193,6 +205,8 @@ def render_html(docs: DataFrame, pages: DataFrame, blocks: DataFrame, tables: Da
         F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), _lit(f'</title>\n{style}</head>\n<body>\n<div class="document-info">\n<h1>'), name,
         _lit("</h1>\n<p>Pages: "), F.coalesce("_n", F.lit(0)).cast("string"), _lit("</p>\n</div>"))
     out = put(docs.join(n_pages, "doc_id", "left"), first, 0, zero, head)
+    if "model_html" in docs.columns:
+        out = out.unionByName(put(docs, first, 1, zero, F.col("model_html")))
     p = page.cast("string")
     out = out.unionByName(put(pages, page, 0, zero, F.concat(_lit('<div class="page" id="page-'), p, _lit('">\n<h2>Page '), p, _lit("</h2>"))))
     out = out.unionByName(put(blocks, page, 1, F.col("pos"), block_html(F.col("text"), F.col("block_type"), F.col("confidence"))))

@@ -157,6 +157,9 @@ def render_markdown(tb: Tables):
       SELECT doc_id, -1 AS page_num, 0 AS section, 0 AS pos, '<!DOCTYPE html>' || chr(10) || '<html lang="ja">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10)
              || '<meta name="viewport" content="width=device-width, initial-scale=1.0">' || chr(10) || '<title>doc' || doc_id || '.v1</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
              || '<div class="document-info">' || chr(10) || '<h1>doc' || doc_id || '.v1.pdf</h1>' || chr(10) || '<p>Pages: ' || count(*) || '</p>' || chr(10) || '</div>' AS piece FROM pg GROUP BY doc_id
+      UNION ALL SELECT doc_id, -1, 1, 0, '<section class="llm-results">' || chr(10) || '<h2>LLM Results</h2>' || chr(10) || '<div class="llm-summary">' || chr(10) || '<h3>Summary</h3>' || chr(10)
+             || '<p>' || lang || '&amp;</p>' || chr(10) || '</div>' || chr(10) || '<div class="llm-qa">' || chr(10) || '<h3>Q&A</h3>' || chr(10) || '<p><strong>Q:</strong> ' || source || '</p>' || chr(10)
+             || '<p><strong>A:</strong> </p>' || chr(10) || '</div>' || chr(10) || '</section>' FROM documents WHERE doc_id % 3 = 0
       UNION ALL SELECT doc_id, page_num, 0, 0, '<div class="page" id="page-' || page_num || '">' || chr(10) || '<h2>Page ' || page_num || '</h2>' FROM pg
       UNION ALL SELECT doc_id, page_num, 1, pos, '<div class="text-block ' || block_type || CASE WHEN confidence < 0.8 THEN ' confidence-low' ELSE '' END || '">' ||
              CASE block_type WHEN 'title' THEN '<h3>' || {sql_escape_html('txt')} || '</h3>' WHEN 'section_heading' THEN '<h4>' || {sql_escape_html('txt')} || '</h4>'
@@ -167,7 +170,10 @@ def render_markdown(tb: Tables):
 def render_html(tb: Tables):
     keys = ["doc_id", "page_num", "table_idx"]
     made = rn.cells_html(cells(tb).withColumn("low_confidence", F.lit(False)), keys)
-    return rn.render_html(docs(tb), pages(tb), blocks(tb), made).select("doc_id", F.md5("html").alias("h"))
+    none = F.lit(None).cast("string")
+    known = tb.read("documents").filter("doc_id % 3 = 0").select("doc_id", rn.model_section_html(F.concat("lang", F.lit("&")), F.col("source"), none, none).alias("model_html"))
+    heads = docs(tb).join(known, "doc_id", "left")
+    return rn.render_html(heads, pages(tb), blocks(tb), made).select("doc_id", F.md5("html").alias("h"))
 
 
 PAGES = {
