@@ -18,9 +18,10 @@ SAMPLE_DOCS = 3000
 CALIBRATION_STEP = 4
 #: Code points of a word's stem, the level between a word and the counts that both classes share.
 STEM = 4
-#: Discount of a class's count: an absolute part, and so many times what the class would have if both classes were alike. Only what
-#: a class has clearly more of stays its own; all else, such as a topic or language a little more common in it, is backoff.
-DISCOUNT, TIMES = 1.0, 3.0
+#: Discount of a class's count: an absolute part, and so many times one more than what the other class has, brought to this class's
+#: size. Only what a class has clearly more of stays its own; all else, such as a topic or language a little more common in
+#: it, or words that the smaller sample lacks by chance, is backoff.
+DISCOUNT, TIMES = 2.0, 4.0
 THRESHOLD = 0.3
 
 
@@ -79,9 +80,11 @@ class Models:
 def _with_parts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Counts n of both classes by `keys`, with what the discount leaves."""
     sums = {r["toxic"]: r["n"] for r in counts.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, F.lit(sums.get(1, 0))).otherwise(F.lit(sums.get(0, 0))) / max(sum(sums.values()), 1)
+    size = [max(sums.get(c, 0), 1) for c in (0, 1)]
+    scale = F.when(F.col("toxic") == 1, F.lit(size[1] / size[0])).otherwise(F.lit(size[0] / size[1]))
     both = counts.groupBy(*keys).agg(F.sum("n").alias("pool"))
-    return counts.join(both, keys).withColumn("part", F.greatest(F.lit(0.0), F.col("n") - DISCOUNT - TIMES * share * F.col("pool")))
+    other = F.col("pool") - F.col("n") + 1
+    return counts.join(both, keys).withColumn("part", F.greatest(F.lit(0.0), F.col("n") - DISCOUNT - TIMES * scale * other))
 
 
 def _fit(rows: DataFrame) -> Models:
