@@ -120,15 +120,15 @@ def test_seating_equals_single_customers():
     assert blocked == pytest.approx(t.mean(), rel=0.03)
 
 
-def plain_count(word, pieces):
+def plain_count(word, pieces, bad, longest):
     """Best (score, fewest tokens) over all segmentations, by recursion from the left."""
-    word, bad = token_counts.MARK + word, min(pieces.values()) - token_counts.BYTE_PENALTY
+    word = token_counts.MARK + word
     best = [(0.0, 0)]
     for e in range(1, len(word) + 1):
         n = len(word[e - 1].encode())
         c = word[e - 1]
         options = [(best[e - 1][0] + (pieces[c] if c in pieces else n * bad), best[e - 1][1] - (1 if c in pieces else n))]
-        best.append(max(options + [(best[b][0] + pieces[word[b:e]], best[b][1] - 1) for b in range(e - 1) if word[b:e] in pieces]))
+        best.append(max(options + [(best[b][0] + pieces[word[b:e]], best[b][1] - 1) for b in range(max(0, e - longest), e - 1) if word[b:e] in pieces]))
     return -best[-1][1]
 
 
@@ -136,9 +136,10 @@ def test_token_counts(spark, documents, odd):
     pieces = token_counts.load_pieces()
     docs = documents.limit(60).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got = token_counts.token_counts(docs.withColumn("n_tokens", F.lit("x")), pieces).collect()
-    known = {}
-    count = lambda w: known.setdefault(w, plain_count(w, pieces))
-    want = [(len(w), sum(map(count, w))) for w in (re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect())]
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()]
+    bad, longest = min(pieces.values()) - token_counts.BYTE_PENALTY, max(map(len, pieces))
+    known = {w: plain_count(w, pieces, bad, longest) for w in {w for t in texts for w in t}}
+    want = [(len(t), sum(known[w] for w in t)) for t in texts]
     assert sorted((r.n_words, r.n_tokens) for r in got) == sorted(want)
     assert token_counts.token_counts(docs.where("false"), pieces).count() == 0
 
@@ -147,7 +148,7 @@ def test_shared_prefixes_change_nothing():
     rng = random.Random(2)
     pieces = {token_counts.MARK: -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "aba": -4.0, "▁a": -2.0, "bb": -4.5}
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(300)]
-    assert token_counts.count_tokens(words, pieces) == [plain_count(w, pieces) for w in words]
+    assert token_counts.count_tokens(words, pieces) == [plain_count(w, pieces, min(pieces.values()) - token_counts.BYTE_PENALTY, 99) for w in words]
 
 
 def test_toxicity(spark, documents, odd):
