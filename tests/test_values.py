@@ -106,7 +106,7 @@ def test_threshold_is_inclusive_for_matches(spark):
     ([[0, 0, 90, 10], [0, 20, 40, 90], [50, 20, 90, 90], [0, 95, 90, 99]], "top2bottom", [0, 1, 2, 3]),
 ])
 def test_walk_on_small_pages(boxes, direction, order):
-    assert reading._walk(np.array(boxes, float), direction) == order
+    assert reading._ordered(np.array(boxes, float), direction) == order
 
 
 def test_prompt_round_trip(spark):
