@@ -313,7 +313,7 @@ def decode_confidence(ids: Column, confs: Column, keep_unknown: bool = False) ->
     return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(0.0))
 
 
-def char_tokens(c: Column, width: int = 512) -> Column:
+def char_tokens(c: Column, width: int) -> Column:
     ids = F.transform(F.slice(chars(c), 1, width), F.ascii)
     return F.concat(ids, F.array_repeat(F.lit(0), width - F.size(ids)))
 

@@ -55,7 +55,7 @@ def prediction_stats(pairs: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
-def charset(labels: DataFrame, max_chars: int = 8000, text: str = "text") -> DataFrame:
+def charset(labels: DataFrame, max_chars: int, text: str = "text") -> DataFrame:
     """Characters by frequency (ties by code point), cut at `max_chars`, then white space seen but cut off.
 
     Counts are combined within each input partition before the shuffle; the ranked table is the alphabet, at most the

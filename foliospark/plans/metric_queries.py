@@ -44,7 +44,7 @@ def prediction_stats(tb: Tables):
     FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch)
     QUALIFY rank <= 8000 OR ch IN (' ', chr(8203), chr(12288))"""))
 def charset(tb: Tables):
-    return m.charset(tb.read("documents"))
+    return m.charset(tb.read("documents"), 8000)
 
 
 @query("charset_audit", sql("""

@@ -220,10 +220,10 @@ def char_tokens(tb: Tables):
 
 
 @query("flatten_boxes", sql("""
-    SELECT page % 100 AS doc, string_agg(label, ',' ORDER BY page, idx) AS labels, md5(string_agg(x1 || '-' || y2, ',' ORDER BY page, idx)) AS boxes, count(*) AS n
-    FROM boxes GROUP BY page % 100""", "boxes"))
+    SELECT page // 16 AS doc, string_agg(label, ',' ORDER BY page, idx) AS labels, md5(string_agg(x1 || '-' || y2, ',' ORDER BY page, idx)) AS boxes, count(*) AS n
+    FROM boxes GROUP BY page // 16""", "boxes"))
 def flatten_boxes(tb: Tables):
-    rows = tb.boxes.withColumn("doc", F.col("page") % 100).withColumn("text", F.col("label"))
+    rows = tb.boxes.withColumn("doc", F.expr("page div 16")).withColumn("text", F.col("label"))
     out = pr.flatten_boxes(rows, "doc", "page", "idx")
     both = F.transform("boxes", lambda b: F.concat(b[0].cast("string"), F.lit("-"), b[3].cast("string")))
     return out.select("doc", F.array_join("labels", ",").alias("labels"), F.md5(F.array_join(both, ",")).alias("boxes"), F.size("texts").alias("n"))

@@ -46,7 +46,7 @@ def read_instructions(tb: Tables):
 def read_label_map(tb: Tables):
     path = scratch_path(tb.spark, "labels")
     pair = F.struct(F.concat(F.lit("img"), F.col("item_id").cast("string"), F.lit(".png")), "text")
-    maps = tb.read("benchmark").groupBy((F.col("item_id") % 8).alias("k")).agg(F.map_from_entries(F.collect_list(pair)).alias("m"))
+    maps = tb.read("benchmark").groupBy(F.expr("item_id div 64").alias("k")).agg(F.map_from_entries(F.collect_list(pair)).alias("m"))
     maps.repartition("k").select(F.to_json("m").alias("value"), "k").write.partitionBy("k").text(path)
     return rd.read_label_map(tb.spark, path).select("name", F.md5("text").alias("h"))
 
@@ -57,7 +57,7 @@ def read_coco(tb: Tables):
     """A file per group of pages; annotations of a page that has no image are in it too."""
     path = scratch_path(tb.spark, "coco")
     classes = F.create_map(*[F.lit(x) for i, c in enumerate("ANR") for x in (c, i)])
-    rows = tb.boxes.select("page", (F.col("page") % 16).alias("k"), F.struct(
+    rows = tb.boxes.select("page", F.expr("page div 2048").alias("k"), F.struct(
         (F.col("page") * 1000 + F.col("idx")).alias("id"), F.col("page").alias("image_id"), F.element_at(classes, F.col("label")).alias("category_id"),
         F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox")).alias("a"))
     stray = F.struct(F.lit(-1).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("image_id"), F.lit(0).alias("category_id"),
@@ -80,7 +80,7 @@ def read_table_annotations(tb: Tables):
     name = F.concat(F.lit("t"), F.col("tbl").cast("string"), F.lit(".png"))
     item = F.struct(F.when(F.col("tbl") % 2 == 0, name).alias("image"), F.when(F.col("tbl") % 2 == 1, name).alias("image_path"),
                     F.transform("x", lambda r: r["b"]).alias("boxes"), F.transform("x", lambda r: r["l"]).alias("labels"))
-    docs = items.groupBy((F.col("tbl") % 8).alias("k")).agg(F.collect_list(item).alias("annotations"))
+    docs = items.groupBy(F.expr("tbl div 2048").alias("k")).agg(F.collect_list(item).alias("annotations"))
     bare = F.when(F.col("k") % 2 == 0, F.to_json("annotations")).otherwise(F.to_json(F.struct("annotations")))
     docs.repartition("k").select(bare.alias("value"), "k").write.partitionBy("k").text(path)
     return rd.read_table_annotations(tb.spark, path)
@@ -133,7 +133,7 @@ def consolidated_report(tb: Tables):
     """Each result file holds the metrics of many orders under their keys."""
     path = scratch_path(tb.spark, "results")
     pair = lambda name, v: F.struct(F.concat(F.lit(name + "_"), F.col("o_orderkey").cast("string")).alias("key"), F.to_json(F.struct(v.alias("v"))).alias("value"))
-    rows = tb.read("orders").select((F.col("o_custkey") % 16).alias("k"), F.explode(F.array(
+    rows = tb.read("orders").select(F.expr("o_orderkey div 4096").alias("k"), F.explode(F.array(
         pair("price", F.col("o_totalprice").cast("string")), pair("cust", F.col("o_custkey").cast("string")), pair("name", F.col("o_orderpriority")))).alias("p"))
     raw = F.regexp_extract("p.value", r'^\{"v":"(.*)"\}$', 1)
     text = F.when(F.col("p.key").startswith("name"), F.concat(F.lit('"'), raw, F.lit('"'))).otherwise(raw)
