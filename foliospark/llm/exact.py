@@ -73,7 +73,8 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     maybe = own.where("_maybe")
     groups = maybe.groupBy("text_sha256").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "_row")).alias("_top"), F.count("*").alias("group_size"))
-    marked = maybe.join(groups, "text_sha256").select(
+    # a stored side leaves the join with two plain shuffles, so that adaptive execution can split a hot group's rows
+    marked = maybe.join(stored(groups, "groups"), "text_sha256").select(
         "doc_id", F.col("_top.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_top._row")).alias("kept"), "text_sha256")
     return alone.unionByName(marked)
 
