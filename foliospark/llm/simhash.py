@@ -286,4 +286,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked_fps = member.join(least, "component").select("fp", "component_id")
     whole = distinct.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a stored side leaves the join with two plain shuffles, so that adaptive execution can split a hot fingerprint's rows
+    return own.join(stored(whole, "whole"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
