@@ -48,9 +48,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without(docs, gone)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sizes, targets and the words taken of each document, as the mix of sources has them."""
-    return mixing.mix(docs)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: str | None = None) -> DataFrame:
+    """The output shards are written to `shards` (or to the scratch folder); gives sizes, targets and the words they take of each document."""
+    return mixing.mix(docs, path=shards)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -61,9 +61,9 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is stored before the next reads it."""
+def run(spark: SparkSession, sf_dir: str, shards: str | None = None) -> DataFrame:
+    """All stages over documents; each one's result is stored before the next reads it. The mix is written to `shards`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return mix_sources(spark, docs, sf_dir, shards)

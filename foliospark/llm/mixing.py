@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import WORD, stored
+from foliospark.llm.common import WORD, bound_batches, stored
+from foliospark.session import scratch_path
 
 #: Words of a block; slots of an output shard.
 BLOCK_WORDS, SHARD_SLOTS = 64, 1 << 12
@@ -59,27 +61,101 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """doc_id, source, source_no, text hash, size -> adds first_word, the number of words before the document in its source.
+def bucketed(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds bucket, by hash of the id and the text, from source_no, doc_id, _hash and the sources' numbers of documents (`groups`)."""
+    return docs.join(F.broadcast(groups), "source_no").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "_hash"), F.floor(F.col("docs") / BUCKET_DOCS) + 1)).drop("docs")
 
-    A source is cut into buckets by hash, so that a source with a third of all rows is ordered by many tasks.
+
+def positions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, source_no, text hash, size -> (adds first_word, the number of words before the document in its source, null
+    without words; documents by source; words before each bucket).
+
+    A source is cut into buckets by hash, so that a source with a third of all rows is ordered by many tasks. In a bucket rows go
+    by id and text hash; what ties has the same words, so any order of ties gives the same sequence.
     """
     groups = docs.groupBy("source_no").agg(F.count("*").alias("docs"))
-    buckets = stored(docs.join(F.broadcast(groups), "source_no").withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "_hash"), F.floor(F.col("docs") / BUCKET_DOCS) + 1)).drop("docs"), "sizes")
+    buckets = stored(bucketed(docs, groups), "sizes")
     totals = buckets.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy("doc_id", "_hash", "_row").rowsBetween(Window.unboundedPreceding, -1))
-    return buckets.withColumn("within", F.coalesce(own, F.lit(0))).join(totals, ["source_no", "bucket"]).withColumn(
-        "first_word", F.col("before") + F.col("within")).drop("before", "within", "bucket")
+    totals = stored(totals.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "buckets")
+    own = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy("doc_id", "_hash").rowsBetween(Window.unboundedPreceding, -1))
+    placed = buckets.withColumn("within", F.coalesce(own, F.lit(0))).join(totals, ["source_no", "bucket"]).withColumn(
+        "first_word", F.when(F.col("size") > 0, F.col("before") + F.col("within")))
+    return placed.drop("before", "within", "bucket"), groups, totals
+
+
+def pieces(block_words: int) -> Column:
+    """From block, from_word and counts of a shard's row: array of (first_word of a document, first of its words in the block, how many)."""
+    start = F.col("block") * block_words
+
+    def piece(n: Column, i: Column) -> Column:
+        earlier = F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.struct((start + F.when(i == 0, -F.col("from_word")).otherwise(earlier)).alias("first_word"),
+                        F.when(i == 0, F.col("from_word")).otherwise(0).alias("from_word"), n.cast("long").alias("words"))
+
+    return F.transform("counts", piece)
+
+
+def packed(texts: DataFrame, block_words: int) -> DataFrame:
+    """source_no, bucket, before, text of each source's rows in order -> source_no, block, text, from_word, counts: the words of all rows
+    of a source one after the other, cut into blocks, joined by single spaces; which word of its document is a block's first, and how many
+    words of each document it holds.
+
+    A task reads the rows of a bucket as they come and holds one block; what two buckets have of one block is joined after.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, words, parts, begin, out = None, 0, [], [], 0, []
+
+        def close() -> None:
+            nonlocal words, parts
+            if words:
+                out.append((key[0], (at - 1) // block_words, (at - len(words)) % block_words, b" ".join(words).decode(), begin, parts))
+            words, parts = [], []
+
+        def batch() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["source_no", "block", "start", "text", "from_word", "counts"])
+
+        for rows in batches:
+            columns = (rows.column(name).to_pylist() for name in ("source_no", "bucket", "before", "text"))
+            for no, bucket, before, text in zip(*columns, strict=True):
+                if (no, bucket) != key:
+                    close()
+                    key, at = (no, bucket), before
+                own, lo = text.encode().split(), 0  # of bytes: splits at the white space of WORD
+                while lo < len(own):
+                    n = min(block_words - at % block_words, len(own) - lo)
+                    begin = begin if words else lo
+                    words += own[lo : lo + n]
+                    parts.append(n)
+                    lo, at = lo + n, at + n
+                    if at % block_words == 0:
+                        close()
+            if out:
+                yield batch()
+        close()
+        if out:
+            yield batch()
+
+    order = ["source_no", "bucket", "doc_id", "_hash"]
+    rows = texts.repartition("source_no", "bucket").sortWithinPartitions(*order).select("source_no", "bucket", "before", "text")
+    cut = rows.mapInArrow(pack, "source_no long, block long, start int, text string, from_word long, counts array<int>")
+    # nearly all blocks are whole: they move as they are and are collected after, not before
+    found = cut.repartition("source_no", "block").groupBy("source_no", "block").agg(
+        F.array_sort(F.collect_list(F.struct("start", "text", "from_word", "counts"))).alias("p"))
+    return found.select("source_no", "block", F.array_join("p.text", " ").alias("text"), F.col("p")[0]["from_word"].alias("from_word"), F.flatten("p.counts").alias("counts"))
 
 
 def drawn_slots(spark, plan: pd.DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The output's slots: shard, slot, source_no, nth (how many slots its source had before).
 
     Each shard draws its slots' counts by source from a multinomial of the targets, seeded by the shard's number. A source's
-    draws end at its own number of slots; what then is missing anywhere is dealt to shards at the end.
+    draws end at its own number of slots; what then is missing anywhere is dealt to shards at the end. A shard's slots are
+    numbered from 0 without gaps, its sources permuted over them.
     """
     wanted = plan["slots"].to_numpy(np.int64)
     total = int(wanted.sum())
@@ -111,26 +187,39 @@ def drawn_slots(spark, plan: pd.DataFrame, seed: int = SEED, shard_slots: int =
     step = F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(shard_slots))).alias("start")
     rest = rest.where("from < to").select("source_no", step, "to").select(
         (F.lit(shards) + F.floor(F.col("start") / shard_slots)).alias("shard"), "source_no", F.col("start").alias("from"), F.least("to", F.col("start") + shard_slots).alias("to"))
-    return placed.where("from < to").unionByName(rest).select("shard", "source_no", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("nth"))
+    ranges = placed.where("from < to").unionByName(rest).withColumn("n", F.col("to") - F.col("from"))
+    earlier = F.sum("n").over(Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("base", F.coalesce(earlier, F.lit(0))).withColumn("size", F.sum("n").over(Window.partitionBy("shard")))
+    every = ranges.select("shard", "source_no", "from", "base", "size", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("nth"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            index, size, shard = ((pdf[c]).to_numpy(np.int64) for c in ("index", "size", "shard"))
+            pdf["slot"] = permuted(index, size, shard * 2_654_435_761 + seed + 1)
+            yield pdf[["shard", "slot", "source_no", "nth"]]
 
+    index = (F.col("base") + F.col("nth") - F.col("from")).alias("index")
+    return every.select("shard", "source_no", "nth", "size", index).mapInPandas(place, "shard long, slot long, source_no long, nth long")
 
-def mix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS,
-               seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """The documents with sizes and targets, and the mix: (documents, pieces).
 
-    documents: doc_id, source, size, source_size, target, _row. pieces: one row for each document's part of a block and each
-    time the block is taken: shard, source_no, block, time, _row, doc_id, from_word, words. A document without words is in no block.
+def mix_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS,
+               seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents with sizes and targets, and the output shards: (documents, shards).
+
+    documents: doc_id, source, source_no, size, source_size, target, first_word. shards, one row for each slot, written to `path` or
+    else to the scratch folder: shard, slot, source_no, block, time, text (the block's words), from_word and counts (see
+    `packed`). Rows with words have source_no and first_word to themselves, whatever their ids; `pieces` gives them for a row of a shard. A document without words is in no block.
     Null texts have no words; null ids and repeated rows are rows of their own; null sources are one source, the last one.
     A source's slots number its target divided by the block length, rounded to the nearest; slot n of a source takes block
     perm(n mod blocks), with another permutation for every turn, so no block is taken more often than MOST_TIMES.
-    Sums per source go through the driver: their number is that of the sources, not of documents.
+    Sums per source go through the driver: their number is that of the sources, not of documents. `docs` is read twice: sizes, then texts.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                      F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                      F.xxhash64(F.col(text)).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
-    own = stored(own, "sizes")
-    sums = {r["source"]: r["words"] for r in own.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    bound_batches(spark)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("text"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    sized = stored(own.select("doc_id", "source", "_hash", words.alias("size")), "sizes")
+    sums = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     names = sorted((s for s in sums if s is not None)) + [None] * (None in sums)
     sizes = [sums[s] for s in names]
     goal = targets(sizes, weights, share)
@@ -138,15 +227,12 @@ def mix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     plan = spark.createDataFrame([(s, i, sizes[i], goal[i]) for i, s in enumerate(names)], schema)
     known = plan.withColumnRenamed("source", "_source")
     known = F.broadcast(known) if len(names) < 100_000 else known
-    marked = own.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    numbered = lambda df: df.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     blocks = [-(-n // block_words) for n in sizes]
     slots = [min(MOST_TIMES * b, round(g / (n / b))) if b else 0 for g, n, b in zip(goal, sizes, blocks, strict=True)]
-    placed = positions(marked.select("doc_id", "source_no", "size", "_hash", "_row"))
-    first, last = F.floor(F.col("first_word") / block_words), F.floor((F.col("first_word") + F.col("size") - 1) / block_words)
-    parts = placed.where("size > 0").select("source_no", "doc_id", "_row", "first_word", "size", F.explode(F.sequence(first, last)).alias("block"))
-    begin = F.greatest(F.col("first_word"), F.col("block") * block_words)
-    end = F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block_words)
-    parts = parts.select("source_no", "block", "doc_id", "_row", (begin - F.col("first_word")).alias("from_word"), (end - begin).alias("words"))
+    placed, groups, totals = positions(numbered(sized))
+    texts = bucketed(numbered(own.where(F.col("text").isNotNull())).drop("source", "source_size", "target"), groups)
+    whole = packed(texts.join(F.broadcast(totals) if totals.count() < 100_000 else totals, ["source_no", "bucket"]), block_words)
     n_blocks = np.array(blocks, np.int64)
 
     def to_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,14 +241,27 @@ def mix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
             time = nth // n_blocks[no]
             pdf["block"] = permuted(nth % n_blocks[no], n_blocks[no], (no * 1000 + time) * 2_654_435_761 + seed)
             pdf["time"] = time
-            yield pdf[["shard", "source_no", "block", "time"]]
+            yield pdf[["shard", "slot", "source_no", "block", "time"]]
+
+    taken = drawn_slots(spark, pd.DataFrame({"slots": slots}), seed).mapInPandas(to_block, "shard long, slot long, source_no long, block long, time long")
+    path = path or scratch_path(spark, "shards")
+    made = taken.join(whole, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "time", "text", "from_word", "counts")
+    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    return placed.drop("_hash"), spark.read.schema(made.schema).parquet(path)
+
 
-    taken = drawn_slots(spark, pd.DataFrame({"slots": slots}), seed).mapInPandas(to_block, "shard long, source_no long, block long, time long")
-    return marked.drop("_hash"), taken.join(parts, ["source_no", "block"])
+def mix_blocks(docs: DataFrame, *columns: str, block_words: int = BLOCK_WORDS, **options) -> tuple[DataFrame, DataFrame]:
+    """The documents as mix_shards has them, and what its shards hold of them: (documents, pieces).
+
+    pieces: one row for each document's part of a slot: shard, slot, source_no, block, time, first_word, from_word, words.
+    """
+    marked, shards = mix_shards(docs, *columns, block_words=block_words, **options)
+    return marked, shards.select("shard", "slot", "source_no", "block", "time", F.inline(pieces(block_words)))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words of it in the mix, repeats counted)."""
+    """One row per document: doc_id, size, source_size, target, taken (words of it in the shards made, repeats counted)."""
     marked, pieces = mix_blocks(docs, doc_id, text, source, **options)
-    taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
-    return marked.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("source_no", "first_word").agg(F.sum("words").alias("taken"))
+    joined = marked.join(taken, ["source_no", "first_word"], "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -122,3 +122,34 @@ def test_pieces_are_whole_blocks(spark):
     _, pieces = mixing.mix_blocks(df)
     sums = pieces.groupBy("shard", "source_no", "block", "time").agg(F.sum("words").alias("n"))
     assert {r.n for r in sums.collect()} <= {mixing.BLOCK_WORDS, 10_000 % mixing.BLOCK_WORDS}
+
+
+def test_shards_have_the_words_of_their_pieces(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, i]), " \n".join(f"w{i}_{k}é" for k in range(rng.randint(0, 150))), rng.choice(["a", "b", None])) for i in range(600)]
+    df = spark.createDataFrame(rows + [(None, None, "a"), (1, " ", "a")], "doc_id long, text string, source string")
+    marked, shards = mixing.mix_shards(df)
+    docs, got = {(r.source_no, r.first_word): r for r in marked.where("size > 0").collect()}, shards.withColumn("pieces", mixing.pieces(mixing.BLOCK_WORDS)).collect()
+    assert len(docs) == sum(bool(t.split()) for _, t, _ in rows) and marked.count() == 602
+    texts = {}
+    for r in got:
+        words = r.text.split(" ")
+        assert len(words) == sum(p.words for p in r.pieces) and texts.setdefault((r.source_no, r.block), r.text) == r.text
+        for p in r.pieces:
+            part, words = words[: p.words], words[p.words :]
+            i = int(part[0][1:].split("_")[0])
+            assert part == rows[i][1].split()[p.from_word : p.from_word + p.words]
+            assert docs[r.source_no, p.first_word].doc_id == rows[i][0] and docs[r.source_no, p.first_word].source == rows[i][2]
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sum(r.taken for r in mixing.mix(df).collect()) == sum(len(r.text.split()) for r in got)
+
+
+def test_large_sources_are_packed_over_buckets(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 7)
+    df = spark.createDataFrame([(i, f"x{i} " * (i % 90), "a") for i in range(500)], "doc_id long, text string, source string")
+    _, shards = mixing.mix_shards(df, path=str(tmp_path / "out"))
+    total = sum(i % 90 for i in range(500))
+    lengths = {r.block: len(r.text.split()) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(lengths.values()) <= {mixing.BLOCK_WORDS, total % mixing.BLOCK_WORDS} and shards.count() == round(1.5 * -(-total // mixing.BLOCK_WORDS))
