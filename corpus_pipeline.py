@@ -16,11 +16,19 @@ BROADCAST_IDS = 1_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't among those of `gone`. Up to BROADCAST_IDS ids are sent to where the texts are."""
-    gone = stored(gone.distinct(), "gone")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, stored with a number for each row, and that column's name: ids may be null or repeated."""
+    name = "_row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The documents whose row number isn't among those of `gone`. Up to BROADCAST_IDS numbers are sent to where the texts are."""
+    gone = stored(gone, "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, row, "left_anti").drop(row)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +43,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return without(docs, gone)
+    """Of linked fingerprints exactly one row stays: that with the smallest id (null is the largest), of equal ids the first row."""
+    docs, row = keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    gone = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(row))
+    return without(docs, gone, row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
-    found = contamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(contamination.contaminated()).select("doc_id")
-    return without(docs, gone)
+    """Rows of which benchmark windows cover a twentieth of the words or more go; others of the same id stay."""
+    docs, row = keyed(docs)
+    found = contamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
+    gone = found.where(contamination.contaminated()).select(F.col("doc_id").alias(row))
+    return without(docs, gone, row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: str | None = None) -> DataFrame:

@@ -55,3 +55,17 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    bad = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    near = [" ".join(f"{k}w{i}" for i in range(400)) for k in "abc"]
+    rows = [(None, near[0]), (None, near[0] + " end"), (7, near[1]), (7, near[1] + " end"), (7, "quite another text"), (8, near[2]), (None, near[2] + " end"), (None, bad), (7, bad + " more")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stored(stages["near_dedup"](spark, docs, SF), "t")
+    ends = lambda df: sorted((r.doc_id or 0, r.text.split()[0]) for r in df.collect())
+    assert kept.columns == docs.columns
+    assert ends(kept) == sorted([(0, near[0].split()[0]), (7, near[1].split()[0]), (7, "quite"), (8, near[2].split()[0]), (7, bad.split()[0])])
+    clean = stages["decontaminate"](spark, docs, SF)
+    assert ends(clean) == sorted((i or 0, t.split()[0]) for i, t in rows[:7])
