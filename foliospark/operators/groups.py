@@ -25,6 +25,14 @@ def split_by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame
     return df.alias("d").join(large.alias("k"), same, "left_anti"), df.alias("d").join(large.alias("k"), same, "left_semi")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` where null meets null; columns as of a join by names."""
+    rest = [c for c in right.columns if c not in keys]
+    other = right.select(*(F.col(k).alias("_r_" + k) for k in keys), *rest)
+    same = [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys]
+    return left.join(other, same, how).select(*keys, *(c for c in left.columns if c not in keys), *rest)
+
+
 def fold(
     df: DataFrame, keys: list[str], order: list[Column], init: Column, step: Callable, finish: Callable | None = None,
     name: str = "folded",

@@ -35,9 +35,9 @@ def order_by_region(blocks: DataFrame, keys: list[str], region: str, vertical: b
     rows = blocks.withColumn("_cx", g.center_x(b)).withColumn("_cy", g.center_y(b))
     means = rows.groupBy(*keys, region).agg(F.avg("_cx").alias("_mx"), F.avg("_cy").alias("_my"))
     n = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    means = means.join(n, keys)
+    means = groups.join_null_safe(means, n, keys)
     at = -F.col("_mx") if vertical else F.when(F.col("_n") >= 2, F.col("_mx")).otherwise(F.col("_my"))
-    rows = rows.join(means.select(*keys, region, at.alias("_at")), [*keys, region])
+    rows = groups.join_null_safe(rows, means.select(*keys, region, at.alias("_at")), [*keys, region])
     first, second = (-F.col("_cx"), F.col("_cy")) if vertical else (F.col("_cy"), F.col("_cx"))
     rows = rows.withColumn("_o1", first).withColumn("_o2", second)
     order = ["_at", region, "_o1", "_o2", "idx"]
@@ -50,12 +50,14 @@ def order_by_region(blocks: DataFrame, keys: list[str], region: str, vertical: b
 def region_components(blocks: DataFrame, keys: list[str], width: str, height: str) -> DataFrame:
     """Adds `region`: blocks linked by centre distances up to 1.5 times the median distance of all pairs of their page.
 
-    Distances are formed for CHUNK blocks at a time, so a page takes memory in proportion to its blocks.
+    Distances are formed for CHUNK blocks at a time, so a page takes memory in proportion to its blocks. Null keys are one
+    page, and blocks without an idx stay.
     """
     b = g.box()
     rows = blocks.withColumn("_px", g.center_x(b) / F.col(width)).withColumn("_py", g.center_y(b) / F.col(height))
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idx bigint, region bigint"
+    # as text, keys and idx keep their nulls in pandas; blocks of one idx and place share a region
+    rows = rows.withColumn("_page", F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))).withColumn("_idx", F.col("idx").cast("string"))
+    schema = "_page string, _idx string, _px double, _py double, region bigint"
 
     def label(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
         x, y = page["_px"].to_numpy(), page["_py"].to_numpy()
@@ -71,10 +73,13 @@ def region_components(blocks: DataFrame, keys: list[str], width: str, height: st
                 region[near] = count
                 todo.extend(near.tolist())
             count += 1
-        return pd.DataFrame({**dict(zip(keys, key)), "idx": page["idx"].to_numpy(), "region": region})
+        return page[["_page", "_idx", "_px", "_py"]].assign(region=region)
 
-    found = groups.map_groups(rows.select(*keys, "idx", "_px", "_py"), keys, ["idx"], label, schema)
-    return blocks.join(found, [*keys, "idx"])
+    found = groups.map_groups(rows.select("_page", "idx", "_idx", "_px", "_py"), ["_page"], ["idx"], label, schema)
+    place = ["_page", "_idx", "_px", "_py"]
+    found = found.groupBy(*place).agg(F.min("region").alias("region"))
+    first = [*keys, "idx"]
+    return groups.join_null_safe(rows, found, place).select(*first, *(c for c in blocks.columns if c not in first), "region")
 
 
 def _distances(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:

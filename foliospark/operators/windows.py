@@ -20,10 +20,10 @@ def cluster_x(blocks: DataFrame, keys: list[str], x: Column, thr: float = 0.15,
 
     Equal positions always share a cluster, so the fold runs over distinct positions with their counts. A key with
     more than `limit` positions is cut by searching one break per round over prefix sums; starts lie more than
-    `thr` apart, which bounds the rounds.
+    `thr` apart, which bounds the rounds. Null keys are one key; a block without a position stays, its cluster is null.
     """
     rows = blocks.withColumn("_x", x.cast("double"))
-    spots = rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    spots = rows.filter(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     small, large = groups.split_by_size(spots, keys, limit)
     state = "struct<s:double,n:bigint,k:bigint,out:array<struct<_x:double,cluster:bigint>>>"
 
@@ -41,7 +41,7 @@ def cluster_x(blocks: DataFrame, keys: list[str], x: Column, thr: float = 0.15,
     found = folded.select(*keys, F.explode("folded").alias("f")).select(*keys, "f.*")
     if large is not None:
         found = found.unionByName(_cluster_by_rounds(large, keys, thr))
-    return rows.join(found, [*keys, "_x"]).drop("_x")
+    return groups.join_null_safe(rows, found, [*keys, "_x"], "left").drop("_x")
 
 
 def _cluster_by_rounds(spots: DataFrame, keys: list[str], thr: float) -> DataFrame:
@@ -54,7 +54,7 @@ def _cluster_by_rounds(spots: DataFrame, keys: list[str], thr: float) -> DataFra
     current = cut_lineage(begin(sums))
     starts = current
     while True:
-        ahead = sums.join(current, keys).filter(F.col("_x") > F.col("_bx"))
+        ahead = groups.join_null_safe(sums, current, keys).filter(F.col("_x") > F.col("_bx"))
         mean = (F.col("_s0") - F.col("_bs")) / (F.col("_n0") - F.col("_bn"))
         current = cut_lineage(begin(ahead.filter(F.abs(F.col("_x") - mean) > thr).select(*keys, "_x", "_s0", "_n0")))
         if current.isEmpty():
@@ -62,7 +62,7 @@ def _cluster_by_rounds(spots: DataFrame, keys: list[str], thr: float) -> DataFra
         starts = starts.unionByName(current)
     marks = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_bx")).alias("_starts"))
     number = F.size(F.filter("_starts", lambda b: b <= F.col("_x"))) - 1
-    return sums.join(marks, keys).select(*keys, "_x", number.cast("bigint").alias("cluster"))
+    return groups.join_null_safe(sums, marks, keys).select(*keys, "_x", number.cast("bigint").alias("cluster"))
 
 
 def cluster_gap(df: DataFrame, keys: list[str], value: str, gap: float, mode: str = "mean") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import detection, sampling
+from foliospark.operators import detection, reading, sampling, windows
 from foliospark.operators.scan import islands, ranked, tiles
 from foliospark.session import scratch_path
 from foliospark.streaming import streams
@@ -49,3 +49,24 @@ def test_ground_truth_of_two_runs(spark, tmp_path):
     streams.incremental_ground_truth(second, target, str(tmp_path / "c2")).awaitTermination()
     got = sorted((r.doc_id, r.table_idx, r.html) for r in spark.read.parquet(target).collect())
     assert got == [(1, 0, "<table>x</table>"), (1, 1, "<table>y</table>"), (2, 0, "<table>z</table>"), (3, 0, "<table>w</table>")]
+
+
+BLOCKS = [(None, 1, 0, 0), (None, None, 0, 10), (None, None, 900, 900), (None, 2, 900, 890), (1, 1, 0, 0), (1, None, 500, 500), (1, None, 0, 10)]
+
+
+def blocks(spark):
+    rows = [(p, i, x, y, x + 10, y + 10, 1000, 1000) for p, i, x, y in BLOCKS]
+    return spark.createDataFrame(rows, "page long, idx long, x1 long, y1 long, x2 long, y2 long, w long, h long")
+
+
+def test_regions_with_null_keys(spark):
+    got = reading.region_components(blocks(spark), ["page"], "w", "h").collect()
+    assert sorted((r.page or 0, r.idx or 0, r.x1, r.y1) for r in got) == sorted((p or 0, i or 0, x, y) for p, i, x, y in BLOCKS)
+
+
+def test_clusters_with_null_keys(spark):
+    x = F.when(~((F.col("page") == 1) & (F.col("x1") == 500)) | F.col("page").isNull(), F.col("x1") / 1000)
+    for limit in (2000, 1):
+        got = windows.cluster_x(blocks(spark), ["page"], x, limit=limit).collect()
+        assert sorted((r.page or 0, r.x1, -1 if r.cluster is None else r.cluster) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 900, 1), (0, 900, 1), (1, 0, 0), (1, 0, 0), (1, 500, -1)]
+    assert reading.reading_order_simple(blocks(spark), ["page"], "w").count() == len(BLOCKS)
