@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +234,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFra
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key; a key's rows may go on in the next batch."""
         rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in [*_one_by_one(batches), None]:
+        for batch in chain(_one_by_one(batches), [None]):
             if batch is not None:
                 rest_key = np.concatenate([rest_key, batch.column(0).to_numpy(zero_copy_only=False)])
                 rest_fp = np.concatenate([rest_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])

@@ -139,3 +139,22 @@ def test_licenses(spark):
     empty = {r.text_sha256 for r in licenses.find_licenses(df.where("doc_id in (4, 5, 6)"), licenses.known_digests(spark)).collect()}
     assert empty == {hashlib.sha256(b"").hexdigest()}
     assert licenses.find_licenses(df.where("false"), licenses.known_digests(spark)).count() == 0
+
+
+def test_search_streams_its_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    kind, found = type(spark.range(1)), {}
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, fn, *a, **b: (found.setdefault(fn.__name__, fn), plain(self, fn, *a, **b))[1])
+    simhash.links(spark.createDataFrame([(1,), (3,)], "fp long"))
+    read = []
+
+    def batches():
+        for k in range(10):
+            read.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([k, k]), pa.array([8 * k, 8 * k + 1])], ["key", "fp"])
+
+    out = found["search"](batches())
+    next(out)
+    assert len(read) < 10 and sum(b.num_rows for b in out) == 9
