@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import contamination, exact, language, licenses, lm, mixing, secret_scan, simhash, token_counts, toxicity
+from foliospark.llm import contamination, exact, language, licenses, lm, merkle, mixing, secret_scan, simhash, token_counts, topk, toxicity
 from foliospark.llm.common import id_remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_licenses"] = licenses.ORACLE_SQL
+
+
+@query
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_top_k"] = topk.ORACLE_SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.ORACLE_SQL
