@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import contamination, exact, language, licenses, lm, merkle, mixing, secret_scan, simhash, token_counts, topk, toxicity
+from foliospark.llm import alignment, contamination, exact, language, licenses, lm, merkle, mixing, secret_scan, simhash, token_counts, topk, toxicity
 from foliospark.llm.common import id_remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_merkle_manifest"] = merkle.ORACLE_SQL
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
