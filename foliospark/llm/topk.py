@@ -27,7 +27,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
     A component x counts as floor(scale * x). Every query row (`is_query`) meets every other row; equal scores go by the smaller
     vec_id, null ids last. A vector that is null or has a null, NaN or infinite component takes no part; an empty vector scores 0
     with all; of vectors of unequal lengths the shorter counts as filled up with zeros. Repeated rows and ids are rows of their own, and
-    a row is never its own candidate. A score beyond a long is held at its end. Queries: at most `k` rows each, fewer if the table has fewer.
+    a row is never its own candidate. A score beyond a long counts as its end. Queries: at most `k` rows each, fewer if the table has fewer.
 
     The queries are dealt to packs of about QUERY_PACK, the rows to slices; a task has one pack and one slice. It reads the slice
     batch by batch, turns a batch into postings (term: rows and weights), scores it for one query at a time and keeps each
@@ -69,7 +69,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
                 for q in queries:
                     q.take(block)
         for lo in range(0, len(queries), 1024):
-            best = [(q.row, q.id, None if none else i, max(-LONG - 1, min(LONG, int(s)))) for q in queries[lo : lo + 1024] for s, none, i in q.best]
+            best = [(q.row, q.id, None if none else i, int(s)) for q in queries[lo : lo + 1024] for s, none, i in q.best]
             columns = zip(*best, strict=True) if best else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
 
@@ -102,11 +102,13 @@ class Block:
         self.row, self.ids, self.none = row, ids, none
         order = np.argsort(term, kind="stable")
         term, of, weight = term[order], of[order], weight[order]
+        self.most = max(abs(weight.min()), abs(weight.max())) if len(weight) else 0
+        if self.most < EXACT:
+            weight = weight.astype(np.float64)
         edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
         self.postings = {
             int(term[lo]): (slice(None) if hi - lo == len(row) else of[lo:hi], np.ascontiguousarray(weight[lo:hi]))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True)}
-        self.most = max((abs(w) for w in (weight.min(), weight.max())), default=0) if len(weight) else 0
 
 
 class Query:
@@ -125,7 +127,7 @@ class Query:
             if t in block.postings:
                 rows, weights = block.postings[t]
                 out[rows] += (w * weights) if exact else (int(w) * np.array([int(v) for v in weights], dtype=object))
-        return out
+        return out if exact else np.clip(out, -LONG - 1, LONG)
 
     def take(self, block: Block) -> None:
         score = self.scores(block)
