@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,10 +78,12 @@ def positions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = docs.groupBy("source_no").agg(F.count("*").alias("docs"))
     buckets = stored(bucketed(docs, groups), "sizes")
     totals = buckets.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = stored(totals.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "buckets")
+    every = Window.partitionBy("source_no")
+    upto = F.sum("words").over(every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    totals = totals.select("source_no", "bucket", (upto - F.col("words")).alias("before"), upto.alias("upto"), F.sum("words").over(every).alias("total"))
+    totals = stored(totals, "buckets")
     own = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy("doc_id", "_hash").rowsBetween(Window.unboundedPreceding, -1))
-    placed = buckets.withColumn("within", F.coalesce(own, F.lit(0))).join(totals, ["source_no", "bucket"]).withColumn(
+    placed = buckets.withColumn("within", F.coalesce(own, F.lit(0))).join(totals.select("source_no", "bucket", "before"), ["source_no", "bucket"]).withColumn(
         "first_word", F.when(F.col("size") > 0, F.col("before") + F.col("within")))
     return placed.drop("before", "within", "bucket"), groups, totals
 
@@ -97,35 +100,62 @@ def pieces(block_words: int) -> Column:
     return F.transform("counts", piece)
 
 
-def packed(texts: DataFrame, block_words: int) -> DataFrame:
-    """source_no, bucket, before, text of each source's rows in order -> source_no, block, text, from_word, counts: the words of all rows
-    of a source one after the other, cut into blocks, joined by single spaces; which word of its document is a block's first, and how many
-    words of each document it holds.
+def homes(totals: DataFrame, block_words: int) -> DataFrame:
+    """source_no, block, bucket, shared: the buckets that hold words of each block; shared blocks lie in more than one."""
+    first, last = F.floor(F.col("before") / block_words), F.floor((F.col("upto") - 1) / block_words)
+    rows = totals.where("upto > before").select("source_no", "bucket", "before", "upto", "total", first.alias("first"), last.alias("last"))
+    rows = rows.withColumn("block", F.explode(F.sequence("first", "last")))
+    opened = (F.col("block") == F.col("first")) & (F.col("before") % block_words > 0)
+    goes_on = (F.col("block") == F.col("last")) & (F.col("upto") % block_words > 0) & (F.col("upto") < F.col("total"))
+    return rows.select("source_no", "block", "bucket", (opened | goes_on).alias("shared"))
 
-    A task reads the rows of a bucket as they come and holds one block; what two buckets have of one block is joined after.
+
+CUT = "shard long, slot long, source_no long, block long, time long, start int, text string, from_word long, counts array<int>, shared boolean"
+
+
+def packed(texts: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """source_no, bucket, before, text of each source's rows in order, and the slots of each bucket's blocks -> a row for each slot and
+    bucket of its block: shard, slot, source_no, block, time, start, text, from_word, counts, shared.
+
+    The words of all rows of a source stand one after the other, cut into blocks, joined by single spaces. from_word: which word of its
+    document is the first here; counts: how many words of each document; start: the first word's place in the block. Slots go to where their
+    blocks are packed, so a text moves once. A task reads the slots of a bucket, then its rows as they come, and holds one block.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at, words, parts, begin, out = None, 0, [], [], 0, []
+        wanted: dict[str, array] = {}
+        place = 0
 
         def close() -> None:
-            nonlocal words, parts
+            nonlocal words, parts, place
             if words:
-                out.append((key[0], (at - 1) // block_words, (at - len(words)) % block_words, b" ".join(words).decode(), begin, parts))
+                block = (at - 1) // block_words
+                cut = ((at - len(words)) % block_words, b" ".join(words).decode(), begin, parts)
+                while place < len(wanted["block"]) and wanted["block"][place] == block:
+                    out.append((wanted["shard"][place], wanted["slot"][place], key[0], block, wanted["time"][place], *cut, bool(wanted["shared"][place])))
+                    place += 1
             words, parts = [], []
 
         def batch() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.bool_())
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["source_no", "block", "start", "text", "from_word", "counts"])
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CUT.split(", ")])
 
+        names = ("block", "shard", "slot", "time", "shared")
         for rows in batches:
-            columns = (rows.column(name).to_pylist() for name in ("source_no", "bucket", "before", "text"))
-            for no, bucket, before, text in zip(*columns, strict=True):
+            columns = [rows.column(name).to_pylist() for name in ("source_no", "bucket", "is_text", "before", "text")]
+            slots = [rows.column(name).to_pylist() for name in names]
+            for i, (no, bucket, is_text, before, text) in enumerate(zip(*columns, strict=True)):
                 if (no, bucket) != key:
                     close()
-                    key, at = (no, bucket), before
+                    key, at, place, wanted = (no, bucket), -1, 0, {n: array("q") for n in names}
+                if not is_text:
+                    for name, column in zip(names, slots, strict=True):
+                        wanted[name].append(column[i])
+                    continue
+                at = before if at < 0 else at
                 own, lo = text.encode().split(), 0  # of bytes: splits at the white space of WORD
                 while lo < len(own):
                     n = min(block_words - at % block_words, len(own) - lo)
@@ -135,19 +165,43 @@ def packed(texts: DataFrame, block_words: int) -> DataFrame:
                     lo, at = lo + n, at + n
                     if at % block_words == 0:
                         close()
+                        if len(out) >= 4096:
+                            yield batch()
             if out:
                 yield batch()
         close()
         if out:
             yield batch()
 
-    order = ["source_no", "bucket", "doc_id", "_hash"]
-    rows = texts.repartition("source_no", "bucket").sortWithinPartitions(*order).select("source_no", "bucket", "before", "text")
-    cut = rows.mapInArrow(pack, "source_no long, block long, start int, text string, from_word long, counts array<int>")
-    # nearly all blocks are whole: they move as they are and are collected after, not before
-    found = cut.repartition("source_no", "block").groupBy("source_no", "block").agg(
+    columns = ["source_no", "bucket", "is_text", "before", "text", *("block", "shard", "slot", "time", "shared")]
+    both = texts.withColumn("is_text", F.lit(True)).unionByName(slots.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
+    rows = both.repartition("source_no", "bucket").sortWithinPartitions("source_no", "bucket", "is_text", "block", "doc_id", "_hash")
+    return rows.select(*columns).mapInArrow(pack, CUT)
+
+
+SHARDS = ["shard", "slot", "source_no", "block", "time", "text", "from_word", "counts"]
+
+
+def written(cut: DataFrame, path: str | None) -> DataFrame:
+    """The output shards, one row for each slot. Rows of whole blocks stay where they were packed; of shared blocks the parts are joined."""
+    spark = cut.sparkSession
+    at, writers = scratch_path(spark, "shards"), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "2")  # both folders are written at once, without sorting
+    try:
+        cut.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").partitionBy("shared").parquet(at)
+    finally:
+        spark.conf.set(writers, before)
+    made = spark.read.schema(cut.schema).parquet(at)
+    found = made.where("shared").groupBy("shard", "slot", "source_no", "block", "time").agg(
         F.array_sort(F.collect_list(F.struct("start", "text", "from_word", "counts"))).alias("p"))
-    return found.select("source_no", "block", F.array_join("p.text", " ").alias("text"), F.col("p")[0]["from_word"].alias("from_word"), F.flatten("p.counts").alias("counts"))
+    joined = found.select("shard", "slot", "source_no", "block", "time", F.array_join("p.text", " ").alias("text"),
+                          F.col("p")[0]["from_word"].alias("from_word"), F.flatten("p.counts").alias("counts"))
+    shards = made.where("NOT shared").select(*SHARDS).union(stored(joined, "joined"))
+    if path is None:
+        return shards
+    shards.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    return spark.read.schema(shards.schema).parquet(path)
 
 
 def drawn_slots(spark, plan: pd.DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -206,8 +260,8 @@ def mix_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
                seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with sizes and targets, and the output shards: (documents, shards).
 
-    documents: doc_id, source, source_no, size, source_size, target, first_word. shards, one row for each slot, written to `path` or
-    else to the scratch folder: shard, slot, source_no, block, time, text (the block's words), from_word and counts (see
+    documents: doc_id, source, source_no, size, source_size, target, first_word. shards, one row for each slot, kept in the scratch
+    folder and with a `path` also written there: shard, slot, source_no, block, time, text (the block's words), from_word and counts (see
     `packed`). Rows with words have source_no and first_word to themselves, whatever their ids; `pieces` gives them for a row of a shard. A document without words is in no block.
     Null texts have no words; null ids and repeated rows are rows of their own; null sources are one source, the last one.
     A source's slots number its target divided by the block length, rounded to the nearest; slot n of a source takes block
@@ -232,7 +286,8 @@ def mix_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     slots = [min(MOST_TIMES * b, round(g / (n / b))) if b else 0 for g, n, b in zip(goal, sizes, blocks, strict=True)]
     placed, groups, totals = positions(numbered(sized))
     texts = bucketed(numbered(own.where(F.col("text").isNotNull())).drop("source", "source_size", "target"), groups)
-    whole = packed(texts.join(F.broadcast(totals) if totals.count() < 100_000 else totals, ["source_no", "bucket"]), block_words)
+    starts = totals.select("source_no", "bucket", "before")
+    texts = texts.join(F.broadcast(starts) if totals.count() < 100_000 else starts, ["source_no", "bucket"])
     n_blocks = np.array(blocks, np.int64)
 
     def to_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,10 +299,8 @@ def mix_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
             yield pdf[["shard", "slot", "source_no", "block", "time"]]
 
     taken = drawn_slots(spark, pd.DataFrame({"slots": slots}), seed).mapInPandas(to_block, "shard long, slot long, source_no long, block long, time long")
-    path = path or scratch_path(spark, "shards")
-    made = taken.join(whole, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "time", "text", "from_word", "counts")
-    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
-    return placed.drop("_hash"), spark.read.schema(made.schema).parquet(path)
+    slots = taken.join(homes(totals, block_words), ["source_no", "block"])
+    return placed.drop("_hash"), written(packed(texts, slots, block_words), path)
 
 
 def mix_blocks(docs: DataFrame, *columns: str, block_words: int = BLOCK_WORDS, **options) -> tuple[DataFrame, DataFrame]:
