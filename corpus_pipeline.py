@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import contamination, exact, language, mixing, simhash
 from foliospark.llm.common import id_remainder, stored
+from foliospark.session import scratch_path
 
-#: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Row keys that are broadcast at most (about 20 MB); more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents, stored with a number for each row, and that column's name: ids may be null or repeated."""
+    """The documents with a column that tells their rows apart, ids may be null or repeated, and that column's name.
+
+    Rows read from files have the file's path and their place in it, which every read finds again. Other rows are stored with numbers.
+    """
     name = "_row"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    try:
+        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name)), name
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
-    """The documents whose row number isn't among those of `gone`. Up to BROADCAST_IDS numbers are sent to where the texts are."""
+    """The documents whose row key isn't among those of `gone`. Up to BROADCAST_IDS keys are sent to where the texts are."""
     gone = stored(gone, "gone")
     small = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone, row, "left_anti").drop(row)
@@ -73,8 +81,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, shards: str | None = None) -> DataFrame:
-    """All stages over documents; each one's result is stored before the next reads it. The mix is written to `shards`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's result is stored before the next reads it, and goes when that one's is stored.
+    The mix is written to `shards`."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if old is not None:
+            dropped(spark, old)
+        old = path
     return mix_sources(spark, docs, sf_dir, shards)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the scratch folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
