@@ -299,7 +299,8 @@ def mix_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
             yield pdf[["shard", "slot", "source_no", "block", "time"]]
 
     taken = drawn_slots(spark, pd.DataFrame({"slots": slots}), seed).mapInPandas(to_block, "shard long, slot long, source_no long, block long, time long")
-    slots = taken.join(homes(totals, block_words), ["source_no", "block"])
+    # of equal partitions, so that no side is broadcast on its compressed size
+    slots = taken.hint("merge").join(homes(totals, block_words), ["source_no", "block"])
     return placed.drop("_hash"), written(packed(texts, slots, block_words), path)
 
 
