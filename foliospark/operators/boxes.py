@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import spatial
+from foliospark.operators import groups, spatial
 
 
 def letterbox_boxes(ann: DataFrame, images: DataFrame, classes: list[str], size: int) -> DataFrame:
@@ -61,7 +61,7 @@ def words_in_elements(words: DataFrame, elements: DataFrame, keys: list[str], th
 def unassigned_words(words: DataFrame, assigned: list[DataFrame], keys: list[str], word_id: str = "n") -> DataFrame:
     """Words that no frame of matches holds."""
     for matches in assigned:
-        words = words.join(matches.select(*keys, word_id).distinct(), [*keys, word_id], "left_anti")
+        words = groups.join_null_safe(words, matches.select(*keys, word_id).distinct(), [*keys, word_id], "left_anti").select(*words.columns)
     return words
 
 

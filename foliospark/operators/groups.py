@@ -77,10 +77,18 @@ def map_groups(
 
 
 def _starts(batch: pd.DataFrame, keys: list[str]) -> list[int]:
-    changed = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+    """First rows of the groups; null (and NaN) is a key like any other."""
+    before = batch[keys].shift()
+    changed = ((batch[keys] != before) & ~(batch[keys].isna() & before.isna())).any(axis=1).to_numpy()
+    changed[:1] = True
     return changed.nonzero()[0].tolist()
 
 
+def same_key(a: tuple | None, b: tuple) -> bool:
+    """Whether two keys are equal, null with null and NaN with NaN."""
+    return a is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
 def _slices(batch: pd.DataFrame, keys: list[str], starts: list[int], end: int):
     columns = [batch[k].to_numpy() for k in keys]
     for a, b in zip(starts, [*starts[1:], end]):
@@ -148,7 +156,7 @@ def scan_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callabl
             out: list = []
             key_rows = list(zip(*(batch[k] for k in keys)))
             for k, row in zip(key_rows, batch.itertuples(index=False, name=None)):
-                if k != key:
+                if not same_key(key, k):
                     if key is not None:
                         out.extend(start(state)[1])
                     key, state = k, start(None)[0]

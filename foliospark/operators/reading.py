@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import boxes, groups, spatial
+from foliospark.operators import boxes, graph, groups, spatial
 from foliospark.operators.metrics import page_direction
 from foliospark.operators.scan import ordered_concat, ranked, running, tiles
 from foliospark.operators.windows import cluster_x
 from foliospark.session import cut_lineage
 
-#: Groups above this size search their nearest boxes in zones instead of pairing all that share a line; the edges are the same.
-EDGE_LIMIT = 1000
+#: Pages above this size search their nearest boxes in zones on Spark instead of being swept in one task; the edges are the same.
+EDGE_LIMIT = 20_000
+#: Pages above this size are walked by connected component instead of whole; the order is the same.
+WALK_LIMIT = 2000
 #: Distances or overlaps of so many boxes with all others of their page are held at once.
 CHUNK = 256
 
@@ -131,7 +133,7 @@ def region_edges(blocks: DataFrame, keys: list[str], region: str = "region", ver
     over = F.least("y2", "o_y2") - F.greatest("y1", "o_y1")
     low = F.least(F.col("y2") - F.col("y1"), F.col("o_y2") - F.col("o_y1"))
     multi = beside.filter(over > 0.5 * low).select(*keys).distinct().withColumn("_multi", F.lit(True))
-    props = props.join(multi, keys, "left")
+    props = groups.join_null_safe(props, multi, keys, "left")
     mx, my = (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0
     at = -mx if vertical else F.when(F.col("_multi"), mx).otherwise(my)
     props = props.withColumn("_at", at)
@@ -143,7 +145,7 @@ def region_edges(blocks: DataFrame, keys: list[str], region: str = "region", ver
 
 def reading_path(blocks: DataFrame, edges: DataFrame, keys: list[str], width: str, vertical: bool = False) -> DataFrame:
     """Position per block along one topological order that begins at the top-left (top-right) block where one can;
-    a cyclic page is walked depth first."""
+    a cyclic page is walked depth first. Edges from or to blocks that aren't listed are left out; null keys are one page."""
     b = g.box()
     nodes = blocks.withColumn("_cx", g.center_x(b)).withColumn("_cy", g.center_y(b))
     none = F.lit(None)
@@ -162,8 +164,10 @@ def reading_path(blocks: DataFrame, edges: DataFrame, keys: list[str], width: st
         below = {i: (y, x) for i, x, y in zip(ids, cx, cy)}
         outs: dict = {i: {} for i in ids}
         waits = dict.fromkeys(ids, 0)
+        if not ids:
+            return None
         for s, d in zip(rows["idx"].to_numpy()[~is_node].tolist(), rows["dst"].to_numpy()[~is_node].tolist()):
-            if int(d) not in outs[s]:
+            if s in outs and d in outs and int(d) not in outs[s]:
                 outs[s][int(d)] = True
                 waits[int(d)] += 1
         start, left = min(ids, key=lambda i: place[i]), dict(waits)
@@ -198,18 +202,23 @@ def precedence_edges(elements: DataFrame, keys: list[str], direction: str) -> Da
 
     Two boxes are linked when they share a column (top2bottom) or a line (right2left, left2right) and no third box
     of that column or line stands wholly between them. Seen from a box, what lies beyond the nearest end of a box
-    ahead is hidden, so one bound per side replaces the search for blockers. On pages above EDGE_LIMIT boxes the bound
-    is searched in zones that widen until it is certain, and only boxes within both bounds are paired.
+    ahead is hidden, so one bound per side replaces the search for blockers. A page is swept along the reading axis (`graph.seen`).
+    On pages above EDGE_LIMIT boxes the bound is searched in zones that widen until it is certain, and only boxes within both bounds are
+    paired. Null keys are one page.
     """
     if direction not in ("top2bottom", "right2left", "left2right"):
         raise ValueError(f"unknown direction {direction}")
     slim = elements.select(*keys, "idx", *g.SIDES)
     small, large = groups.split_by_size(slim, keys, EDGE_LIMIT)
-    pairs = _sharing(small, small, keys, direction, whole=True)
-    bounds = pairs.groupBy(*keys, "idx").agg(
-        F.min(F.when(F.col("oa") > F.col("b"), F.col("ob"))).alias("_ahead"),
-        F.max(F.when(F.col("ob") < F.col("a"), F.col("oa"))).alias("_behind"))
-    out = _linked(pairs.join(bounds, [*keys, "idx"]), keys, direction)
+    types = dict(slim.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", src bigint, dst bigint"
+
+    def sweep(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        ids = page["idx"].to_numpy()
+        src, dst = graph.edges(page[list(g.SIDES)].to_numpy(np.float64), direction)
+        return pd.DataFrame({**dict(zip(keys, key)), "src": ids[src], "dst": ids[dst]})
+
+    out = groups.map_groups(small, keys, ["idx"], sweep, schema)
     if large is not None:
         out = out.unionByName(_large_edges(cut_lineage(large), keys, direction))
     return out
@@ -252,13 +261,13 @@ def _large_edges(rows: DataFrame, keys: list[str], direction: str) -> DataFrame:
     extent = rows.groupBy(*keys).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
     found = rows
     for name, forward in (("_ahead", True), ("_behind", False)):
-        left, done, width = rows.join(extent, keys), None, spatial.TILE
+        left, done, width = groups.join_null_safe(rows, extent, keys), None, spatial.TILE
         while True:
             za, zb = (F.col(lo), F.col(hi) + width) if forward else (F.col(lo) - width, F.col(hi))
             pairs = _sharing(left.withColumn("za", za).withColumn("zb", zb).drop("_lo", "_hi"), rows, keys, direction)
             bound = (F.min(F.when(F.col("oa") > F.col("b"), F.col("ob"))) if forward
                      else F.max(F.when(F.col("ob") < F.col("a"), F.col("oa"))))
-            best = left.join(pairs.groupBy(*keys, "idx").agg(bound.alias(name)), [*keys, "idx"], "left")
+            best = groups.join_null_safe(left, pairs.groupBy(*keys, "idx").agg(bound.alias(name)), [*keys, "idx"], "left")
             certain = F.col(name) <= F.col(hi) + width if forward else F.col(name) >= F.col(lo) - width
             at_end = F.col(hi) + width >= F.col("_hi") if forward else F.col(lo) - width <= F.col("_lo")
             best = cut_lineage(best.withColumn("_sure", F.coalesce(certain, F.lit(False)) | at_end))
@@ -268,42 +277,24 @@ def _large_edges(rows: DataFrame, keys: list[str], direction: str) -> DataFrame:
             if left.isEmpty():
                 break
             width *= 8
-        found = found.join(done, [*keys, "idx"])
+        found = groups.join_null_safe(found, done, [*keys, "idx"])
     zones = found.withColumn("za", F.least(F.col(lo), F.coalesce("_behind", lo))).withColumn("zb", F.greatest(F.col(hi), F.coalesce("_ahead", hi)))
     pairs = _sharing(zones.drop("_ahead", "_behind"), rows, keys, direction)
-    return _linked(pairs.join(found.select(*keys, "idx", "_ahead", "_behind"), [*keys, "idx"]), keys, direction)
+    return _linked(groups.join_null_safe(pairs, found.select(*keys, "idx", "_ahead", "_behind"), [*keys, "idx"]), keys, direction)
 
 
-def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], np.ndarray]:
-    """Children (nearest side first) and start distance of the boxes of one page.
+def _distance(x1, y1, x2, right, direction: str):
+    """Where a box stands in the order of starts; `right` is the page's right end."""
+    return {"top2bottom": lambda: x1 + y1, "right2left": lambda: (right - x2) + y1, "left2right": lambda: x1 + 5 * y1}[direction]()
 
-    Only the edges are kept; overlaps are formed for CHUNK boxes at a time.
-    """
-    x1, y1, x2, y2 = box.T
-    down = direction == "top2bottom"
-    lo, hi, key = (y1, y2, x1) if down else (x1, x2, y1)
-    distance = {"top2bottom": x1 + y1, "right2left": (x2.max(initial=0) - x2) + y1, "left2right": x1 + 5 * y1}[direction]
-    n, pairs = len(box), []
-    for begin in range(0, n, CHUNK):
-        part = np.arange(begin, min(n, begin + CHUNK))
-        if down:
-            share = np.minimum(x2[part, None], x2) > np.maximum(x1[part, None], x1)
-            ahead = y1[part, None] < y1
-        else:
-            tall = np.minimum((y2 - y1)[part, None], y2 - y1)
-            share = np.maximum(0, np.minimum(y2[part, None], y2) - np.maximum(y1[part, None], y1)) >= 0.5 * tall
-            ahead = ~(x2[part, None] < x2) if direction == "right2left" else ~(x2 < x2[part, None])
-        share[np.arange(len(part)), part] = False
-        limit = np.where(share & (lo > hi[part, None]), hi, np.inf).min(axis=1)
-        floor = np.where(share & (hi < lo[part, None]), lo, -np.inf).max(axis=1)
-        i, j = np.nonzero(share & (lo <= limit[:, None]) & (hi >= floor[:, None]))
-        first = ahead[i, j]
-        pairs.append(np.where(first, part[i], j) * n + np.where(first, j, part[i]))
-    edges = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    children: list[list[int]] = [[] for _ in range(n)]
-    for s, d in zip((edges // n).tolist(), (edges % n).tolist()):
-        children[s].append(d)
-    return [sorted(c, key=lambda k: key[k]) for c in children], distance
+
+def _children(n: int, src: np.ndarray, dst: np.ndarray, box: np.ndarray, direction: str) -> list[list[int]]:
+    """Children of each box, nearest side first, then by number."""
+    key = box[:, 0 if direction == "top2bottom" else 1]
+    order = np.lexsort((dst, key[dst], src))
+    cuts = np.searchsorted(src[order], np.arange(n + 1))
+    every = dst[order].tolist()
+    return [every[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def walk(children: list[list[int]], distance: list[float]) -> list[int]:
@@ -368,14 +359,17 @@ def walk(children: list[list[int]], distance: list[float]) -> list[int]:
 def _ordered(box: np.ndarray, direction: str) -> list[int]:
     if len(box) < 2:
         return list(range(len(box)))
-    children, distance = _page_graph(box, direction)
-    return walk(children, distance.tolist())
+    x1, y1, x2, _ = box.T
+    children = _children(len(box), *graph.edges(box, direction), box, direction)
+    return walk(children, _distance(x1, y1, x2, x2.max(initial=0), direction).tolist())
 
 
-def priority_order(elements: DataFrame, keys: list[str], direction: Column) -> DataFrame:
+def priority_order(elements: DataFrame, keys: list[str], direction: Column, limit: int = WALK_LIMIT) -> DataFrame:
     """Position (0-based `pos`) per (keys, idx) by the waiting walk; `direction` must be one value per key.
 
-    The order of a page is sequential by nature, so a page is walked in one task, whatever its size; it holds boxes and edges.
+    Pages up to `limit` boxes are walked in one task each. Of larger ones the edges are formed first; their connected components are
+    walked apart, whatever task each falls to, and the bursts of all are put in the order of one walk (`graph.bursts`). Only a component
+    is walked in one task, and only its boxes and edges are held. Null keys are one page.
     """
     rows = elements.select(*keys, "idx", *(F.col(s).cast("double").alias(s) for s in g.SIDES), direction.alias("_dir"))
     types = dict(rows.dtypes)
@@ -385,7 +379,50 @@ def priority_order(elements: DataFrame, keys: list[str], direction: Column) -> D
         order = _ordered(page[list(g.SIDES)].to_numpy(), page["_dir"].iloc[0])
         return pd.DataFrame({**dict(zip(keys, key)), "idx": page["idx"].to_numpy()[order], "pos": range(len(order))})
 
-    return groups.map_groups(rows, keys, ["idx"], place, schema)
+    small, large = groups.split_by_size(rows, keys, limit)
+    out = groups.map_groups(small, keys, ["idx"], place, schema)
+    return out if large is None else out.unionByName(_order_by_component(cut_lineage(large), keys))
+
+
+def _order_by_component(rows: DataFrame, keys: list[str]) -> DataFrame:
+    ways = [r["_dir"] for r in rows.select("_dir").distinct().collect()]  # at most three
+    links = None
+    for way in ways:
+        own = precedence_edges(rows.where(F.col("_dir") == way).drop("_dir"), keys, way)
+        links = own if links is None else links.unionByName(own)
+    links = cut_lineage(links)
+    at = lambda c: F.struct(*keys, F.col(c).cast("bigint").alias("idx"))
+    found = graph.components(links.select(at("src").alias("a"), at("dst").alias("b")))
+    found = found.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.idx").alias("idx"), F.col("component.idx").alias("part"))
+    right = rows.groupBy(*keys).agg(F.greatest(F.max("x2"), F.lit(0.0)).alias("_right"))
+    nodes = groups.join_null_safe(groups.join_null_safe(rows, right, keys), found, [*keys, "idx"], "left")
+    nodes = cut_lineage(nodes.withColumn("part", F.coalesce("part", F.col("idx").cast("bigint"))))
+    none = F.lit(None).cast("double")
+    ends = groups.join_null_safe(links, found.withColumnRenamed("idx", "src"), [*keys, "src"])
+    both = nodes.select(*keys, "part", F.lit(0).alias("_kind"), F.col("idx").cast("bigint").alias("idx"), *g.SIDES, "_right", "_dir", F.lit(None).cast("bigint").alias("dst"))
+    both = both.unionByName(ends.select(*keys, "part", F.lit(1).alias("_kind"), F.col("src").alias("idx"), *(none.alias(s) for s in g.SIDES),
+                                        none.alias("_right"), F.lit(None).cast("string").alias("_dir"), "dst"))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _generation bigint, _distance double, _start bigint, _places array<bigint>, _in bigint, idx bigint"
+
+    def walk_part(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        is_box = part["_kind"].to_numpy() == 0
+        own, links_ = part[is_box], part[~is_box]
+        ids, box, way = own["idx"].to_numpy(np.int64), own[list(g.SIDES)].to_numpy(np.float64), own["_dir"].iloc[0]
+        far = _distance(box[:, 0], box[:, 1], box[:, 2], own["_right"].to_numpy()[0], way)
+        src = np.searchsorted(ids, links_["idx"].to_numpy(np.int64))
+        dst = np.searchsorted(ids, links_["dst"].to_numpy(np.int64))
+        out = []
+        for generation, start, places, order in graph.bursts(_children(len(ids), src, dst, box, way), np.argsort(far, kind="stable").tolist()):
+            out += [(generation, float(far[start]), int(ids[start]), places, n, int(ids[i])) for n, i in enumerate(order)]
+        found = pd.DataFrame(out, columns=["_generation", "_distance", "_start", "_places", "_in", "idx"])
+        return found.assign(**{k: [v] * len(found) for k, v in zip(keys, key)})[[*keys, *found.columns[:6]]]
+
+    walked = cut_lineage(groups.map_groups(both, [*keys, "part"], ["_kind", "idx", "dst"], walk_part, schema))
+    order = ["_generation", "_distance", "_start", "_places", "_in"]
+    # buckets follow the order: first walks by their distance, then what cycles left over
+    placed = ranked(walked, keys, order, F.struct("_generation", tiles(F.col("_distance"), 64)), "pos")
+    return placed.select(*keys, "idx", (F.col("pos") - 1).alias("pos"))
 
 
 def assemble_text(matches: DataFrame, keys: list[str], element: str = "o_idx") -> DataFrame:
@@ -413,12 +450,12 @@ def cell_texts(cells: DataFrame, words: DataFrame, keys: list[str], cell: str =
     """Cells with the text of their words; empty where there are none."""
     pairs = boxes.words_in_elements(words, cells.select(*keys, cell, *g.SIDES), keys)
     text = assemble_text(pairs, keys, "o_" + cell).withColumnRenamed("o_" + cell, cell)
-    return cells.join(text, [*keys, cell], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return groups.join_null_safe(cells, text, [*keys, cell], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def ocr_zip(det: DataFrame, rec: DataFrame, keys: list[str]) -> DataFrame:
     """Detections and recognitions of a page paired by position; the shorter list decides."""
-    return det.join(rec, [*keys, "pos"])
+    return groups.join_null_safe(det, rec, [*keys, "pos"])
 
 
 def direct_text_blocks(lines: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -460,14 +497,14 @@ def assemble_page(
     in_cells = assemble_text(cell_pairs.select(page, "n", *g.SIDES, "content", "direction",
                                                F.struct("o_tbl", "o_cell").alias("_cell")).withColumn(
         "o_idx", F.col("_cell.o_tbl") * 2**32 + F.col("_cell.o_cell")).drop("_cell"), keys)
-    cell_rows = cells.withColumn("o_idx", F.col("tbl") * 2**32 + F.col("idx")).join(in_cells, [page, "o_idx"], "left")
+    cell_rows = groups.join_null_safe(cells.withColumn("o_idx", F.col("tbl") * 2**32 + F.col("idx")), in_cells, [page, "o_idx"], "left")
     cell_rows = cell_rows.withColumn("text", F.coalesce("text", F.lit(""))).drop("o_idx", "direction")
 
     pairs = boxes.words_in_elements(words, paragraphs.select(page, "idx", *g.SIDES), keys)
     pairs = cut_lineage(pairs.select(page, "n", *g.SIDES, "content", "direction", "o_idx"))
     text = assemble_text(pairs, keys).withColumnRenamed("o_idx", "idx")
     sides = [F.col(s).cast("double").alias(s) for s in g.SIDES]
-    found = paragraphs.join(text, [page, "idx"]).select(page, F.lit(0).alias("src"), "idx", *sides, "text", "direction", "role")
+    found = groups.join_null_safe(paragraphs, text, [page, "idx"]).select(page, F.lit(0).alias("src"), "idx", *sides, "text", "direction", "role")
     left = boxes.unassigned_words(words, [cell_pairs, pairs], keys)
     single = left.select(page, F.lit(1).alias("src"), F.col("n").alias("idx"), *sides, F.col("content").alias("text"),
                          "direction", F.lit(None).cast("string").alias("role"))
@@ -476,14 +513,15 @@ def assemble_page(
     boxed = figures.select(page, "idx", *g.SIDES)
     inside = spatial.contained_pairs(all_paragraphs, boxed, keys, 0.7)
     inside = cut_lineage(inside.select(page, F.col("o_idx").alias("figure"), "src", "idx", *g.SIDES, "text", "direction", "role"))
-    flow = all_paragraphs.join(inside.select(page, "src", "idx").distinct(), [page, "src", "idx"], "left_anti")
+    in_figure = inside.select(page, "src", "idx").distinct().withColumn("_in", F.lit(True))
+    flow = groups.join_null_safe(all_paragraphs, in_figure, [page, "src", "idx"], "left").where("_in IS NULL").drop("_in")
     part = [page, "figure"]
     numbered = inside.withColumn("seq", F.col("idx") * 2 + F.col("src"))
     way = page_direction(inside, part).withColumnRenamed("page_direction", "figure_direction")
     fig_order = priority_order(
-        numbered.join(way, part).select(*part, F.col("seq").alias("idx"), *g.SIDES, "figure_direction"), part,
+        groups.join_null_safe(numbered, way, part).select(*part, F.col("seq").alias("idx"), *g.SIDES, "figure_direction"), part,
         F.when(F.col("figure_direction") == "horizontal", "left2right").otherwise("right2left"))
-    figure_paragraphs = numbered.join(fig_order.withColumnRenamed("idx", "seq"), [*part, "seq"]).drop("seq", "src")
+    figure_paragraphs = groups.join_null_safe(numbered, fig_order.withColumnRenamed("idx", "seq"), [*part, "seq"]).drop("seq", "src")
 
     meta = F.lit(not ignore_meta)
     section = (
@@ -499,7 +537,7 @@ def assemble_page(
         extra = one if extra is None else extra.unionByName(one)
     elements = cut_lineage(kept.unionByName(extra).withColumn("seq", F.col("src") * 2**40 + F.col("idx")))
     page_way = page_direction(flow, keys)
-    elements = elements.join(page_way, keys, "left")
+    elements = groups.join_null_safe(elements, page_way, keys, "left")
     body_way = (F.when(F.col("page_direction") == "vertical", "right2left").otherwise("top2bottom")
                 if reading_order == "auto" else F.lit(reading_order))
     walk = F.when(F.col("section") == "body", body_way).otherwise("left2right")
@@ -507,7 +545,8 @@ def assemble_page(
                             [page, "section"], F.col("_w"))
     counts = elements.groupBy(page).agg(
         F.count_if(F.col("section") == "header").alias("_h"), F.count_if(F.col("section") == "body").alias("_b"))
-    out = elements.join(placed.withColumnRenamed("idx", "seq"), [page, "section", "seq"]).join(counts, page)
+    out = groups.join_null_safe(elements, placed.withColumnRenamed("idx", "seq"), [page, "section", "seq"])
+    out = groups.join_null_safe(out, counts, [page])
     shift = F.when(F.col("section") == "header", 0).when(F.col("section") == "body", F.col("_h")).otherwise(F.col("_h") + F.col("_b"))
     out = out.withColumn("order", F.col("pos") + shift).drop("pos", "_h", "_b", "seq", "src")
     return {"elements": out, "cells": cell_rows, "figure_paragraphs": figure_paragraphs}

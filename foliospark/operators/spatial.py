@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions.geometry import Box, box, is_contained
+from foliospark.operators.groups import join_null_safe
 
 TILE = 512
 TILE_KEYS = ["_tx", "_ty"]
@@ -41,7 +42,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: Col
     right = prefixed(_in_tiles(boxes, box(), 1), keys + TILE_KEYS, "o_")
     o = box("o_")
     inside = F.col("_px").between(o.x1 - 1, o.x2 + 1) & F.col("_py").between(o.y1 - 1, o.y2 + 1)
-    return left.join(right, keys + TILE_KEYS).filter(inside).drop(*TILE_KEYS)
+    return join_null_safe(left, right, keys + TILE_KEYS).filter(inside).drop(*TILE_KEYS)
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], thr: float) -> DataFrame:
@@ -70,7 +71,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         (F.least(me.x2, o.x2) > left_x) & (F.least(me.y2, o.y2) > top_y)
         & (_cell(left_x) == F.col("_tx")) & (_cell(top_y) == F.col("_ty"))
     )
-    return _in_tiles(a, me).join(right, keys + TILE_KEYS).filter(here).drop(*TILE_KEYS)
+    return join_null_safe(_in_tiles(a, me), right, keys + TILE_KEYS).filter(here).drop(*TILE_KEYS)
 
 
 def points_in_bands(
