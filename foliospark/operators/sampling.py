@@ -22,9 +22,62 @@ def hash_ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str) ->
     return ranked(rows, keys, ["_h", id_col], F.substring("_h", 1, 3), "_rank").drop("_h")
 
 
+#: Rows among which the cut of a selection is looked up directly.
+CUT_ROWS = 10_000
+
+
+def hash_cut(df: DataFrame, n: int, seed: int | str, id_col: str) -> tuple[Column, Column, int, int] | None:
+    """Where the first `n` rows in hash order end: (comes before the cut, stands at the cut, rows of these that belong, rows at the cut).
+    None: all rows belong.
+
+    A radix selection over ids: rows are counted by three hash digits, then only those of the bucket in which the n-th row falls by the next
+    three, until few are left. Every round reads the id column and moves 4,096 counts; rows don't move.
+    """
+    h = F.coalesce(hash_of(F.col(id_col), seed), F.lit(""))
+    keys = df.select(h.alias("h"), F.col(id_col).alias("id"))
+    prefix, left, here = "", n, None
+    while here is None or (here > CUT_ROWS and len(prefix) < 30):
+        counts = keys.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", len(prefix) + 1, 3).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = sorted((r["d"], r["n"]) for r in counts)
+        if not prefix and sum(c for _, c in rows) <= n:
+            return None
+        for digits, here in rows:
+            if left <= here:
+                break
+            left -= here
+        if not digits:  # only null ids have no digits
+            prefix = None
+            break
+        prefix += digits
+    own = keys.where(F.col("h") == "") if prefix is None else keys.where(F.col("h").startswith(prefix))
+    by_key = own.groupBy("h", "id").agg(F.count(F.lit(1)).alias("n")).orderBy("h", "id").limit(CUT_ROWS).collect()
+    for r in by_key:
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    kind = df.schema[id_col].dataType
+    at, cut = F.struct(h.alias("h"), F.col(id_col).alias("id")), F.struct(F.lit(r["h"]).alias("h"), F.lit(r["id"]).cast(kind).alias("id"))
+    return at < cut, at.eqNullSafe(cut), left, r["n"]
+
+
+def with_first(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFrame:
+    """Adds `_first`: whether a row is among the first `n` in hash order. Only rows that share the id at the cut, where some of them belong
+    and some don't, are ranked; all others are told by their own id."""
+    if n <= 0:
+        return df.withColumn("_first", F.lit(False))
+    cut = hash_cut(df, n, seed, id_col)
+    if cut is None:
+        return df.withColumn("_first", F.lit(True))
+    before, at, belong, there = cut
+    if belong == there:
+        return df.withColumn("_first", before | at)
+    tied = hash_ranked(df.where(at), [], id_col, seed).withColumn("_first", F.col("_rank") <= belong).drop("_rank")
+    return df.where(~at).withColumn("_first", before).unionByName(tied)
+
+
 def sample_exact(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """Exactly n rows without replacement."""
-    return hash_ranked(df, [], id_col, seed).filter(F.col("_rank") <= n).drop("_rank")
+    """Exactly n rows without replacement; fewer if there are fewer. Null ids come first, of rows that share an id any may be taken."""
+    return with_first(df, n, seed, id_col).filter("_first").drop("_first")
 
 
 def oversample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
@@ -32,7 +85,14 @@ def oversample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     size = df.count()
     if size == 0:
         raise ValueError("cannot fill a sample from an empty table")
-    return repeat_ranked(hash_ranked(df, [], id_col, seed), F.lit(n), F.lit(size)).drop("_rank")
+    return repeated(df, n, size, seed, id_col)
+
+
+def repeated(df: DataFrame, n: int, size: int, seed: int | str, id_col: str) -> DataFrame:
+    """The `size` rows repeated so that n come out: all in whole rounds, and in the last one the first in hash order."""
+    rounds = F.lit(n // size) + F.when(F.col("_first"), 1).otherwise(0)
+    rows = with_first(df, n % size, seed, id_col).withColumn("_rounds", rounds.cast("bigint")).filter("_rounds > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rounds") - 1))).drop("_first", "_rounds")
 
 
 def repeat_ranked(rows: DataFrame, n: Column, size: Column) -> DataFrame:
@@ -50,8 +110,7 @@ def shuffle_rows(df: DataFrame, seed: int, id_col: str) -> DataFrame:
 def train_val_split(df: DataFrame, ratio: float, seed: int, id_col: str) -> DataFrame:
     """Adds `split`: exactly int(n * ratio) rows are `val`, the rest `train`."""
     n_val = int(df.count() * ratio)
-    rows = hash_ranked(df, [], id_col, seed)
-    return rows.withColumn("split", F.when(F.col("_rank") <= n_val, "val").otherwise("train")).drop("_rank")
+    return with_first(df, n_val, seed, id_col).withColumn("split", F.when(F.col("_first"), "val").otherwise("train")).drop("_first")
 
 
 def split_complement(df: DataFrame, sampled: DataFrame, id_col: str) -> DataFrame:
@@ -106,8 +165,7 @@ def mix_datasets(
     if n_general and not n_general_rows:
         raise ValueError("a general share above zero needs general samples")
     zero = F.lit(0).cast("bigint")
-    ranked_general = hash_ranked(general, [], id_col, seed)
-    out_general = repeat_ranked(ranked_general, F.lit(n_general), F.lit(max(n_general_rows, 1)))
+    out_general = repeated(general, n_general, max(n_general_rows, 1), seed, id_col)
     out_general = out_general.withColumn("source", F.lit("general")).withColumn("task_type", F.lit(None).cast("string"))
 
     quotas = {task: int(n_doc * w) for task, w in weights.items() if by_task.get(task)}

@@ -70,3 +70,25 @@ def test_clusters_with_null_keys(spark):
         got = windows.cluster_x(blocks(spark), ["page"], x, limit=limit).collect()
         assert sorted((r.page or 0, r.x1, -1 if r.cluster is None else r.cluster) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 900, 1), (0, 900, 1), (1, 0, 0), (1, 0, 0), (1, 500, -1)]
     assert reading.reading_order_simple(blocks(spark), ["page"], "w").count() == len(BLOCKS)
+
+
+def test_selection_by_digits_equals_ranking(spark, monkeypatch):
+    ids = [*range(3000), *[7] * 40, *[None] * 25]
+    df = spark.createDataFrame([(i, "x" * 20) for i in ids], "id long, text string").repartition(6)
+    monkeypatch.setattr(sampling, "CUT_ROWS", 4)  # several rounds of digits
+    at = sampling.hash_ranked(df.where("id = 7"), [], "id", 3).count()
+    first = {r.id: r._rank for r in sampling.hash_ranked(df.where("id IS NOT NULL").distinct(), [], "id", 3).collect()}
+    place = 25 + first[7]  # of the first row with id 7, nulls first
+    for n in (0, 1, 10, 25, 26, 1500, place - 1, place + 5, place + at - 1, 3064, 3065, 9999):
+        got = sorted((r.id is not None, r.id) if r.id is not None else (False, 0) for r in sampling.sample_exact(df, n, 3, "id").collect())
+        want = sorted((r.id is not None, r.id) if r.id is not None else (False, 0) for r in sampling.hash_ranked(df, [], "id", 3).where(F.col("_rank") <= n).collect())
+        assert got == want
+    assert sampling.oversample(df, 7000, 3, "id").count() == 7000
+    split = sampling.train_val_split(df, 0.3, 3, "id")
+    assert split.where("split = 'val'").count() == int(3065 * 0.3) and split.count() == 3065
+
+
+def test_sampling_moves_no_rows(spark):
+    df = spark.range(5000).withColumn("text", F.lit("x"))
+    for out in (sampling.sample_exact(df, 100, 1, "id"), sampling.train_val_split(df, 0.1, 1, "id"), sampling.oversample(df, 12_000, 1, "id")):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
