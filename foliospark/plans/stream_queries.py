@@ -81,6 +81,23 @@ def stream_running_best(tb: Tables):
     return out.groupBy("trial").agg(F.min_by(F.struct("step", "cer"), F.struct("cer", "step")).alias("b")).select("trial", "b.*")
 
 
+@query("stream_improvements", sql("""
+    SELECT trial, step, cer FROM (SELECT *, min(cer) OVER (PARTITION BY trial ORDER BY step, cer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM evals)
+    WHERE b IS NULL OR cer < b""", "evals"))
+def stream_improvements(tb: Tables):
+    """Four files in the order of steps, one in each batch, read by two runs from one checkpoint: state outlives the first."""
+    source, state, out = (scratch_path(tb.spark, n) for n in ("evals", "evals-state", "improvements"))
+    rows = tb.evals.select("trial", "step", "cer")
+    cuts = [r["c"] for r in rows.agg(F.percentile("step", [0.25, 0.5, 0.75]).alias("q")).select(F.explode("q").alias("c")).collect()]
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where(F.lit(True) if lo is None else F.col("step") > lo).where(F.lit(True) if hi is None else F.col("step") <= hi)
+        part.coalesce(1).write.mode("append").parquet(source)
+        if lo is not None:
+            stream = tb.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            st.to_parquet(st.stream_improvements(stream), out, state).awaitTermination()
+    return tb.spark.read.parquet(out).select("trial", "step", "cer")
+
+
 @query("incremental_ground_truth", sql("""
     SELECT tbl // 8 AS doc, tbl AS table_idx, md5(pred) AS h FROM html_pairs WHERE pred <> '<table></table>'""", "html_pairs"))
 def incremental_ground_truth(tb: Tables):

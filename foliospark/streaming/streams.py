@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from foliospark.operators.scan import running, tiles
 
 # --- fixed values: timed stages of a page
 STAGES = ("total_ms", "detect_ms", "layout_ms", "recog_ms", "table_ms", "read_ms", "parse_ms", "page_llm_ms")
@@ -71,6 +77,27 @@ def stream_running_best(evals: DataFrame, by: str = "trial") -> DataFrame:
     return evals.groupBy(by).agg(best.alias("b")).select(by, "b.step", "b.cer")
 
 
+def stream_improvements(evals: DataFrame, by: str = "trial") -> DataFrame:
+    """by, step, cer of the evaluations that lower the error of their run, in the order of steps; a null error never does.
+
+    A stream keeps each run's lowest error as state, so a row comes out once, in the batch that brings it, and only if no row before was as
+    low; a batch of several steps gives each improvement among them. Equal to the batch result as long as steps arrive in order.
+    """
+    rows = evals.where("cer IS NOT NULL").select(by, "step", F.col("cer").cast("double").alias("cer"))
+    if not evals.isStreaming:
+        before = running(rows, [by], ["step", "cer"], tiles(F.col("step"), 1024), {"_before": ("min_before", F.col("cer"))})
+        return before.where("_before IS NULL OR cer < _before").drop("_before")
+
+    def better(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get[0] if state.exists else np.inf
+        new = pd.concat(list(parts)).sort_values(["step", "cer"])
+        upto = np.minimum.accumulate(np.concatenate([[best], new["cer"].to_numpy()]))
+        state.update((float(upto[-1]),))
+        yield new[new["cer"].to_numpy() < upto[:-1]]
+
+    return rows.groupBy(by).applyInPandasWithState(better, rows.schema, "best double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_name(checkpoint: str) -> str:
     """Name of all runs from one checkpoint; batch numbers begin again with another one."""
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]

@@ -92,3 +92,17 @@ def test_sampling_moves_no_rows(spark):
     df = spark.range(5000).withColumn("text", F.lit("x"))
     for out in (sampling.sample_exact(df, 100, 1, "id"), sampling.train_val_split(df, 0.1, 1, "id"), sampling.oversample(df, 12_000, 1, "id")):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_improvements_come_once_and_state_survives(spark):
+    schema = "trial string, step long, cer double"
+    parts = [[("a", 1, 0.9), ("a", 2, 0.5), ("b", 1, None), (None, 1, 0.4)], [("a", 3, 0.6), ("b", 2, 0.8), (None, 2, 0.4)], [("a", 4, 0.5), ("a", 5, 0.2), (None, 3, 0.1)]]
+    source, state, out = (scratch_path(spark, n) for n in ("source", "state", "out"))
+    for rows in parts:  # a run for each file, all from one checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.to_parquet(streams.stream_improvements(stream), out, state).awaitTermination()
+    got = sorted((r.trial or "", r.step, r.cer) for r in spark.read.parquet(out).collect())
+    assert got == [("", 1, 0.4), ("", 3, 0.1), ("a", 1, 0.9), ("a", 2, 0.5), ("a", 5, 0.2), ("b", 2, 0.8)]
+    batch = streams.stream_improvements(spark.createDataFrame([r for rows in parts for r in rows], schema))
+    assert sorted((r.trial or "", r.step, r.cer) for r in batch.collect()) == got
