@@ -356,12 +356,17 @@ def walk(children: list[list[int]], distance: list[float]) -> list[int]:
     return order
 
 
+def _page_graph(box: np.ndarray, direction: str) -> tuple[list[list[int]], np.ndarray]:
+    """Children (nearest side first) and start distance of the boxes of one page."""
+    x1, y1, x2, _ = box.T
+    return _children(len(box), *graph.edges(box, direction), box, direction), _distance(x1, y1, x2, x2.max(initial=0), direction)
+
+
 def _ordered(box: np.ndarray, direction: str) -> list[int]:
     if len(box) < 2:
         return list(range(len(box)))
-    x1, y1, x2, _ = box.T
-    children = _children(len(box), *graph.edges(box, direction), box, direction)
-    return walk(children, _distance(x1, y1, x2, x2.max(initial=0), direction).tolist())
+    children, distance = _page_graph(box, direction)
+    return walk(children, distance.tolist())
 
 
 def priority_order(elements: DataFrame, keys: list[str], direction: Column, limit: int = WALK_LIMIT) -> DataFrame:
