@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import boxes, graph, groups, spatial
+from foliospark.operators import boxes, distances, graph, groups, spatial
 from foliospark.operators.metrics import page_direction
 from foliospark.operators.scan import ordered_concat, ranked, running, tiles
 from foliospark.operators.windows import cluster_x
@@ -19,6 +19,8 @@ from foliospark.session import cut_lineage
 EDGE_LIMIT = 20_000
 #: Pages above this size are walked by connected component instead of whole; the order is the same.
 WALK_LIMIT = 2000
+#: Pages above this size are measured by tiles for their regions; the regions are the same.
+REGION_LIMIT = 4000
 #: Distances or overlaps of so many boxes with all others of their page are held at once.
 CHUNK = 256
 
@@ -49,11 +51,12 @@ def order_by_region(blocks: DataFrame, keys: list[str], region: str, vertical: b
 
 # ---- regions as a graph ---------------------------------------------------------------------------------------
 
-def region_components(blocks: DataFrame, keys: list[str], width: str, height: str) -> DataFrame:
+def region_components(blocks: DataFrame, keys: list[str], width: str, height: str, limit: int | None = None) -> DataFrame:
     """Adds `region`: blocks linked by centre distances up to 1.5 times the median distance of all pairs of their page.
 
-    Distances are formed for CHUNK blocks at a time, so a page takes memory in proportion to its blocks. Null keys are one
-    page, and blocks without an idx stay.
+    Regions are numbered by their first block in the order of (idx, place). Pages up to `limit` blocks (REGION_LIMIT) are measured in one
+    task, CHUNK blocks at a time; larger ones by tiles on Spark (`distances`), with the same rows. Null keys are one page,
+    blocks without an idx stay, and a block without a place is a region of its own.
     """
     b = g.box()
     rows = blocks.withColumn("_px", g.center_x(b) / F.col(width)).withColumn("_py", g.center_y(b) / F.col(height))
@@ -77,7 +80,13 @@ def region_components(blocks: DataFrame, keys: list[str], width: str, height: st
             count += 1
         return page[["_page", "_idx", "_px", "_py"]].assign(region=region)
 
-    found = groups.map_groups(rows.select("_page", "idx", "_idx", "_px", "_py"), ["_page"], ["idx"], label, schema)
+    slim = rows.select("_page", "idx", "_idx", "_px", "_py")
+    small, large = groups.split_by_size(slim, ["_page"], REGION_LIMIT if limit is None else limit)
+    found = groups.map_groups(small, ["_page"], ["idx", "_px", "_py"], label, schema)
+    if large is not None:
+        spread = distances.regions(large.select(F.col("_page").alias("of"), "idx", F.col("_px").alias("x"), F.col("_py").alias("y")))
+        found = found.unionByName(spread.select(
+            F.col("of").alias("_page"), F.col("idx").cast("string").alias("_idx"), F.col("x").alias("_px"), F.col("y").alias("_py"), F.col("region").cast("bigint")))
     place = ["_page", "_idx", "_px", "_py"]
     found = found.groupBy(*place).agg(F.min("region").alias("region"))
     first = [*keys, "idx"]
