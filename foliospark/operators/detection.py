@@ -15,8 +15,8 @@ def nms(det: DataFrame, keys: list[str], iou: float = 0.45, score: str = "score"
         limit: int = groups.FOLD_LIMIT) -> DataFrame:
     """Per key by falling score, a box goes when it overlaps a kept box by more than `iou`.
 
-    Groups up to `limit` boxes fold over the sorted boxes. Larger ones go over their pairs of overlapping boxes
-    only, in rounds.
+    Groups up to `limit` boxes fold over the sorted boxes. Larger ones go over their pairs of overlapping boxes only, along the
+    sorted pairs of a key or of a connected component of overlapping boxes (`groups.settle_conflicts`).
     """
     small, large = groups.split_by_size(det, keys, limit)
     sides = "array<struct<id:bigint,x1:double,y1:double,x2:double,y2:double>>"
@@ -35,13 +35,15 @@ def nms(det: DataFrame, keys: list[str], iou: float = 0.45, score: str = "score"
     out = (det if large is None else small).alias("d").join(kept.alias("k"), same, "left_semi")
     if large is None:
         return out
-    pairs = spatial.overlap_pairs(large.select(*keys, idx, score, *g.SIDES), large.select(*keys, idx, score, *g.SIDES), keys)
+    large = large.withColumn("_node", F.to_json(F.struct(*keys, idx)))
+    slim = large.select(*keys, idx, score, "_node", *g.SIDES)
+    pairs = spatial.overlap_pairs(slim, slim, keys)
     ahead = F.struct(-F.col(score), F.col(idx)) < F.struct(-F.col("o_" + score), F.col("o_" + idx))
     pairs = pairs.filter(ahead & (g.box_iou(g.box(), g.box("o_")) > iou))
-    edges = pairs.select(F.struct(*keys, idx).alias("winner"), F.struct(*keys, F.col("o_" + idx).alias(idx)).alias("loser"))
-    gone = groups.settle_conflicts(edges, "winner", "loser").select("loser.*")
-    lost = [F.col("d." + c).eqNullSafe(F.col("k." + c)) for c in [*keys, idx]]
-    return out.unionByName(large.alias("d").join(gone.alias("k"), lost, "left_anti"))
+    edges = pairs.select(F.to_json(F.struct(*keys)).alias("of"), (-F.col(score)).alias("_o1"), F.col(idx).alias("_o2"),
+                         F.col("_node").alias("winner"), F.col("o__node").alias("loser"))
+    gone = groups.settle_conflicts(edges, "of", ["_o1", "_o2"], "winner", "loser").withColumnRenamed("loser", "_node")
+    return out.unionByName(large.join(gone, "_node", "left_anti").drop("_node"))
 
 
 def candidates(pred: DataFrame, gt: DataFrame, keys: list[str], thr: float, idx: str = "idx") -> DataFrame:
@@ -57,7 +59,8 @@ def candidates(pred: DataFrame, gt: DataFrame, keys: list[str], thr: float, idx:
 def match_candidates(cand: DataFrame, order: DataFrame, keys: list[str], limit: int = groups.FOLD_LIMIT) -> DataFrame:
     """One-to-one pairs (keys, p, g, iou): predictions, by their `ord`, take the best free box.
 
-    `order` holds (keys, p, ord); a key it lacks does not bear on the order. Keys with up to `limit` candidates fold in one task, larger ones settle in rounds.
+    `order` holds (keys, p, ord); a key it lacks does not bear on the order. Keys with up to `limit` candidates fold in one task;
+    larger ones go along the candidates of a key or of a connected component of candidates (`groups.settle_matches`).
     """
     cand = stored(cand.join(order, [*(k for k in keys if k in order.columns), "p"]), "candidates")  # counted, then folded
     small, large = groups.split_by_size(cand, keys, limit)
@@ -80,12 +83,13 @@ def match_candidates(cand: DataFrame, order: DataFrame, keys: list[str], limit:
 
 
 def _settle_keyed(large: DataFrame, keys: list[str]) -> DataFrame:
-    """Rounds over all large keys at once: ids carry their key."""
-    rows = large.select(F.struct(*keys, "p").alias("l"), F.struct("ord", "p").alias("o"), F.struct(*keys, "g").alias("r"),
-                        F.struct("iou", (-F.col("g")).alias("neg")).alias("s"))
-    done = groups.settle_matches(rows, "l", "o", "r", "s")
-    return done.select(*(F.col(f"l.{k}").alias(k) for k in keys), F.col("l.p").alias("p"), F.col("r.g").alias("g"),
-                       F.col("s.iou").alias("iou"))
+    """All large keys at once: ids carry their key."""
+    node = lambda side, c: F.concat(F.lit(side), F.to_json(F.struct(*keys, c)))
+    rows = large.select(F.to_json(F.struct(*keys)).alias("of"), node("p", "p").alias("l"), F.struct("ord", "p").alias("o"),
+                        node("g", "g").alias("r"), F.struct("iou", (-F.col("g")).alias("neg")).alias("s"))
+    done = groups.settle_matches(rows, "of", "l", "o", "r", "s")
+    pairs = large.select(node("p", "p").alias("l"), node("g", "g").alias("r"), *keys, "p", "g", "iou")
+    return pairs.join(done, ["l", "r"]).groupBy(*keys, "p", "g").agg(F.max("iou").alias("iou"))
 
 
 def match_detections(pred: DataFrame, gt: DataFrame, keys: list[str], thr: float = 0.5,

@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliospark.operators import graph
 from foliospark.session import cut_lineage
 
 FOLD_LIMIT = 2000
+#: Conflicts or candidates of one key or component that one task goes through, holding their ids.
+SETTLE_LIMIT = 200_000
 
 
 def split_by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -46,13 +49,14 @@ def fold(
 
 
 def map_groups(
-    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[tuple, pd.DataFrame], pd.DataFrame | None], schema: str
+    df: DataFrame, keys: list[str], order: list[str | Column], fn: Callable[[tuple, pd.DataFrame], pd.DataFrame | None], schema: str,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Calls `fn(key, rows)` for every group of bounded size, many groups per Arrow batch.
 
-    Rows are placed by key and sorted by (key, order); a group that runs over a batch end is carried on.
+    Rows are placed by key and sorted by (key, order), then cut to `columns`; a group that runs over a batch end is carried on.
     """
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*(columns or df.columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail: list[pd.DataFrame] = []
@@ -95,14 +99,42 @@ def _slices(batch: pd.DataFrame, keys: list[str], starts: list[int], end: int):
         yield tuple(c[a] for c in columns), a, b
 
 
-def settle_conflicts(edges: DataFrame, winner: str, loser: str) -> DataFrame:
+def by_component(edges: DataFrame, of: str, a: str, b: str) -> tuple[DataFrame, DataFrame | None]:
+    """(edges with `_part`, each part one task's work; edges of parts too large for one task or None).
+
+    A part is a key `of` with up to SETTLE_LIMIT edges, else a connected component of its edges between `a` and `b`.
+    """
+    small, large = split_by_size(edges, [of], SETTLE_LIMIT)
+    small = small.withColumn("_part", F.col(of))
+    if large is None:
+        return small, None
+    parts = graph.components(large, a, b).select(F.col("node").alias(a), F.concat(F.lit("of "), "component").alias("_part"))
+    large = cut_lineage(large.join(parts, a).select(*edges.columns, "_part"))
+    middle, large = split_by_size(large, ["_part"], SETTLE_LIMIT)
+    return small.unionByName(middle), large
+
+
+def settle_conflicts(edges: DataFrame, of: str, order: list[str], winner: str, loser: str) -> DataFrame:
     """Ids dropped when nodes are taken in rank order and a taken node drops its losers.
 
-    `edges` holds (winner, loser) with the winner ranked higher. Every round takes all nodes that nobody undecided
-    can drop any more; the state is checkpointed, so the plan stays short.
+    `edges` holds (of, order, winner, loser): ids are strings, the winner is ranked higher, at `order`. Along the winners, each
+    is decided when its turn comes, so a part is one pass over its sorted edges. A part too large for a task settles in rounds: every
+    round takes all nodes that nobody undecided can drop any more, and its state is checkpointed.
     """
-    edges = cut_lineage(edges.select(winner, loser).distinct())
-    dropped: DataFrame | None = None
+    edges = cut_lineage(edges.select(of, *order, winner, loser).distinct())
+    parts, large = by_component(edges, of, winner, loser)
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        gone: set[str] = set()
+        for first, second in zip(rows[winner], rows[loser]):
+            if first not in gone:
+                gone.add(second)
+        return pd.DataFrame({loser: sorted(gone)})
+
+    dropped = map_groups(parts, ["_part"], order, walk, f"{loser} string", ["_part", winner, loser])
+    if large is None:
+        return dropped
+    edges = cut_lineage(large.select(winner, loser))
     while not edges.isEmpty():
         top = edges.select(winner).distinct().join(
             edges.select(F.col(loser).alias(winner)).distinct(), winner, "left_anti"
@@ -110,35 +142,44 @@ def settle_conflicts(edges: DataFrame, winner: str, loser: str) -> DataFrame:
         gone = cut_lineage(edges.join(top, winner, "left_semi").select(loser).distinct())
         edges = edges.join(gone, loser, "left_anti").join(gone.select(F.col(loser).alias(winner)), winner, "left_anti")
         edges = cut_lineage(edges)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-    if dropped is None:
-        return edges.select(loser)
+        dropped = dropped.unionByName(gone)
     return dropped
 
 
-def settle_matches(candidates: DataFrame, left: str, order: str, right: str, score: str) -> DataFrame:
-    """One-to-one pairs when left ids, in `order`, each take the best free right id. `score` must break its own ties.
+def settle_matches(candidates: DataFrame, of: str, left: str, order: str, right: str, score: str) -> DataFrame:
+    """One-to-one pairs (left, right) when left ids, in `order`, each take the best free right id.
 
-    A left id whose best free right id has no earlier left candidate is final; rounds settle all of these at once.
+    `left` and `right` are strings; `order` and `score` must break their own ties. A part is one pass over its candidates, sorted by order
+    and falling score. In a part too large for a task, a left id whose best free right id has no earlier left
+    candidate is final; rounds settle all of these at once.
     """
-    open_pairs = cut_lineage(candidates.select(left, order, right, score))
-    found: DataFrame | None = None
+    open_pairs = cut_lineage(candidates.select(of, left, order, right, score))
+    parts, large = by_component(open_pairs, of, left, right)
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        done: dict[str, str] = {}
+        taken: set[str] = set()
+        for a, b in zip(rows[left], rows[right]):
+            if a not in done and b not in taken:
+                done[a] = b
+                taken.add(b)
+        return pd.DataFrame({left: list(done), right: list(done.values())})
+
+    found = map_groups(parts, ["_part"], [order, F.col(score).desc()], walk, f"{left} string, {right} string", ["_part", left, right])
+    if large is None:
+        return found
+    open_pairs = cut_lineage(large.select(left, order, right, score))
     while not open_pairs.isEmpty():
         best = open_pairs.groupBy(left, order).agg(
             F.max_by(F.struct(right, score), score).alias("_b")
         )
         first = open_pairs.groupBy(right).agg(F.min_by(left, order).alias("_first"))
-        done = (
-            best.select(left, order, f"_b.{right}", f"_b.{score}")
-            .join(first, right)
-            .filter(F.col("_first") == F.col(left))
-            .select(left, right, score)
-        )
+        done = best.select(left, f"_b.{right}").join(first, right).filter(F.col("_first") == F.col(left)).select(left, right)
         done = cut_lineage(done)
         open_pairs = open_pairs.join(done.select(left), left, "left_anti").join(done.select(right), right, "left_anti")
         open_pairs = cut_lineage(open_pairs)
-        found = done if found is None else found.unionByName(done)
-    return found if found is not None else open_pairs.select(left, right, score)
+        found = found.unionByName(done)
+    return found
 
 
 def scan_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:

@@ -98,6 +98,29 @@ def test_match_rounds(spark, boxes):
     assert small == rows_of(detection.match_candidates(cand, order, ["page"], limit=3).select("page", "p", "g"))
 
 
+@pytest.mark.parametrize("limit", [40, 3])
+def test_conflicts_by_component_and_in_rounds(spark, boxes, monkeypatch, limit):
+    """Keys cut into components, and components too large for a task."""
+    null_page = boxes.withColumn("page", F.when(F.col("page") != 1, F.col("page")))
+    kept = rows_of(detection.nms(null_page, ["page", "label"], 0.2).select("page", "label", "idx"))
+    cand = detection.candidates(boxes, boxes.withColumn("x1", F.col("x1") + 3), ["page"], 0.05)
+    order = boxes.select("page", F.col("idx").alias("p"), F.col("idx").alias("ord"))
+    found = rows_of(detection.match_candidates(cand, order, ["page"]).select("page", "p", "g", "iou"))
+    monkeypatch.setattr(groups, "SETTLE_LIMIT", limit)
+    assert kept == rows_of(detection.nms(null_page, ["page", "label"], 0.2, limit=5).select("page", "label", "idx"))
+    assert found == rows_of(detection.match_candidates(cand, order, ["page"], limit=3).select("page", "p", "g", "iou"))
+
+
+def test_a_chain_of_boxes_takes_few_checkpoints(spark, monkeypatch):
+    """Each box overlaps the next one, by falling score: every second one goes."""
+    chain = spark.range(2500).selectExpr("1 AS page", "id AS idx", "1 - id / 5000.0 AS score", "id * 10 AS x1", "0 AS y1", "id * 10 + 19 AS x2", "10 AS y2")
+    chain = chain.withColumn("score", F.col("score").cast("double"))
+    taken, real = [], groups.cut_lineage
+    monkeypatch.setattr(groups, "cut_lineage", lambda df: taken.append(1) or real(df))
+    kept = sorted(r.idx for r in detection.nms(chain, ["page"], 0.3).collect())
+    assert kept == list(range(0, 2500, 2)) and len(taken) < 5
+
+
 def test_cluster_rounds(spark, boxes):
     x = g.center_x(g.box()) / 1900
     small = rows_of(windows.cluster_x(boxes, ["page"], x).select("page", "idx", "cluster"))
