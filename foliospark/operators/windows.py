@@ -67,8 +67,8 @@ def _cluster_by_rounds(spots: DataFrame, keys: list[str], thr: float) -> DataFra
 
 def cluster_gap(df: DataFrame, keys: list[str], value: str, gap: float, mode: str = "mean") -> DataFrame:
     """Merged line positions. `mean`: whole-number mean of values chained by steps up to `gap`; `first`: a value
-    stays when it lies more than `gap` behind the last one that stayed."""
-    values = df.select(*keys, F.col(value).alias("v")).distinct()
+    stays when it lies beyond the last one that stayed plus `gap`. Null values are left out; null keys are one key."""
+    values = df.select(*keys, F.col(value).alias("v")).filter("v IS NOT NULL").distinct()
     v = F.col("v")
     chained = islands(values, keys, ["v"], tiles(v, 256), v, v, F.lit(gap), "_grp")
     if mode == "mean":
@@ -79,27 +79,33 @@ def cluster_gap(df: DataFrame, keys: list[str], value: str, gap: float, mode: st
     small, large = groups.split_by_size(part, [*keys, "_grp"], groups.FOLD_LIMIT)
 
     def step(acc: Column, row: Column) -> Column:
-        far = F.coalesce(row["v"] - F.get(acc, F.size(acc) - 1) > gap, F.lit(True))
+        far = F.coalesce(row["v"] > F.get(acc, F.size(acc) - 1) + gap, F.lit(True))
         return F.when(far, F.concat(acc, F.array(row["v"]))).otherwise(acc)
 
     folded = groups.fold(small, [*keys, "_grp"], [F.col("v")], F.array().cast("array<double>"), step)
     out = folded.select(*keys, F.explode("folded").alias("pos"))
-    if large is None:
-        return out
-    n = len(keys)
+    return out if large is None else out.unionByName(_first_by_doubling(large, keys, gap))
 
-    def start(state):
-        return None, []
 
-    def keep(state, row):
-        v = row[-1]
-        if state is None or v - state > gap:
-            return v, [(*row[:n], v)]
-        return state, []
-
-    types = dict(large.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pos double"
-    return out.unionByName(groups.scan_sorted(large, [*keys, "_grp"], ["v"], start, keep, schema))
+def _first_by_doubling(part: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """The values of long chains (keys, _grp, v) that stay, by pointer doubling.
+
+    A value points to the first one beyond it plus `gap`, found on one sorted line. Each round follows the pointers of all that are
+    known to stay and makes the pointers twice as long, so a chain of a million values takes 20 rounds.
+    """
+    rows = part.select(F.struct(*keys, "_grp").alias("of"), "v")
+    marks = rows.select("of", F.col("v").alias("at"), F.lit(0).alias("side"), F.col("v").alias("mark"), "v")
+    ends = rows.select("of", (F.col("v") + gap).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("mark"), "v")
+    line = running(marks.unionByName(ends), ["of"], ["at", "side"], tiles(F.col("at"), 256), {"to": ("next", F.col("mark"))})
+    jump = cut_lineage(line.filter("side = 1 AND to IS NOT NULL").select("of", "v", "to"))
+    kept = cut_lineage(rows.groupBy("of").agg(F.min("v").alias("v")))
+    while True:
+        fresh = cut_lineage(kept.join(jump, ["of", "v"]).select("of", F.col("to").alias("v")))
+        if fresh.isEmpty():
+            return kept.select(*(F.col(f"of.{k}").alias(k) for k in keys), F.col("v").alias("pos"))
+        kept = kept.unionByName(fresh)
+        longer = jump.select("of", F.col("v").alias("to"), F.col("to").alias("next"))
+        jump = cut_lineage(jump.join(longer, ["of", "to"]).select("of", "v", F.col("next").alias("to")))
 
 
 def merge_bars(bars: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

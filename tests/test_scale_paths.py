@@ -136,6 +136,24 @@ def test_sorted_scans(spark, boxes, monkeypatch):
     assert kept == rows_of(windows.cluster_gap(boxes, ["page"], "x1", 20, "first"))
 
 
+@pytest.mark.parametrize("gap", [1, 7, 40.5])
+def test_first_values_by_doubling(spark, monkeypatch, gap):
+    """A long chain, short ones, a null page and null values, against the walk."""
+    rnd = random.Random(4)
+    values = {1: sorted(rnd.sample(range(4000), 2500)), 2: [0, 1, 2, 90, 91], None: [rnd.randrange(600) for _ in range(300)], 3: [5]}
+    rows = [(p, v) for p, vs in values.items() for v in vs] + [(1, None), (4, None)]
+    monkeypatch.setattr(groups, "FOLD_LIMIT", 2)
+    got = windows.cluster_gap(spark.createDataFrame(rows, "page long, x long"), ["page"], "x", gap, "first")
+    want = []
+    for page, vs in values.items():
+        last = None
+        for v in sorted(vs):
+            if last is None or v - last > gap:
+                want.append((page, float(v)))
+                last = v
+    assert rows_of(got) == sorted(want, key=repr)
+
+
 def test_nearest_ties_take_first(spark):
     points = spark.createDataFrame([(1, float(v)) for v in (0, 5, 10, 200, -70)], "k int, x double")
     targets = spark.createDataFrame([(1, 3, 0.0), (1, 1, 10.0), (1, 2, 10.0), (1, 9, 90.0)], "k int, idx bigint, x double")
