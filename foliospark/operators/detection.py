@@ -62,7 +62,7 @@ def match_candidates(cand: DataFrame, order: DataFrame, keys: list[str], limit:
     `order` holds (keys, p, ord); a key it lacks does not bear on the order. Keys with up to `limit` candidates fold in one task;
     larger ones go along the candidates of a key or of a connected component of candidates (`groups.settle_matches`).
     """
-    cand = stored(cand.join(order, [*(k for k in keys if k in order.columns), "p"]), "candidates")  # counted, then folded
+    cand = stored(groups.join_null_safe(cand, order, [*(k for k in keys if k in order.columns), "p"]), "candidates")  # counted, then folded
     small, large = groups.split_by_size(cand, keys, limit)
     choices = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "g")))
     per_pred = small.groupBy(*keys, "p", "ord").agg(choices.alias("choices"))
@@ -107,7 +107,7 @@ def detection_counts(pred: DataFrame, gt: DataFrame, images: DataFrame, keys: li
 
     out = images.select(*keys).distinct()
     for df, name in ((pred, "_np"), (gt, "_ng"), (matches, "tp")):
-        out = out.join(number(df, name), keys, "left")
+        out = groups.join_null_safe(out, number(df, name), keys, "left")
     out = out.na.fill(0, ["_np", "_ng", "tp"])
     return out.select(*keys, "tp", (F.col("_np") - F.col("tp")).alias("fp"), (F.col("_ng") - F.col("tp")).alias("fn"))
 
@@ -130,7 +130,7 @@ def cumulative_pr(flags: DataFrame, n_gt: DataFrame, keys: list[str]) -> DataFra
     rows = flags.withColumn("_neg", -F.col("score"))
     rows = running(rows, keys, ["_neg", "p"], tiles(F.col("_neg"), 0.05), {
         "cum_tp": ("sum", F.col("tp")), "rank": ("row_number", None)}).drop("_neg")
-    rows = rows.join(n_gt, keys, "left").na.fill(0, ["n_gt"])
+    rows = groups.join_null_safe(rows, n_gt, keys, "left").na.fill(0, ["n_gt"])
     cum_fp = F.col("rank") - F.col("cum_tp")
     return rows.withColumn("cum_fp", cum_fp).withColumn("precision", F.col("cum_tp") / F.col("rank")).withColumn(
         "recall", F.col("cum_tp") / F.greatest(F.col("n_gt"), F.lit(1))
@@ -140,7 +140,7 @@ def cumulative_pr(flags: DataFrame, n_gt: DataFrame, keys: list[str]) -> DataFra
 def match_flags(pred: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     scored = pred.select(*keys, F.col("idx").cast("bigint").alias("p"), "score")
     hits = matches.select(*keys, "p", F.lit(1).alias("tp"))
-    return scored.join(hits, [*keys, "p"], "left").na.fill(0, ["tp"])
+    return groups.join_null_safe(scored, hits, [*keys, "p"], "left").na.fill(0, ["tp"])
 
 
 def eleven_points(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,7 +151,7 @@ def eleven_points(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float], page: str = "page", label: str = "label") -> DataFrame:
-    """AP per page, class and threshold. A class without predictions on its page scores 0.
+    """AP per page, class and threshold. A class without predictions on its page scores 0; null pages and classes are keys like any other.
 
     Precision is highest where a hit is counted, so the curve is built from the hits and their ranks; predictions are
     ranked once for all thresholds.
@@ -162,12 +162,13 @@ def average_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float], p
     ranks = running(rows, keys, ["_neg", "p"], tiles(F.col("_neg"), 0.05), {"ord": ("row_number", None)}).drop("_neg")
     cand = candidates(pred, gt, keys, min(thresholds))
     cand = cand.withColumn("thr", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
-    hits = match_candidates(cand, ranks, full).join(ranks, [*keys, "p"])
+    hits = groups.join_null_safe(match_candidates(cand, ranks, full), ranks, [*keys, "p"])
     n_gt = gt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"))
-    curve = running(hits.select(*full, "ord"), full, ["ord"], tiles(F.col("ord"), 1024), {"cum_tp": ("row_number", None)}).join(n_gt, keys)
+    curve = running(hits.select(*full, "ord"), full, ["ord"], tiles(F.col("ord"), 1024), {"cum_tp": ("row_number", None)})
+    curve = groups.join_null_safe(curve, n_gt, keys)
     curve = curve.withColumn("precision", F.col("cum_tp") / F.col("ord")).withColumn("recall", F.col("cum_tp") / F.col("n_gt"))
     classes = class_union(pred, gt, keys).withColumn("thr", F.explode(steps))
-    return classes.join(eleven_points(curve, full), full, "left").na.fill(0.0, ["ap"])
+    return groups.join_null_safe(classes, eleven_points(curve, full), full, "left").na.fill(0.0, ["ap"])
 
 
 def map_50_95(ap: DataFrame, pred: DataFrame, images: DataFrame, page: str = "page", skip_empty: bool = False) -> DataFrame:
@@ -177,7 +178,8 @@ def map_50_95(ap: DataFrame, pred: DataFrame, images: DataFrame, page: str = "pa
         F.avg("ap").alias("map_50_95"), F.max(F.when(F.abs(F.col("thr") - 0.5) < 1e-9, F.col("ap"))).alias("map_50")
     )
     with_pred = pred.select(page).distinct()
-    scored = per.join(with_pred, page, "left_semi")
-    rows = (per if skip_empty else images.select(page).distinct()).select(page).join(scored, page, "left")
+    scored = groups.join_null_safe(per, with_pred, [page], "left_semi")
+    rows = (per if skip_empty else images.select(page).distinct()).select(page)
+    rows = groups.join_null_safe(rows, scored, [page], "left")
     rows = rows.na.fill(0.0, ["map_50_95", "map_50"])
     return rows.agg(F.avg("map_50_95").alias("map_50_95"), F.avg("map_50").alias("map_50"), F.count(F.lit(1)).alias("images"))

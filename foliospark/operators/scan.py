@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliospark.operators.groups import join_null_safe
+
 
 def running(
     df: DataFrame,
@@ -178,7 +180,7 @@ def value_at_ranks(
 ) -> DataFrame:
     """Order statistics per key: `picks` maps a name to a 0-based index, written over the column `n`.
 
-    Equal values are counted first; only the counts are ranked. The result is exact.
+    Equal values are counted first; only the counts are ranked. The result is exact. A null key is a key like any other.
     """
     if not keys:
         whole = value_at_ranks(df.withColumn("_all", F.lit(1)), ["_all"], value, picks, width)
@@ -186,7 +188,7 @@ def value_at_ranks(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     upto = running(counts, keys, [value], tiles(F.col(value), width), {"_upto": ("sum", F.col("_c"))})
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    placed = upto.join(sizes, keys)
+    placed = join_null_safe(upto, sizes, keys)
     exprs = []
     for name, index in picks.items():
         inside = (index < F.col("_upto")) & (index >= F.col("_upto") - F.col("_c"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliospark.operators import detection, reading, sampling, windows
-from foliospark.operators.scan import islands, ranked, tiles
+from foliospark.operators.scan import islands, ranked, tiles, value_at_ranks
 from foliospark.session import scratch_path
 from foliospark.streaming import streams
 
@@ -64,6 +64,31 @@ def test_regions_with_null_keys(spark):
     assert sorted((r.page or 0, r.idx or 0, r.x1, r.y1) for r in got) == sorted((p or 0, i or 0, x, y) for p, i, x, y in BLOCKS)
 
 
+def test_scores_with_null_keys(spark):
+    """A null page or class is scored like the same boxes on a page with a number."""
+    schema = "page long, label string, idx long, score double, x1 long, y1 long, x2 long, y2 long"
+    at = [(0, 0.9, 0), (1, 0.8, 3), (2, 0.7, 500), (3, 0.2, 104)]
+    page = lambda p, c: [(p, c, i, s, x, 0, x + 50, 50) for i, s, x in at]
+    pred = spark.createDataFrame([*page(1, "a"), *page(None, "a"), *page(2, None)], schema)
+    gt = spark.createDataFrame([(p, c, i, 1.0, x, 0, x + 50, 50) for p, c in ((1, "a"), (None, "a"), (2, None)) for i, x in enumerate((0, 100))], schema)
+    keys = ["page", "label"]
+    ap = detection.average_precision(pred, gt, [0.5, 0.9])
+    by_page = {(r.page, r.label): set() for r in ap.collect()}
+    for r in ap.collect():
+        by_page[r.page, r.label].add((r.thr, r.ap))
+    assert by_page[1, "a"] == by_page[None, "a"] == by_page[2, None] and max(a for _, a in by_page[1, "a"]) > 0
+    matches = detection.match_detections(pred, gt, keys)
+    counts = detection.detection_counts(pred, gt, pred.select(*keys).distinct(), keys, matches).collect()
+    assert sorted((r.tp, r.fp, r.fn) for r in counts) == [(2, 2, 0)] * 3
+    score = detection.map_50_95(ap, pred, pred).first()
+    assert score.images == 3 and score.map_50 == max(a for _, a in by_page[1, "a"])
+    n_gt = gt.groupBy(*keys).agg(F.count("*").alias("n_gt"))
+    curve = detection.cumulative_pr(detection.match_flags(pred, matches, keys), n_gt, keys).collect()
+    assert len(curve) == 12 and {r.cum_tp for r in curve if r["rank"] == 4} == {2}
+    middle = value_at_ranks(pred, ["page"], "score", {"v": F.lit(1)}, 0.1).collect()
+    assert sorted((r.page or 0, r.v, r.n) for r in middle) == [(0, 0.7, 4), (1, 0.7, 4), (2, 0.7, 4)]
+
+
 def test_clusters_with_null_keys(spark):
     x = F.when(~((F.col("page") == 1) & (F.col("x1") == 500)) | F.col("page").isNull(), F.col("x1") / 1000)
     for limit in (2000, 1):
