@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliospark.functions import geometry as g
 from foliospark.operators import groups, spatial
 from foliospark.operators.metrics import f_score, ratio
-from foliospark.operators.scan import running, tiles
+from foliospark.operators.scan import running, tiles, with_quantile_tiles
 from foliospark.session import stored
 
 
@@ -127,9 +127,9 @@ def class_union(pred: DataFrame, gt: DataFrame, cols: list[str]) -> DataFrame:
 
 def cumulative_pr(flags: DataFrame, n_gt: DataFrame, keys: list[str]) -> DataFrame:
     """Running precision and recall by falling score. `flags` has (keys, p, score, tp)."""
-    rows = flags.withColumn("_neg", -F.col("score"))
-    rows = running(rows, keys, ["_neg", "p"], tiles(F.col("_neg"), 0.05), {
-        "cum_tp": ("sum", F.col("tp")), "rank": ("row_number", None)}).drop("_neg")
+    rows = with_quantile_tiles(flags.withColumn("_neg", -F.col("score")), "_neg")
+    rows = running(rows, keys, ["_neg", "p"], F.col("_tile"), {
+        "cum_tp": ("sum", F.col("tp")), "rank": ("row_number", None)}).drop("_neg", "_tile")
     rows = groups.join_null_safe(rows, n_gt, keys, "left").na.fill(0, ["n_gt"])
     cum_fp = F.col("rank") - F.col("cum_tp")
     return rows.withColumn("cum_fp", cum_fp).withColumn("precision", F.col("cum_tp") / F.col("rank")).withColumn(
@@ -159,7 +159,7 @@ def average_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float], p
     keys, full = [page, label], [page, label, "thr"]
     steps = F.array(*map(F.lit, thresholds))
     rows = pred.select(*keys, F.col("idx").cast("bigint").alias("p"), (-F.col("score")).alias("_neg"))
-    ranks = running(rows, keys, ["_neg", "p"], tiles(F.col("_neg"), 0.05), {"ord": ("row_number", None)}).drop("_neg")
+    ranks = running(with_quantile_tiles(rows, "_neg"), keys, ["_neg", "p"], F.col("_tile"), {"ord": ("row_number", None)}).drop("_neg", "_tile")
     cand = candidates(pred, gt, keys, min(thresholds))
     cand = cand.withColumn("thr", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
     hits = groups.join_null_safe(match_candidates(cand, ranks, full), ranks, [*keys, "p"])

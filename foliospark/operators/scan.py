@@ -7,10 +7,15 @@ its bucket plus a window inside the bucket. `bucket` must grow with the first or
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.operators.groups import join_null_safe
 
+#: Rows of a bucket cut at quantiles, and the most buckets of a key.
+TILE_ROWS = 100_000
+MOST_TILES = 4096
+
 
 def running(
     df: DataFrame,
@@ -147,6 +152,22 @@ def tiles(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width)))
 
 
+def with_quantile_tiles(df: DataFrame, value: str, name: str = "_tile") -> DataFrame:
+    """Adds a bucket of a number, for `running`: cut at quantiles, so buckets hold about TILE_ROWS rows (or one value's ties) wherever the
+    values lie. One aggregation finds the cuts, at most MOST_TILES; nulls come first and NaN last, as in sorting.
+    """
+    c = F.col(value).cast("double")
+    parts = [i / MOST_TILES for i in range(1, MOST_TILES)]
+    n, cuts = df.agg(F.count(c), F.percentile_approx(F.when(~F.isnan(c), c), parts, 4 * MOST_TILES)).first()
+    tiles_ = min(MOST_TILES, n // TILE_ROWS)
+    cuts = sorted({cuts[i * MOST_TILES // tiles_ - 1] for i in range(1, tiles_)} - {float("-inf"), float("inf")}) if cuts and tiles_ > 1 else []
+    if not cuts:
+        return df.withColumn(name, F.lit(0.0))
+    place = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_cut", outputCol=name, handleInvalid="keep")
+    placed = place.transform(df.withColumn("_cut", c)).drop("_cut")
+    return placed.withColumn(name, F.when(c.isNull(), F.lit(-1.0)).otherwise(F.col(name)))
+
+
 def ordered_concat(
     df: DataFrame,
     keys: list[str],

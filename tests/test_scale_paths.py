@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import detection, diagrams, groups, reading, spatial, windows
+from foliospark.operators import detection, diagrams, groups, reading, scan, spatial, windows
 from foliospark.operators.scan import islands, ordered_concat, running, tiles, value_at_ranks
 
 
@@ -53,6 +53,24 @@ def test_islands_over_bucket_ends(spark):
         assert got[i] == start
 
 
+def test_quantile_tiles(spark, monkeypatch):
+    """Scores in a narrow range, ties, nulls, NaN and infinities: buckets stay small and grow with the order."""
+    monkeypatch.setattr(scan, "TILE_ROWS", 100)
+    rnd = random.Random(6)
+    values = [0.999 + rnd.random() / 1e4 for _ in range(4000)] + [0.5] * 300 + [None] * 5 + [float("nan"), float("inf"), float("-inf"), 7.0]
+    df = spark.createDataFrame([(1, v, i) for i, v in enumerate(values)], "k long, v double, i long")
+    rows = scan.with_quantile_tiles(df, "v")
+    got = [r["_tile"] for r in rows.orderBy("v", "i").collect()]
+    assert got == sorted(got) and len(set(got)) > 30
+    sizes = {r["_tile"]: r["n"] for r in rows.filter("v <> 0.5 AND NOT isnan(v)").groupBy("_tile").agg(F.count("*").alias("n")).collect()}
+    assert max(sizes.values()) < 200
+    ranks = running(rows, ["k"], ["v", "i"], F.col("_tile"), {"n": ("row_number", None)})
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
+    assert rows_of(ranks.select("i", "n")) == rows_of(want.select("i", "n"))
+    for few in (df.filter("false"), df.filter("v IS NULL"), df.limit(20)):
+        assert scan.with_quantile_tiles(few, "v").select("_tile").distinct().count() <= 1
+
+
 def test_value_at_ranks(spark):
     values = [5, 1, 1, 7, 3, 3, 3]
     df = spark.createDataFrame([(v,) for v in values], "v int")
