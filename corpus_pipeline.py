@@ -40,9 +40,9 @@ def without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go: texts without letters, or too unlike all languages it knows."""
+    """Documents that the language model rejects go: texts without letters (null ones too), or too unlike all languages it knows."""
     model = language.train(docs, id_remainder("doc_id", 4) != 2)
-    return language.identify(docs, model).where("NOT rejected").select(docs.columns)
+    return language.accepted(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

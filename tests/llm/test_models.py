@@ -48,6 +48,38 @@ def test_language_held_out_and_odd_texts(spark, documents, odd):
     assert language.identify(odd, language.train(odd, F.lit(False))).count() == 7
 
 
+def test_language_rejects_unlearned_languages_and_junk(spark, documents):
+    """None of these is like the four languages of the table; plain sentences of those, from another domain, are accepted."""
+    model = language.train(documents, id_remainder("doc_id", 4) != 2)
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "xkcd zrtp qwfp brst vbnm ghjk lmnp rtzs", "bcdfg hjklm npqrst vwxz bcdf ghjk lmnp qrst", "qqq www zzz xxx kkk jjj", "zxcvbnm asdfghjkl qwrtp"]
+    plain = [
+        "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt.",
+        "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia.",
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience."]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(strange + plain)], "doc_id int, text string")
+    got = {r.doc_id: r.rejected for r in language.identify(rows, model).collect()}
+    assert [got[i] for i in range(len(got))] == [True] * len(strange) + [False] * len(plain)
+    kept = language.accepted(documents, model)
+    assert kept.columns == documents.columns and kept.count() >= 0.999 * documents.count()
+
+
+def test_language_clashing_names(spark):
+    """Added names are replaced whatever their case; names with dots and all columns of accepted rows stay."""
+    model = language.fit([], [])
+    rows = spark.createDataFrame([(1, "some words", 1, 2, 3, 4, 5)], "doc_id int, text string, `a.b` int, Score int, Lang_Pred int, REJECTED int, c0 int")
+    got = language.identify(rows, model)
+    assert got.columns == ["doc_id", "text", "a.b", "c0", "lang_pred", "score", "rejected"] and [*got.first()][:4] == [1, "some words", 3 - 2, 5]
+    assert language.accepted(rows, model).columns == rows.columns
+
+
 def test_language_mean_is_that_of_all_subwords():
     """Cutting a text into parts changes nothing."""
     reader, text = language.Reader(), "ab é1 the quick, ñandú" * 30
