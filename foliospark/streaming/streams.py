@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -115,10 +115,33 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
             .trigger(availableNow=True).foreachBatch(save).start())
 
 
+#: Buckets of documents in which added tables are stored, and documents of a batch that are looked up by value.
+BUCKETS, FEW_DOCS = 64, 1000
+
+
+def added_keys(batch: DataFrame, target: str, doc: str, table: str) -> DataFrame:
+    """doc, table, run, batch of the tables in the target whose document may be among those of the batch.
+
+    Only keys are read, and only in the buckets that the batch's documents fall into; a few documents are also looked up by value, which
+    skips row groups, as buckets are stored in the order of documents.
+    """
+    spark = batch.sparkSession
+    schema = T.StructType([batch.schema[doc], batch.schema[table], T.StructField("run", T.StringType()),
+                           T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType())])
+    keys = spark.read.schema(schema).option("basePath", target).parquet(target)
+    keys = keys.where(F.col("bucket").isin([r[0] for r in batch.select(bucket_of(doc)).distinct().collect()]))
+    docs = [r[0] for r in batch.where(F.col(doc).isNotNull()).select(doc).distinct().limit(FEW_DOCS + 1).collect()]
+    return (keys if len(docs) > FEW_DOCS else keys.where(F.col(doc).isin(docs))).drop("bucket")
+
+
+def bucket_of(doc: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc)), F.lit(BUCKETS)).alias("bucket")
+
+
 def incremental_ground_truth(stream: DataFrame, target: str, checkpoint: str, doc: str = "doc_id", table: str = "table_idx") -> StreamingQuery:
     """Adds tables of documents that no earlier run has added; in this run a document may come in several batches.
 
-    A repeated batch or run adds nothing. Runs are told apart by their checkpoint.
+    A repeated batch or run adds nothing. Runs are told apart by their checkpoint. A batch looks only for its own documents in the target.
     """
     run = run_name(checkpoint)
 
@@ -126,14 +149,15 @@ def incremental_ground_truth(stream: DataFrame, target: str, checkpoint: str, do
         from foliospark.operators.render import silver_tables
         from foliospark.sources.readers import path_exists
 
-        spark = batch.sparkSession
-        if path_exists(spark, target):
-            old = spark.read.option("basePath", target).parquet(target).filter((F.col("run") != run) | (F.col("batch") != number))
-            before, now = old.filter(F.col("run") != run), old.filter(F.col("run") == run)
+        if path_exists(batch.sparkSession, target):
+            old = added_keys(batch, target, doc, table).where((F.col("run") != run) | (F.col("batch") != number))
+            before, now = old.where(F.col("run") != run), old.where(F.col("run") == run)
             batch = batch.join(now.select(doc, table).distinct(), [doc, table], "left_anti")
         else:
-            before = spark.createDataFrame([], batch.schema)
-        fresh = silver_tables(batch, before.select(doc), doc=doc)
-        fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+            before = batch.limit(0)
+        fresh = silver_tables(batch, before.select(doc), doc=doc).withColumn("bucket", bucket_of(doc))
+        # a bucket is as few files as its size allows; adaptive execution splits that of a large document
+        files = fresh.hint("rebalance", "bucket").sortWithinPartitions("bucket", doc)
+        files.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()

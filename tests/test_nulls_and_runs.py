@@ -131,3 +131,26 @@ def test_improvements_come_once_and_state_survives(spark):
     assert got == [("", 1, 0.4), ("", 3, 0.1), ("a", 1, 0.9), ("a", 2, 0.5), ("a", 5, 0.2), ("b", 2, 0.8)]
     batch = streams.stream_improvements(spark.createDataFrame([r for rows in parts for r in rows], schema))
     assert sorted((r.trial or "", r.step, r.cer) for r in batch.collect()) == got
+
+
+def test_ground_truth_looks_for_its_own_documents(spark, tmp_path):
+    """A batch of few documents reads keys in their buckets only, and adds what neither run has."""
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "doc_id bigint, table_idx bigint, html string"
+    filler = spark.range(20_000).selectExpr("id AS doc_id", "0L AS table_idx", "concat('<table>', id, '</table>') AS html")
+    filler.coalesce(1).write.parquet(str(tmp_path / "first"))
+    streams.incremental_ground_truth(spark.readStream.schema(schema).parquet(str(tmp_path / "first")), target, str(tmp_path / "c1")).awaitTermination()
+    whole = spark.read.parquet(target)
+    assert whole.count() == 20_000 and len(whole.inputFiles()) >= streams.BUCKETS
+    for k in range(2):
+        # an old document, a new one with one more table in each file, one table again, one without a text
+        rows = [(7, 9, "x"), (50_000, k, f"t{k}"), (50_000, 0, "t0") if k else (50_001, 0, "u"), (60_000 + k, 1, " ")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    batch = spark.read.schema(schema).parquet(source)
+    keys = streams.added_keys(batch, target, "doc_id", "table_idx")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert keys.count() == 1 and "PartitionFilters: [bucket" in plan and "PushedFilters: [In(doc_id" in plan and "html" not in plan
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.incremental_ground_truth(read, target, state).awaitTermination()
+    got = spark.read.parquet(target).where(F.col("run") == streams.run_name(state)).collect()
+    assert sorted((r.doc_id, r.table_idx, r.html) for r in got) == [(50_000, 0, "t0"), (50_000, 1, "t1"), (50_001, 0, "u")]
