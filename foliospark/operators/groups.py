@@ -72,7 +72,8 @@ def map_batches(
 
     For work on very many small groups, where a frame for each would cost more than the work. Placed and sorted as by `map_groups`.
     """
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*(columns or df.columns))
+    # by a hash of the keys: a union whose parts are each placed by key counts as placed, though adaptive execution merges their partitions apart
+    placed = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).select(*(columns or df.columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail: list[pd.DataFrame] = []

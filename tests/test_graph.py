@@ -165,3 +165,15 @@ def test_groups_are_handed_over_together(spark):
     out = groups.map_batches(df, ["k"], ["i"], sizes, "k bigint, n bigint, calls double").collect()
     assert len(out) == 500 and {r.n for r in out} == {4} and sum(r.k is None for r in out) == 1
     assert sum(r.calls for r in out) < 100
+
+
+def test_unions_are_placed_again(spark):
+    """A union of parts that are each placed by key isn't taken as placed: its parts may have been merged in other ways."""
+    from pyspark.sql import Window
+
+    by_key = Window.partitionBy("k").orderBy("i")
+    part = lambda n: spark.range(n).selectExpr("id % 50 AS k", "id AS i").withColumn("n", F.row_number().over(by_key))
+    out = groups.map_batches(part(100).unionByName(part(5000)), ["k"], ["i"], lambda b, cuts: b[["k"]].iloc[cuts[:-1]], "k bigint")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan[: plan.index("Union")]
+    assert sorted(r.k for r in out.collect()) == list(range(50))
