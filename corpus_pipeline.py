@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import contamination, exact, language, mixing, simhash
-from foliospark.llm.common import id_remainder, stored
+from foliospark.llm.common import dropped, id_remainder, stored
 from foliospark.session import scratch_path
 
 #: Row keys that are broadcast at most (about 20 MB); more are joined by a shuffle.
@@ -92,9 +92,3 @@ def run(spark: SparkSession, sf_dir: str, shards: str | None = None) -> DataFram
             dropped(spark, old)
         old = path
     return mix_sources(spark, docs, sf_dir, shards)
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the scratch folder that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
