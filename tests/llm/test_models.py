@@ -73,7 +73,7 @@ def test_language_rejects_unlearned_languages_and_junk(spark, documents):
 
 @pytest.mark.parametrize("task_docs", [100_000, 2000])
 def test_language_learns_from_all_rows(spark, monkeypatch, task_docs):
-    """Every fourth document shares its only word with three others and nothing else: who learns from a few thousand misses half of them.
+    """Each of 4,000 words stands in four documents, one of them not trusted: who learns from a few thousand doesn't meet many of the words.
 
     The rows are sorted by language; repeated and null ids count like others.
     """
