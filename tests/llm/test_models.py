@@ -236,3 +236,18 @@ def test_toxicity(spark, documents, odd):
     assert toxicity.score(odd.where("false"), models).count() == 0
     untrained = toxicity.train(docs, labels.where("false"), F.lit(True))
     assert {round(r.score, 6) for r in toxicity.score(odd, untrained).collect()} == {round(1 / (1 + math.exp(3)), 6)}
+
+
+def test_language_model_counts_a_group_in_small_slices(spark, monkeypatch):
+    """Words are cut from SCORE_BYTES of text at a time, and counted for a whole group: the same entries, in far less memory."""
+    docs = spark.createDataFrame([(i, f"one two three{i % 7} four " * 5) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = lambda: sorted((r["word"], r["count"], tuple(sorted(map(tuple, r["entries"])))) for r in lm.vocabulary(docs, F.lit(True)).collect())
+    want, cut = rows(), lm.token_arrays
+
+    def bounded(data, offsets, hasher):
+        assert len(offsets) == 2 or offsets[-1] - offsets[0] <= 300
+        return cut(data, offsets, hasher)
+
+    monkeypatch.setattr(lm, "SCORE_BYTES", 300)
+    monkeypatch.setattr(lm, "token_arrays", bounded)
+    assert rows() == want
