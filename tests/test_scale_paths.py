@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import detection, diagrams, groups, reading, scan, spatial, windows
+from foliospark.operators import detection, diagrams, groups, reading, scan, spatial, tables, windows
 from foliospark.operators.scan import islands, ordered_concat, running, tiles, value_at_ranks
 
 
@@ -326,3 +326,39 @@ def test_small_keys_take_one_window(spark):
         assert cut.schema == one.schema and sorted(map(str, cut.collect())) == sorted(map(str, one.collect()))
     finally:
         scan.WINDOW_ROWS = limit
+
+
+def test_cells_of_small_tables_stay_where_their_lines_are(spark, monkeypatch):
+    """Cells of small tables are made and merged by table alone, with the rows of the way by tiles; null keys and repeated places included."""
+    lines = [(t, i, 40 * i, 40 * i + 40) for t in (1, 2, None) for i in range(5)]
+    rows = spark.createDataFrame([(t, i, 0, a, 200, b) for t, i, a, b in lines], "tbl long, idx long, x1 long, y1 long, x2 long, y2 long")
+    cols = spark.createDataFrame([(t, i, a, 0, b, 200) for t, i, a, b in lines], rows.schema)
+    spans = spark.createDataFrame([(1, 1, 0, 0, 80, 80), (1, 2, 0, 160, 80, 200), (2, 3, 900, 0, 999, 9), (None, 2, 0, 0, 80, 40)], rows.schema)
+
+    def made():
+        cells = tables.grid_cells(rows, cols, ["tbl"])
+        # a place that comes twice, once outside the span, and cells without a row
+        more = cells.filter("tbl = 1 AND row = 1 AND col = 1").selectExpr("tbl", "row", "col", "x1 + 100 AS x1", "y1", "x2 + 100 AS x2", "y2")
+        none = cells.filter("tbl = 1 AND row < 3").selectExpr("tbl", "CAST(null AS bigint) AS row", "col", "x1", "y1", "x2", "y2")
+        return cells, tables.merge_spans(cells.unionByName(more).unionByName(none), spans, ["tbl"])
+
+    cells, merged = made()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "_tx" not in plan
+    small = [sorted(map(str, df.collect())) for df in (cells, merged)]
+    monkeypatch.setattr(tables, "TABLE_LINES", 0)
+    assert small == [sorted(map(str, df.collect())) for df in made()]
+    assert len(small[0]) == 75
+
+
+def test_small_tables_are_drawn_in_one_move(spark, monkeypatch):
+    """HTML and pipe tables of small tables have holes, repeated places and missing texts as those of large ones, without a join by slots."""
+    rows = [(1, 0, 0, "a|b"), (1, 0, 2, "c"), (1, 2, 1, None), (1, 2, 0, "d"), (2, 0, 0, "x"), (2, 0, 0, "w"), (3, None, 1, "y"), (3, 1, None, "z"),
+            (None, 0, 1, "n"), (4, 1, 1, "e"), (5, 0, 0, None)]
+    cells = spark.createDataFrame(rows, "tbl long, row long, col long, txt string").selectExpr(
+        "*", "1L AS row_span", "col + 1 AS col_span", "row = 0 AS is_header", "txt = 'c' AS low_confidence", "CAST(null AS double) AS confidence")
+    ways = [lambda: tables.table_html(cells, ["tbl"]), lambda: tables.table_markdown(cells, ["tbl"]), lambda: tables.table_markdown(cells, ["tbl"], mark_low=True)]
+    assert all("Join" not in way()._jdf.queryExecution().executedPlan().toString() for way in ways)
+    small = [sorted(map(str, way().collect())) for way in ways]
+    monkeypatch.setattr(tables, "TABLE_LINES", 0)
+    assert small == [sorted(map(str, way().collect())) for way in ways]
