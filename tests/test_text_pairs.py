@@ -1,4 +1,4 @@
-"""Edit distances of many pairs at once."""
+"""Edit distances of many pairs at once, and shared tokens counted inside their rows."""
 
 import random
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import sequences
 from foliospark.functions import text as t
+from foliospark.operators import metrics as m
 
 
 def plain(a, b):
@@ -44,3 +45,22 @@ def test_edit_distance_of_short_long_and_null_texts(spark):
     rows = [(0, "abc", "abd"), (1, "x" * 70, "x" * 60 + "y" * 12), (2, None, "x" * 90), (3, "é" * 300, "e" + "é" * 298), (4, "", "ab"), (5, "a" * 65, "a" * 65)]
     got = spark.createDataFrame(rows, "id int, a string, b string").select("id", t.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert {r["id"]: r["d"] for r in got} == {0: 1, 1: 12, 2: None, 3: 2, 4: 2, 5: 0}
+
+
+QA = [("c", 1, "the cat sat", "the cat"), ("c", 2, "a b", "a b c"), ("c", 2, "c", "a b c"), ("d", 1, "", ""), ("d", 2, "x", ""), (None, 1, "q", "r")]
+
+
+def test_tokens_of_lone_rows_are_counted_inside_the_row(spark):
+    rows = spark.createDataFrame(QA, "conv string, turn int, pred string, ref string")
+    sums = m.multiset_sums(rows, ["conv", "turn"], t.words(F.col("pred")), t.words(F.col("ref")))
+    got = {(r["conv"], r["turn"]): (r["_rows"], r["_c"], r["_np"], r["_nr"]) for r in sums.collect()}
+    assert got == {("c", 1): (1, 2, 3, 2), ("c", 2): (2, 3, 3, 6), ("d", 1): (1, None, None, None), ("d", 2): (1, 0, 1, 0), (None, 1): (1, 0, 1, 1)}
+
+
+def test_rollup_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame(QA, "conv string, turn int, pred string, ref string")
+    f1 = {(r["conv"], r["turn"], r["pred"]): round(r["f1"], 6) for r in m.token_f1(rows, ["conv", "turn"]).collect()}
+    # rows with equal ids share their tokens; a row without an id has none
+    assert f1 == {("c", 1, "the cat sat"): 0.8, ("c", 2, "a b"): 0.666667, ("c", 2, "c"): 0.666667, ("d", 1, ""): 1.0, ("d", 2, "x"): 0.0, (None, 1, "q"): 1.0}
+    got = {r["conv"]: (r["qa_count"], r["qa_em"], r["qa_f1"]) for r in m.qa_rollup(rows, ["conv", "turn"], "conv").collect()}
+    assert got == {"c": (2, 0.0, 0.7333), "d": (2, 0.5, 0.5), None: (1, 0.0, 1.0)}
