@@ -11,7 +11,7 @@ from foliospark.session import cut_lineage
 
 def sequential_edges(nodes: DataFrame, keys: list[str], order: str, node: str) -> DataFrame:
     """(keys, src, dst) between neighbours in reading order."""
-    rows = running(nodes, keys, [order], tiles(F.col(order), 1024), {"src": ("lag", F.col(node))})
+    rows = running(nodes, keys, [order], tiles(F.col(order), 1024), {"src": ("lag", F.col(node))}, deal=True)
     return rows.filter(F.col("src").isNotNull()).select(*keys, "src", F.col(node).alias("dst"))
 
 

@@ -362,3 +362,13 @@ def test_small_tables_are_drawn_in_one_move(spark, monkeypatch):
     small = [sorted(map(str, way().collect())) for way in ways]
     monkeypatch.setattr(tables, "TABLE_LINES", 0)
     assert small == [sorted(map(str, way().collect())) for way in ways]
+
+
+def test_neighbours_of_many_rows_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    from foliospark.operators import scan, windows
+
+    monkeypatch.setattr(scan, "TASK_ROWS", 20)
+    rows = [(k if k else None, n) for k in range(40) for n in range(0, 10, 2)]
+    out = windows.sequential_edges(spark.createDataFrame(rows, "page int, n int"), ["page"], "n", "n")
+    assert out.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, out.na.fill(0).collect())) == sorted((k or 0, n, n + 2) for k in range(40) for n in range(0, 8, 2))
