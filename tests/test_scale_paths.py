@@ -372,3 +372,14 @@ def test_neighbours_of_many_rows_are_found_in_tasks_of_bounded_size(spark, monke
     out = windows.sequential_edges(spark.createDataFrame(rows, "page int, n int"), ["page"], "n", "n")
     assert out.rdd.getNumPartitions() == 10
     assert sorted(map(tuple, out.na.fill(0).collect())) == sorted((k or 0, n, n + 2) for k in range(40) for n in range(0, 8, 2))
+
+
+def test_nearest_points_of_listed_targets_equal_those_of_cells(spark, monkeypatch):
+    rows = [(k, i, (37.0 * i * i + k) % 900, (53.0 * i + 7 * k) % 700) for k in range(5) for i in range(30)]
+    targets = spark.createDataFrame([*rows, (5, 1, None, 1.0)], "k int, tid int, x double, y double")
+    points = [(k if k < 6 else None, i, 11.0 * i, 13.0 * k) for k in range(7) for i in range(25)] + [(1, 99, None, 0.0)]
+    points = spark.createDataFrame(points, "k int, pid int, x double, y double")
+    listed = set(rows_of(diagrams.nearest_point(points, targets, ["k"], "pid", "tid")))
+    assert len(listed) == 5 * 25  # a point without a place used to be looked for without end
+    monkeypatch.setattr(diagrams, "KEY_TARGETS", 1)
+    assert set(rows_of(diagrams.nearest_point(points, targets, ["k"], "pid", "tid"))) == listed
