@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,45 @@ def test_language_model_counts_a_group_in_small_slices(spark, monkeypatch):
     monkeypatch.setattr(lm, "SCORE_BYTES", 300)
     monkeypatch.setattr(lm, "token_arrays", bounded)
     assert rows() == want
+
+
+def test_language_model_learns_whole_words_before(spark):
+    """Words of one ending are different words before: what follows one of them doesn't follow the other."""
+    docs = spark.createDataFrame([(i, "aaxx left" if i % 2 else "bbxx right") for i in range(100)], "doc_id long, text string")
+    vocab = lm.vocabulary(docs, F.lit(True))
+    totals = lm.sample(vocab)
+    asked = spark.createDataFrame([(0, "aaxx left"), (1, "aaxx right"), (2, "bbxx right"), (3, "bbxx left")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(asked, lm.model(vocab, totals), totals).collect()}
+    assert got[0] - got[1] > 1 and got[2] - got[3] > 1
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_language_model_scores_by_its_tables(spark, monkeypatch, hot):
+    """Scores are what the stored tables say of each token, whichever words are frequent; after any word before, all words sum to 1."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    rng = np.random.default_rng(3)
+    said = [" ".join(rng.choice([f"w{int(k)}" for k in rng.zipf(1.4, 20)], 12)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").unionByName(spark.createDataFrame([(200, "w1 unseen w1"), (201, None)], "doc_id long, text string"))
+    vocab = lm.vocabulary(docs, F.col("doc_id") < 120)
+    totals = lm.sample(vocab)
+    words = lm.model(vocab, totals).collect()
+    backs = np.array([totals.back(s) for s in range(lm.BURN + 1, len(totals.sweeps))])
+    none = np.array([totals.root(np.zeros(1), np.zeros(1), s)[0] for s in range(lm.BURN + 1, len(totals.sweeps))])
+    roots, extra = {r.word: np.array(r.roots) for r in words}, {(r.word, e.context): e.extra for r in words for e in r.entries}
+    own = {(r.word, b): n for r in spark.read.parquet(totals.pairs).collect() for b, n in zip(r.befores, r.own)}
+    befores = {r.before: (r.customers, r.back) for r in spark.read.parquet(totals.befores).collect()}
+    assert len(own) == vocab.selectExpr("sum(size(entries)) as n").first().n and sum(c for c, _ in befores.values()) == totals.tokens
+
+    def p(word, before, context):
+        customers, back = befores.get(before, (0, 1.0))
+        below = (backs[:, context] * roots.get(word, none)).mean() + extra.get((word, context), 0.0)
+        return own.get((word, before), 0.0) / (lm.STRENGTH + customers) + back * below
+
+    data, offsets = lm.utf8(pa.array([r.text for r in docs.orderBy("doc_id").collect()], pa.string()))
+    word, before, context, row = lm.token_arrays(data, offsets, lm.WordHash())
+    word, before = word.view(np.int64).tolist(), before.view(np.int64).tolist()
+    want = np.bincount(row, [math.log10(p(*t)) for t in zip(word, before, context.tolist())])
+    got = lm.score(docs, lm.model(vocab, totals), totals).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx(want.tolist(), rel=1e-5)
+    for b, c in list(dict(zip(before, context.tolist())).items())[:20]:
+        assert sum(p(w, b, c) for w in [*roots, None]) == pytest.approx(1.0, abs=1e-5)
