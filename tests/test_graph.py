@@ -177,3 +177,16 @@ def test_unions_are_placed_again(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan[: plan.index("Union")]
     assert sorted(r.k for r in out.collect()) == list(range(50))
+
+
+def test_pages_of_some_thousand_boxes_are_walked_in_a_task(spark, monkeypatch):
+    """Such a page is walked whole, beside others; the rounds of jobs by component are for pages that no task should hold."""
+    def refuse(*_):
+        raise AssertionError("searched for components")
+
+    rows = [(page, k, 60 * (k % 12), 30 * (k // 12), 60 * (k % 12) + 50, 30 * (k // 12) + 24) for page, n in ((1, 3000), (2, 30)) for k in range(n)]
+    boxes = spark.createDataFrame(rows, "page long, idx long, x1 long, y1 long, x2 long, y2 long")
+    monkeypatch.setattr(graph, "components", refuse)
+    got = reading.priority_order(boxes, ["page"], F.lit("left2right")).collect()
+    # lines one after another, each from its left end
+    assert sorted((r.page, r.idx) for r in got) == [r[:2] for r in rows] and all(r.pos == r.idx for r in got)
