@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.operators import groups, spatial
 from foliospark.operators.scan import islands, ranked, running, tiles, value_at_ranks
@@ -111,33 +113,49 @@ def _first_by_doubling(part: DataFrame, keys: list[str], gap: float) -> DataFram
 def merge_bars(bars: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """Bars of one row merged over small gaps; `pages` gives w and h per key.
 
-    A bar whose centre lies below everything seen so far by more than the tolerance always starts anew, so a page is
-    cut into such bands first and each band is merged on its own.
+    A bar whose centre lies below everything seen so far by more than the tolerance always starts anew. A page of up to FOLD_LIMIT bars is
+    merged whole where its bars lie; a larger one is cut into such bands first and each band is merged on its own.
     """
     tol_y = F.greatest(F.lit(6), (0.008 * F.col("h")).cast("int"))
     tol_x = F.greatest(F.lit(6), (0.004 * F.col("w")).cast("int"))
-    rows = bars.join(pages.select(*keys, "w", "h"), keys).withColumn("_ty", tol_y).withColumn("_tx", tol_x)
-    rows = rows.withColumn("_cy", F.floor((F.col("y1") + F.col("y2")) / 2)).drop("w", "h")
     order = ["_cy", "x1", "y1", "x2", "y2"]
-    rows = islands(rows, keys, order, tiles(F.col("_cy"), 256), F.col("_cy"), F.col("y2"), F.col("_ty"), "_band")
-    rows = rows.select(*keys, "_band", "_cy", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "_ty", "_tx")))
-    band = [*keys, "_band"]
-    small, large = groups.split_by_size(rows, band, groups.FOLD_LIMIT)
+    whole, cut = groups.split_by_size(bars, keys, groups.FOLD_LIMIT)
+
+    def sized(df: DataFrame) -> DataFrame:
+        rows = df.join(pages.select(*keys, "w", "h"), keys).withColumn("_ty", tol_y).withColumn("_tx", tol_x)
+        return rows.withColumn("_cy", F.floor((F.col("y1") + F.col("y2")) / 2)).drop("w", "h")
+
+    along = Window.partitionBy(*keys).orderBy(*order)
+    above = F.max("y2").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = sized(whole).withColumn("_open", F.coalesce(above.isNull() | (F.col("_cy") - above > F.col("_ty")), F.lit(False)))
+    rows = rows.select(*keys, "_open", "_cy", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "_ty", "_tx")))
     bar = "struct<x1:double,y1:double,x2:double,y2:double>"
 
-    def step(acc: Column, row: Column) -> Column:
+    def step(acc: Column, row: Column, opens: bool) -> Column:
         cur = F.get(acc, F.size(acc) - 1)
         join = F.coalesce(
             (F.abs((row["y1"] + row["y2"]) / 2 - (cur["y1"] + cur["y2"]) / 2) <= row["_ty"]) & (row["x1"] - cur["x2"] <= row["_tx"]),
             F.lit(False),
         )
+        if opens:
+            join = join & ~row["_open"]
         grown = F.struct(cur["x1"].alias("x1"), F.least(cur["y1"], row["y1"]).alias("y1"),
                          F.greatest(cur["x2"], row["x2"]).alias("x2"), F.greatest(cur["y2"], row["y2"]).alias("y2")).cast(bar)
         own = F.struct(*(row[s].alias(s) for s in ("x1", "y1", "x2", "y2"))).cast(bar)
         return F.when(join, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
 
-    folded = groups.fold(small, band, [F.col(c) for c in ("_cy", "x1", "y1", "x2", "y2")], F.array().cast(f"array<{bar}>"), step)
-    out = folded.select(*keys, F.explode("folded").alias("b")).select(*keys, "b.*")
+    def merged(df: DataFrame, of: list[str], fold_step: Callable, *ties: Column) -> DataFrame:
+        folded = groups.fold(df, of, [*(F.col(c) for c in order), *ties], F.array().cast(f"array<{bar}>"), fold_step)
+        return folded.select(*keys, F.explode("folded").alias("b")).select(*keys, "b.*")
+
+    found = merged(rows, keys, lambda acc, row: step(acc, row, True), ~F.col("_open"))  # of equal bars the one that opens comes first
+    if cut is None:
+        return found
+    rows = islands(sized(cut), keys, order, tiles(F.col("_cy"), 256), F.col("_cy"), F.col("y2"), F.col("_ty"), "_band")
+    rows = rows.select(*keys, "_band", "_cy", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "_ty", "_tx")))
+    band = [*keys, "_band"]
+    small, large = groups.split_by_size(rows, band, groups.FOLD_LIMIT)
+    out = found.unionByName(merged(small, band, lambda acc, row: step(acc, row, False)))
     if large is None:
         return out
     n, types = len(keys), dict(large.dtypes)
