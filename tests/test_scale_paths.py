@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from foliospark.functions import geometry as g
-from foliospark.operators import detection, diagrams, groups, reading, scan, spatial, tables, windows
+from foliospark.operators import boxes as ob, detection, diagrams, groups, reading, scan, spatial, tables, windows
 from foliospark.operators.scan import islands, ordered_concat, running, tiles, value_at_ranks
 
 
@@ -399,3 +399,54 @@ def test_small_keys_are_matched_where_their_boxes_lie(spark, boxes, monkeypatch)
     monkeypatch.setattr(detection, "candidates", None)
     assert ap() == by_tiles and len({v for _, v in by_tiles}) > 3
     assert match() == found and found
+
+
+def test_bars_of_small_pages_are_merged_where_they_lie(spark, boxes, monkeypatch):
+    """Equal bars and all; the rows are those of a page cut into bands, which is not done."""
+    pages = boxes.select("page").distinct().withColumn("w", F.lit(1900)).withColumn("h", F.lit(1900))
+    bars = boxes.select("page", *g.SIDES)
+    bars = bars.unionByName(bars.filter("x1 % 3 = 0"))
+    whole, real = rows_of(windows.merge_bars(bars, pages, ["page"])), windows.islands
+    monkeypatch.setattr(windows, "islands", None)
+    assert whole == rows_of(windows.merge_bars(bars, pages, ["page"]))
+    monkeypatch.setattr(windows, "islands", real)
+    monkeypatch.setattr(groups, "FOLD_LIMIT", 0)
+    assert whole == rows_of(windows.merge_bars(bars, pages, ["page"]))
+
+
+def test_parts_of_small_tables_meet_by_table_alone(spark, monkeypatch):
+    """Boundary cells, cut words and dense grids of small tables, ids and keys that repeat or lack too, equal those by tiles and slots, which they don't go through."""
+    rnd, keys = random.Random(9), ["tbl"]
+    lines = {kind: [] for kind in ("row", "col", "span")}
+    for t in (1, 2, None):
+        for k in range(1, 7):
+            lines["row"].append((t, k, 0, 40 * k - 40, 400, 40 * k, "h"))
+            lines["col"].append((t, k, 70 * k - 70, 0, 70 * k, 240, "h"))
+            a, b = rnd.randrange(5), rnd.randrange(5)
+            lines["span"].append((t, rnd.choice([1, 2, 3, None]), 70 * a, 40 * b, 70 * a + rnd.choice([70, 140]), 40 * b + rnd.choice([40, 85]), "s"))
+    frame = {k: spark.createDataFrame(v, "tbl long, idx long, x1 long, y1 long, x2 long, y2 long, kind string") for k, v in lines.items()}
+    words = spark.createDataFrame([(t, rnd.choice([*range(30), None]), x := rnd.randrange(400), y := rnd.randrange(230), x + rnd.choice([10, 60]), y + rnd.choice([20, 45]), 0.5)
+                                   for t in (1, 2, 2, 3, None) for _ in range(30)], "page long, n long, x1 long, y1 long, x2 long, y2 long, score double")
+    words = words.select("page", "n", g.quad_of_box(g.box()).alias("quad"), "score")
+    tables_ = spark.createDataFrame([(t, t, 0, 0, 390, 240) for t in (1, 2, 2, None)], "page long, tbl long, x1 long, y1 long, x2 long, y2 long")
+    paged = lambda df: df.withColumn("page", F.col("tbl"))
+    cells = spark.createDataFrame([(t, r, c, rs, 1, 70 * c - 70, 40 * r - 40, 70 * c, 40 * (r + rs - 1), f"{r}.{c}") for t in (1, 2, None) for r in range(1, 6) for c in range(1, 6)
+                                   for rs in (1, 2) if rnd.random() < 0.7], "tbl long, row long, col long, row_span long, col_span long, x1 int, y1 int, x2 int, y2 int, txt string")
+    size = spark.createDataFrame([(1, 6, 5), (2, 3, 7), (2, 2, 2), (None, 2, 2), (4, 1, 1)], "tbl long, n_row long, n_col long")
+
+    def all_of():
+        heads = frame["row"].filter("idx = 1 OR idx = 4")
+        grid = tables.table_grid(cells, size, keys)
+        return (rows_of(tables.boundary_cells(frame["row"], frame["col"], heads, frame["span"], keys).select("tbl", "row", "col", *g.SIDES, "header_type", "is_header", "row_span", "col_span", "txt")),
+                rows_of(tables.split_words_at_cells(words, tables_, paged(frame["row"]), paged(frame["col"]), paged(cells), "page", "tbl")),
+                rows_of(grid.select("tbl", "r", "c", "txt")), sorted((r.tbl, r.r, sorted(r.record.items())) for r in tables.table_records(grid.distinct(), keys).collect()))
+
+    monkeypatch.setattr(tables, "TABLE_LINES", 0)
+    monkeypatch.setattr(tables, "TABLE_CELLS", 0)
+    monkeypatch.setattr(ob, "KEY_LINES", 0)
+    by_tiles = all_of()
+    monkeypatch.undo()
+    for name in ("overlap_pairs", "contained_pairs"):
+        monkeypatch.setattr(spatial, name, None)
+    got = all_of()
+    assert all(a == b for a, b in zip(got, by_tiles)) and all(got)
